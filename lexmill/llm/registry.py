@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .mixing import ORACLE_OP10, op10_weighted_fair_mix
 from .sharding import op2_bounded_ring
+from .simhash import op7_simhash_pivots
 
 QUERIES = {
     "op2_bounded_ring": op2_bounded_ring,
+    "op7_simhash_pivots": op7_simhash_pivots,
     "op10_weighted_fair_mix": op10_weighted_fair_mix,
 }
 ORACLES = {"op10_weighted_fair_mix": ORACLE_OP10}
