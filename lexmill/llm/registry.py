@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from .exact_dedup import ORACLE_OP5, op5_polynomial_dedup
 from .mixing import ORACLE_OP10, op10_weighted_fair_mix
 from .sharding import op2_bounded_ring
 from .simhash import op7_simhash_pivots
 
 QUERIES = {
     "op2_bounded_ring": op2_bounded_ring,
+    "op5_polynomial_dedup": op5_polynomial_dedup,
     "op7_simhash_pivots": op7_simhash_pivots,
     "op10_weighted_fair_mix": op10_weighted_fair_mix,
 }
-ORACLES = {"op10_weighted_fair_mix": ORACLE_OP10}
+ORACLES = {"op5_polynomial_dedup": ORACLE_OP5, "op10_weighted_fair_mix": ORACLE_OP10}
