@@ -6,9 +6,11 @@ from .exact_dedup import ORACLE_OP5, op5_polynomial_dedup
 from .mixing import ORACLE_OP10, op10_weighted_fair_mix
 from .sharding import op2_bounded_ring
 from .simhash import op7_simhash_pivots
+from .toxicity import op4_gated_recurrent
 
 QUERIES = {
     "op2_bounded_ring": op2_bounded_ring,
+    "op4_gated_recurrent": op4_gated_recurrent,
     "op5_polynomial_dedup": op5_polynomial_dedup,
     "op7_simhash_pivots": op7_simhash_pivots,
     "op10_weighted_fair_mix": op10_weighted_fair_mix,
