@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import ORACLE_OP5, op5_polynomial_dedup
+from .licenses import op9_prefix_join_licenses, oracle_op9
 from .mixing import ORACLE_OP10, op10_weighted_fair_mix
 from .sharding import op2_bounded_ring
 from .simhash import op7_simhash_pivots
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_gated_recurrent": op4_gated_recurrent,
     "op5_polynomial_dedup": op5_polynomial_dedup,
     "op7_simhash_pivots": op7_simhash_pivots,
+    "op9_prefix_join_licenses": op9_prefix_join_licenses,
     "op10_weighted_fair_mix": op10_weighted_fair_mix,
 }
-ORACLES = {"op5_polynomial_dedup": ORACLE_OP5, "op10_weighted_fair_mix": ORACLE_OP10}
+ORACLES = {"op5_polynomial_dedup": ORACLE_OP5, "op9_prefix_join_licenses": oracle_op9(), "op10_weighted_fair_mix": ORACLE_OP10}
