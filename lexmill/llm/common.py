@@ -45,3 +45,12 @@ def text_or_empty(text: Column | str) -> Column:
 def word_count(text: Column | str) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: A table of at most so many rows of some 100 bytes is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 400_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast df, whose number of rows has been counted, if it is small."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, text_or_empty
+from .common import checkpointed, few, table, text_or_empty
 
 #: Two primes under 2**31, so that products of residues fit 64 bits, and a base for each.
 PRIMES = (2147483647, 2147483629)
@@ -29,8 +29,6 @@ BASES = (911382323, 972663749)
 FAN = 16
 #: Characters in a chunk of the comparison.
 CHUNK = 65536
-#: A table of at most so many fingerprints (about 50 bytes each) is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 400_000
 
 
 def combine(left: tuple[int, int], right: tuple[int, int], prime: int, base: int) -> tuple[int, int]:
@@ -85,10 +83,6 @@ def fingerprint_column(text: Column, primes: Sequence[int] = PRIMES) -> Column:
 KEY = ["h1", "h2", "n_bytes"]
 
 
-def few(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def fingerprinted(docs: DataFrame, primes: Sequence[int], *columns: Column) -> DataFrame:
     text = text_or_empty("text")
     out = docs.select(*columns, text.alias("content"), F.octet_length(text).cast("long").alias("n_bytes"), fingerprint_column(text, primes).alias("h"))

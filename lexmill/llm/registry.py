@@ -8,13 +8,15 @@ from .mixing import ORACLE_OP10, op10_weighted_fair_mix
 from .sharding import op2_bounded_ring
 from .simhash import op7_simhash_pivots
 from .toxicity import op4_gated_recurrent
+from .warc import ORACLE_OP8, op8_segmented_warc
 
 QUERIES = {
     "op2_bounded_ring": op2_bounded_ring,
     "op4_gated_recurrent": op4_gated_recurrent,
     "op5_polynomial_dedup": op5_polynomial_dedup,
     "op7_simhash_pivots": op7_simhash_pivots,
+    "op8_segmented_warc": op8_segmented_warc,
     "op9_prefix_join_licenses": op9_prefix_join_licenses,
     "op10_weighted_fair_mix": op10_weighted_fair_mix,
 }
-ORACLES = {"op5_polynomial_dedup": ORACLE_OP5, "op9_prefix_join_licenses": oracle_op9(), "op10_weighted_fair_mix": ORACLE_OP10}
+ORACLES = {"op5_polynomial_dedup": ORACLE_OP5, "op8_segmented_warc": ORACLE_OP8, "op9_prefix_join_licenses": oracle_op9(), "op10_weighted_fair_mix": ORACLE_OP10}
