@@ -8,10 +8,12 @@ from .mixing import ORACLE_OP10, op10_weighted_fair_mix
 from .sharding import op2_bounded_ring
 from .simhash import op7_simhash_pivots
 from .toxicity import op4_gated_recurrent
+from .url_filter import op3_link_propagation
 from .warc import ORACLE_OP8, op8_segmented_warc
 
 QUERIES = {
     "op2_bounded_ring": op2_bounded_ring,
+    "op3_link_propagation": op3_link_propagation,
     "op4_gated_recurrent": op4_gated_recurrent,
     "op5_polynomial_dedup": op5_polynomial_dedup,
     "op7_simhash_pivots": op7_simhash_pivots,
