@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import ORACLE_OP5, op5_polynomial_dedup
+from .html_extract import op6_crf_main_text
 from .licenses import op9_prefix_join_licenses, oracle_op9
 from .mixing import ORACLE_OP10, op10_weighted_fair_mix
 from .sharding import op2_bounded_ring
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_link_propagation": op3_link_propagation,
     "op4_gated_recurrent": op4_gated_recurrent,
     "op5_polynomial_dedup": op5_polynomial_dedup,
+    "op6_crf_main_text": op6_crf_main_text,
     "op7_simhash_pivots": op7_simhash_pivots,
     "op8_segmented_warc": op8_segmented_warc,
     "op9_prefix_join_licenses": op9_prefix_join_licenses,
