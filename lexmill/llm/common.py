@@ -17,15 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Run `df` once and cut its lineage, in the folder that the cluster names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints.
 
     Only a session without spark.checkpoint.dir (a test on one machine) gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Run `df` once and cut its lineage, in the folder that all machines share."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_greedy_tiling
 from .exact_dedup import ORACLE_OP5, op5_polynomial_dedup
 from .html_extract import op6_crf_main_text
 from .licenses import op9_prefix_join_licenses, oracle_op9
@@ -13,6 +14,7 @@ from .url_filter import op3_link_propagation
 from .warc import ORACLE_OP8, op8_segmented_warc
 
 QUERIES = {
+    "op1_greedy_tiling": op1_greedy_tiling,
     "op2_bounded_ring": op2_bounded_ring,
     "op3_link_propagation": op3_link_propagation,
     "op4_gated_recurrent": op4_gated_recurrent,
@@ -23,4 +25,11 @@ QUERIES = {
     "op9_prefix_join_licenses": op9_prefix_join_licenses,
     "op10_weighted_fair_mix": op10_weighted_fair_mix,
 }
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 ORACLES = {"op5_polynomial_dedup": ORACLE_OP5, "op8_segmented_warc": ORACLE_OP8, "op9_prefix_join_licenses": oracle_op9(), "op10_weighted_fair_mix": ORACLE_OP10}

@@ -275,6 +275,21 @@ def components(docs: DataFrame, spec: Fingerprints = CONTRACT, id_column: str =
     return rows.join(by_point, "point").select("doc_id", "point", "component_id", *(["row_key"] if extra else []))
 
 
+def without_near_duplicates(docs: DataFrame, spec: Fingerprints = WIDE, group: int = GROUP) -> DataFrame:
+    """The row with the smallest doc_id of each component stays (of rows equal in doc_id and text, one)."""
+    # names a row by id and text
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))
+    found = checkpointed(components(docs, spec, group=group, row_key=key))
+    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("kept")).select("kept.row_key")
+    kept = checkpointed(kept)
+    repeated = checkpointed(found.join(kept, "row_key", "left_semi").groupBy("row_key").count().filter("count > 1").select("row_key"))
+    rows = docs.select(F.struct("*").alias("row_"), key.alias("row_key")).join(kept, "row_key", "left_semi")
+    if not repeated.isEmpty():
+        one = rows.join(repeated, "row_key", "left_semi").groupBy("row_key").agg(F.first("row_").alias("row_")).select("row_", "row_key")
+        rows = rows.join(repeated, "row_key", "left_anti").unionByName(one)
+    return rows.select(*[F.col(f"row_.{c}") for c in docs.columns])
+
+
 def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex("point")).alias("fingerprint"), "component_id")

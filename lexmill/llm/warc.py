@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, few, table, text_or_empty
+from .common import checkpoint_folder, checkpointed, few, table, text_or_empty
 
 REVISIT_BYTES = 100
 #: Bytes of a block in one record, and of a body in one chunk of the transfer framing.
@@ -204,8 +204,7 @@ def body(kind: str, block: bytes | None) -> tuple[bytes | None, int | None, str]
 
 def archive_folder(spark: SparkSession) -> str:
     """A new folder under the one that the cluster's machines share."""
-    checkpointed(spark.range(0))  # sets a folder where the session names none
-    return f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/warc-{uuid.uuid4().hex}"
 
 
 def op8_segmented_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
