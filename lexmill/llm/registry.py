@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontaminate import op1_greedy_tiling
 from .exact_dedup import ORACLE_OP5, op5_polynomial_dedup
 from .html_extract import op6_crf_main_text
@@ -14,6 +16,7 @@ from .url_filter import op3_link_propagation
 from .warc import ORACLE_OP8, op8_segmented_warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_greedy_tiling": op1_greedy_tiling,
     "op2_bounded_ring": op2_bounded_ring,
     "op3_link_propagation": op3_link_propagation,
@@ -25,11 +28,4 @@ QUERIES = {
     "op9_prefix_join_licenses": op9_prefix_join_licenses,
     "op10_weighted_fair_mix": op10_weighted_fair_mix,
 }
-
-def pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 ORACLES = {"op5_polynomial_dedup": ORACLE_OP5, "op8_segmented_warc": ORACLE_OP8, "op9_prefix_join_licenses": oracle_op9(), "op10_weighted_fair_mix": ORACLE_OP10}

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, checkpointed, shuffle_partitions, table
+from .common import LOWER, UPPER, checkpointed, few, shuffle_partitions, table
 from .components import connected_components
 
 SEED = 42
@@ -264,15 +264,18 @@ def links(points: DataFrame, spec: Fingerprints, distinct: int, group: int = GRO
 
 
 def components(docs: DataFrame, spec: Fingerprints = CONTRACT, id_column: str = "doc_id", group: int = GROUP, row_key=None) -> DataFrame:
-    """Return doc_id, point (the fingerprint's bytes), component_id, and row_key if given, for every row of docs."""
+    """Return doc_id, point (the fingerprint's bytes), component, component_id, and row_key if given, for every row of docs.
+
+    component names the component even where it has no doc_id but null.
+    """
     extra = [] if row_key is None else [row_key.alias("row_key")]
     rows = checkpointed(docs.select(F.col(id_column).alias("doc_id"), fingerprint_column("text", spec).alias("point"), *extra))
     points = checkpointed(rows.groupBy("point").agg(F.min("doc_id").alias("first")).withColumn("vertex", F.monotonically_increasing_id()))
     found = connected_components(links(points, spec, points.count(), group))
     named = points.join(found, "vertex", "left").select("point", "first", F.coalesce("component", "vertex").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_point = named.join(least, "component").select("point", "component_id")
-    return rows.join(by_point, "point").select("doc_id", "point", "component_id", *(["row_key"] if extra else []))
+    by_point = named.join(least, "component").select("point", "component", "component_id")
+    return rows.join(by_point, "point").select("doc_id", "point", "component", "component_id", *(["row_key"] if extra else []))
 
 
 def without_near_duplicates(docs: DataFrame, spec: Fingerprints = WIDE, group: int = GROUP) -> DataFrame:
@@ -280,13 +283,13 @@ def without_near_duplicates(docs: DataFrame, spec: Fingerprints = WIDE, group: i
     # names a row by id and text
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))
     found = checkpointed(components(docs, spec, group=group, row_key=key))
-    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("kept")).select("kept.row_key")
-    kept = checkpointed(kept)
+    kept = checkpointed(found.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("kept")).select("kept.row_key"))
+    dropped = checkpointed(found.join(kept, "row_key", "left_anti").select("row_key").distinct())
     repeated = checkpointed(found.join(kept, "row_key", "left_semi").groupBy("row_key").count().filter("count > 1").select("row_key"))
-    rows = docs.select(F.struct("*").alias("row_"), key.alias("row_key")).join(kept, "row_key", "left_semi")
-    if not repeated.isEmpty():
-        one = rows.join(repeated, "row_key", "left_semi").groupBy("row_key").agg(F.first("row_").alias("row_")).select("row_", "row_key")
-        rows = rows.join(repeated, "row_key", "left_anti").unionByName(one)
+    rows = docs.select(F.struct("*").alias("row_"), key.alias("row_key")).join(few(dropped, dropped.count()), "row_key", "left_anti")
+    if n := repeated.count():
+        one = rows.join(few(repeated, n), "row_key", "left_semi").groupBy("row_key").agg(F.first("row_").alias("row_")).select("row_", "row_key")
+        rows = rows.join(few(repeated, n), "row_key", "left_anti").select("row_", "row_key").unionByName(one)
     return rows.select(*[F.col(f"row_.{c}") for c in docs.columns])
 
 
