@@ -1,0 +1,36 @@
+"""What a Spark session needs to run this package."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Spark's file server hand this package to every executor, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_lexmill_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / "lexmill.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(here.rglob("*.py")):
+            out.write(path, path.relative_to(here.parent))
+    context.addPyFile(str(archive))
+    context._lexmill_shipped = True
+
+
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The query, run after ship()."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        ship(spark)
+        return query(spark, *args)
+
+    return run
