@@ -11,15 +11,17 @@ from .common import checkpointed
 def connected_components(edges: DataFrame) -> DataFrame:
     """Return (vertex, component) for every vertex of edges (a long, b long); component is a vertex of its component.
 
-    In each round a vertex joins its smallest neighbour if that is smaller than itself; the edges are then drawn between
-    what the vertices have become, and loops and repeats go. The neighbours of a vertex are never gathered: their minimum is
-    summed up before the shuffle. Rounds grow with the logarithm of the longest shortest path.
+    In each round a vertex points to its smallest neighbour if that is smaller than itself; pointers are followed to their end
+    by doubling; the edges are then drawn between the ends, and loops and repeats go. So a chain of any length falls to one
+    vertex in one round of as many doublings as the logarithm of its length. The neighbours of a vertex are never gathered:
+    their minimum is summed up before the shuffle.
     """
     edges = checkpointed(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     steps: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = checkpointed(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("old"), F.least("a", "least").alias("new")))
+        pointers = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("vertex"), F.least("a", "least").alias("component"))
+        step = settled(pointers).select(F.col("vertex").alias("old"), F.col("component").alias("new"))
         steps.append(step)
         at_a = step.select(F.col("old").alias("a"), F.col("new").alias("new_a"))
         at_b = step.select(F.col("old").alias("b"), F.col("new").alias("new_b"))
@@ -31,7 +33,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for step in steps[1:]:
         renamed = step.select(F.col("old").alias("component"), F.col("new").alias("next"))
         found = found.join(renamed, "component", "left").select("vertex", F.coalesce("next", "component").alias("component"))
-    return settled(found)
+    return found
 
 
 def settled(parents: DataFrame) -> DataFrame:

@@ -272,10 +272,12 @@ def components(docs: DataFrame, spec: Fingerprints = CONTRACT, id_column: str =
     extra = [] if row_key is None else [row_key.alias("row_key")]
     rows = checkpointed(docs.select(F.col(id_column).alias("doc_id"), fingerprint_column("text", spec).alias("point"), *extra))
     points = checkpointed(rows.groupBy("point").agg(F.min("doc_id").alias("first")).withColumn("vertex", F.monotonically_increasing_id()))
-    found = connected_components(links(points, spec, points.count(), group))
-    named = points.join(found, "vertex", "left").select("point", "first", F.coalesce("component", "vertex").alias("component"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_point = named.join(least, "component").select("point", "component", "component_id")
+    found = checkpointed(connected_components(links(points, spec, points.count(), group)))
+    linked = points.join(found, "vertex").select("point", "first", "component")
+    # its own table, so that the rows of a large component meet their minimum by a join that Spark can split or broadcast
+    least = checkpointed(linked.groupBy("component").agg(F.min("first").alias("component_id")))
+    alone = points.join(found, "vertex", "left_anti").select("point", F.col("vertex").alias("component"), F.col("first").alias("component_id"))
+    by_point = linked.join(few(least, least.count()), "component").select("point", "component", "component_id").unionByName(alone)
     return rows.join(by_point, "point").select("doc_id", "point", "component", "component_id", *(["row_key"] if extra else []))
 
 
