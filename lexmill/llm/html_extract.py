@@ -1,8 +1,7 @@
 """Main text of web pages by a conditional random field over DOM leaf blocks (operator 6).
 
 A page is parsed into leaf blocks: runs of text that no block-level tag divides. Each has features of its ancestors (tags, words of
-their class, id and role), of its text (length, share of links, marks, words that notices and footers are written in) and of
-its place. A linear-chain conditional random field, trained on labelled pages (page_samples.py) when a query is built, labels
+their class, id and role) and of its text (length, share of links, marks, words that notices and footers are written in). A linear-chain conditional random field, trained on labelled pages (page_samples.py) when a query is built, labels
 the chain of a page's blocks by Viterbi; blocks with label 1 are the article.
 
 Results for odd input: null and empty html, and pages without text, give an empty text and 0; null or repeated ids and rows are
@@ -27,7 +26,7 @@ from .common import table
 from .crf import Chain, train
 from .page_samples import labelled_pages
 
-TRAINING_PAGES = 500
+TRAINING_PAGES = 900
 # Classes of tags, from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split())
@@ -143,7 +142,7 @@ def bucket(x: float, edges: tuple[float, ...]) -> int:
 def features_of(blocks: list[Block]) -> list[list[str]]:
     """Feature sets of a page's blocks."""
     out = []
-    for i, b in enumerate(blocks):
+    for b in blocks:
         words = b.text.split(" ", 400)
         own = {w.strip(".,:;!?()").lower() for w in words[:60]} & TELLING
         out.append(
@@ -155,9 +154,6 @@ def features_of(blocks: list[Block]) -> list[list[str]]:
                 f"marks:{bucket(sum(map(b.text.count, '.,!?')), (1, 2, 5))}",
                 *(f"says:{w}" for w in own),
                 *(["sign:©"] if "©" in b.text else []),
-                *(["first"] if i == 0 else []),
-                *(["last"] if i == len(blocks) - 1 else []),
-                *(["only"] if len(blocks) == 1 else []),
             ]
         )
     return out

@@ -89,15 +89,15 @@ class Pages:
         each = []
         for _ in range(self.r.randint(1, 4)):
             body = [(f"<h4>{' '.join(self.words(1, 2))}</h4>", 0)] * (self.r.random() < 0.5) + [(f"<p>{self.sentences(1, 5)}</p>", 0)]
-            each += self.inside(self.named(COMMENT_NAMES, self.r.choice(["div", "li", "article"])), body)
+            each += self.inside(self.named(COMMENT_NAMES, self.r.choice(["div", "li", "div", "li", "div", "article"])), body)
         head = [(f"<h3>{self.r.choice(['Comments', 'Replies', 'Discussion'])}</h3>", 0)]
         return self.inside(self.named(COMMENT_NAMES, self.r.choice(["div", "section", "ol"])), head + each)
 
     def article(self) -> list:
         pieces = [(f"<h1>{' '.join(self.words(2, 10))}</h1>", 1)] if self.r.random() < 0.8 else []
-        for _ in range(self.r.randint(1, 12)):
+        for _ in range(self.r.choice([1, 1, 2, 2, 3, 5, 8, 12])):
             kind = self.r.random()
-            text = self.sentences(1, 8) if kind < 0.85 else self.sentences(1, 1)
+            text = self.sentences(1, self.r.choice([1, 3, 8])) if kind < 0.85 else self.sentences(1, 1)
             if kind < 0.7:
                 bold = self.r.random()
                 pieces.append((f"<p><b>{text}</b></p>" if bold < 0.1 else f"<p><b>{text}<br>" if bold < 0.2 else f"<p>{text}", 1) if bold < 0.3 else (f"<p>{text}</p>", 1))
@@ -114,7 +114,7 @@ class Pages:
             else:
                 pieces.append((f"<pre>{text}</pre>", 1))
         for extra in (self.advert, self.side, self.comments, self.form):  # what isn't the article stands inside it too
-            if self.r.random() < 0.08:
+            if self.r.random() < 0.22:
                 at = self.r.randint(0, len(pieces)) if extra is self.advert else len(pieces)
                 depth = sum(x[0].count("<ul>") + x[0].count("<table>") + x[0].count("<blockquote>") + x[0].count("<figure>") - x[0].count("</ul>") - x[0].count("</table>") - x[0].count("</blockquote>") - x[0].count("</figure>") for x in pieces[:at] if x[1] is None)
                 if not depth:
@@ -132,8 +132,10 @@ class Pages:
 
     def page(self) -> list:
         before, after = [self.header, self.menu, self.advert, self.notice, self.form], [self.side, self.advert, self.comments, self.footer, self.notice, self.form, self.menu]
-        pieces = [x for f in before if self.r.random() < 0.4 for x in f()] + self.article()
-        return pieces + [x for f in after if self.r.random() < 0.4 for x in f()]
+        # many pages have nothing before the article, or nothing after it
+        often = [self.r.choice([0.0, 0.4, 0.4]) for _ in range(2)]
+        pieces = [x for f in before if self.r.random() < often[0] for x in f()] + self.article()
+        return pieces + [x for f in after if self.r.random() < often[1] for x in f()]
 
 
 def labelled_pages(n: int, seed: int = 3) -> list[list[tuple[str, int | None]]]:
