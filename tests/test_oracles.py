@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lexmill.plans.queries import ORACLES, QUERIES
@@ -14,9 +15,11 @@ pytestmark = pytest.mark.skipif(not Path(DATA).is_dir(), reason="no tables")
 
 
 def rows(frame):
-    frame = frame[sorted(frame.columns)]
-    plain = lambda v: v.item() if hasattr(v, "item") else v
-    return sorted(repr([round(x, 6) if isinstance(x := plain(v), float) else x for v in r]) for r in frame.astype(object).where(frame.notna(), None).itertuples(index=False))
+    def plain(v):
+        v = v.item() if hasattr(v, "item") else v
+        return None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) else v
+
+    return sorted(repr([plain(v) for v in r]) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
 
 
 @pytest.fixture(scope="module")

@@ -76,9 +76,9 @@ def test_quota_and_conversation_limits(spark):
 
 
 def test_qa_records(spark):
-    good = grounded.normalize_qa(qa(spark, "文章：KDA 使用 recurrent state。\n問題：KDA 使用什麼？", '{"answer": "recurrent state", "answerable": true}')).first()
-    assert [m["content"] for m in good["messages"]][1:] == ["KDA 使用什麼？", "recurrent state [1]"]
-    assert "DRCD/42\nKDA" in good["messages"][0]["content"] and good["kind"] == "drcd_answerable"
+    good = grounded.normalize_qa(qa(spark, "文章：LSM 使用 recurrent state。\n問題：LSM 使用什麼？", '{"answer": "recurrent state", "answerable": true}')).first()
+    assert [m["content"] for m in good["messages"]][1:] == ["LSM 使用什麼？", "recurrent state [1]"]
+    assert "DRCD/42\nLSM" in good["messages"][0]["content"] and good["kind"] == "drcd_answerable"
     refusal = grounded.normalize_qa(qa(spark, "文章：x。\n問題：y", '{"answer": "", "answerable": false}', None)).first()
     assert refusal["messages"][2]["content"] == REFUSAL and "DRCD/q" in refusal["messages"][0]["content"]
     two = grounded.normalize_qa(qa(spark, "文章：a\n問題：b\n問題：c", '{"answer": "a", "answerable": true}')).first()
@@ -95,11 +95,11 @@ def test_answer_window(spark):
 
 
 def test_synthesis(spark):
-    chunks = spark.createDataFrame([(0, "kda.md", 0, "# KDA\nKDA 使用 recurrent state 與 chunkwise kernel。")], "doc_id long, source string, chunk_idx int, text string")
+    chunks = spark.createDataFrame([(0, "lsm.md", 0, "# LSM\nLSM 使用 recurrent state 與 chunkwise kernel。")], "doc_id long, source string, chunk_idx int, text string")
     found = grounded.synthesize(chunks, grounded.SynthesisOptions(examples_per_chunk=7)).orderBy("idx").collect()
     assert len(found) == 9
-    assert "參考資料" in found[0]["messages"][0]["content"] and "KDA" in found[0]["messages"][1]["content"]
-    assert found[0]["messages"][2]["content"] == "KDA 使用 recurrent state 與 chunkwise kernel。 [1]"
+    assert "參考資料" in found[0]["messages"][0]["content"] and "LSM" in found[0]["messages"][1]["content"]
+    assert found[0]["messages"][2]["content"] == "LSM 使用 recurrent state 與 chunkwise kernel。 [1]"
     assert found[6]["kind"] == "rag_fact" and found[6]["messages"][2]["content"].endswith("[1]")
     assert [r["kind"] for r in found[7:]] == ["rag_refusal"] * 2
     assert grounded.synthesize(chunks.withColumn("text", F.lit("# only"))).count() == 0

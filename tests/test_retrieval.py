@@ -11,8 +11,8 @@ from lexmill.operators import retrieval as r
 from lexmill.operators import verify as v
 from lexmill.functions.text import UNSUPPORTED
 
-CHUNKS = [("kda.md", "Kimi Delta Attention 是一種線性注意力機制，使用 chunkwise kernel 處理長序列。"), ("other.md", "SentencePiece 用於將中文文字編碼成 subword token。")]
-QUERY = "Kimi Delta Attention 的 chunkwise kernel 是什麼？"
+CHUNKS = [("lsm.md", "Linear State Mixer 是一種線性注意力機制，使用 chunkwise kernel 處理長序列。"), ("other.md", "SentencePiece 用於將中文文字編碼成 subword token。")]
+QUERY = "Linear State Mixer 的 chunkwise kernel 是什麼？"
 
 
 def chunks(spark, rows=CHUNKS):
@@ -29,9 +29,9 @@ def answers(spark, *texts):
 
 def test_the_relevant_chunk_comes_first(spark):
     found = r.bm25(chunks(spark), QUERY).collect()
-    assert found[0]["source"] == "kda.md" and found[0]["rank"] == 1
+    assert found[0]["source"] == "lsm.md" and found[0]["rank"] == 1
     ranked = r.bm25(chunks(spark), QUERY)
-    assert "來源：kda.md" in v.render_context(ranked)
+    assert "來源：lsm.md" in v.render_context(ranked)
     assert "[1]" in v.cited_sections(ranked, QUERY).first()["answer"]
 
 
@@ -74,9 +74,9 @@ def test_dense_and_fusion(spark):
     assert [x["vec_id"] for x in r.dense(frame, points[3], 5).orderBy("rank").collect()] == best
     batch = r.dense_batch(frame, points[:4], 5).filter("query_id = 3").orderBy("rank").collect()
     assert [x["vec_id"] for x in batch] == best
-    shared = ("kda.md", "KDA uses recurrent state.")
+    shared = ("lsm.md", "LSM uses recurrent state.")
     fused = r.fuse([hits(spark, [shared, ("other.md", "Other text.")]), hits(spark, [shared])]).orderBy("rank").collect()
-    assert fused[0]["source"] == "kda.md" and fused[0]["score"] == pytest.approx(2 / 61)
+    assert fused[0]["source"] == "lsm.md" and fused[0]["score"] == pytest.approx(2 / 61)
 
 
 def test_mean_pool(spark):
@@ -88,7 +88,7 @@ def test_search_modes(spark):
     with pytest.raises(ValueError, match="evidence"):
         r.search(chunks(spark), QUERY, least=1e9)
     found = r.search(chunks(spark), QUERY, top_k=1, least=0)
-    assert [x["source"] for x in found.collect()] == ["kda.md"]
+    assert [x["source"] for x in found.collect()] == ["lsm.md"]
     vectors = chunks(spark).withColumn("embedding", F.array(F.lit(1.0), F.col("doc_id").cast("double")))
     assert r.search(chunks(spark), QUERY, "hybrid", 2, vectors=vectors, query_vector=[0.0, 1.0], least=0).count() == 2
     reranked = r.search(chunks(spark), QUERY, top_k=2, least=0, scorer=lambda pairs: [-len(t) for _, t in pairs])
@@ -96,7 +96,7 @@ def test_search_modes(spark):
 
 
 def test_conflicts(spark):
-    rows = [("a.md", "KDA 的 context 長度為 128 tokens。"), ("b.md", "KDA 的 context 長度為 256 tokens。"), ("b.md", "KDA 的 context 長度為 512 tokens。")]
+    rows = [("a.md", "LSM 的 context 長度為 128 tokens。"), ("b.md", "LSM 的 context 長度為 256 tokens。"), ("b.md", "LSM 的 context 長度為 512 tokens。")]
     found = {(x["left_source"], x["right_source"], x["right_claim"]) for x in v.source_conflicts(hits(spark, rows)).collect()}
     assert found == {("a.md", "b.md", rows[1][1]), ("a.md", "b.md", rows[2][1])}
     assert v.apply_policy(v.source_conflicts(hits(spark, rows)), "warn")
@@ -105,24 +105,24 @@ def test_conflicts(spark):
 
 
 def test_verified_answers(spark):
-    h = hits(spark, [("kda.md", "KDA 使用 recurrent state 處理長序列。")])
-    found = v.verified_answers(answers(spark, "KDA 使用 recurrent state 處理長序列。KDA 的作者住在台北。", ""), h).orderBy("answer_id").collect()
-    assert found[0]["verified"] == "KDA 使用 recurrent state 處理長序列。 [1]"
+    h = hits(spark, [("lsm.md", "LSM 使用 recurrent state 處理長序列。")])
+    found = v.verified_answers(answers(spark, "LSM 使用 recurrent state 處理長序列。LSM 的作者住在台北。", ""), h).orderBy("answer_id").collect()
+    assert found[0]["verified"] == "LSM 使用 recurrent state 處理長序列。 [1]"
     assert found[1]["verified"] == UNSUPPORTED
     with pytest.raises(ValueError):
         v.verified_sentences(answers(spark, "a"), h, 0)
 
 
-@pytest.mark.parametrize(("query", "has", "branch"), [("KDA 為何適合長序列？", "recurrent state", "evidence"), ("KDA 的作者是誰？", "資料不足", "refused")])
+@pytest.mark.parametrize(("query", "has", "branch"), [("LSM 為何適合長序列？", "recurrent state", "evidence"), ("LSM 的作者是誰？", "資料不足", "refused")])
 def test_reliable_answers(spark, query, has, branch):
-    h = hits(spark, [("kda.md", "KDA 使用 recurrent state，因此適合長序列。")])
+    h = hits(spark, [("lsm.md", "LSM 使用 recurrent state，因此適合長序列。")])
     found = v.reliable_answers(answers(spark, "參考資料未提供這項資訊，因此不知道。"), h, query, 200).first()
     assert has in found["text"] and found["branch"] == branch
 
 
 def test_context_picks_a_sentence(spark):
-    h = hits(spark, [("kda.md", "KDA 會處理輸入 token。KDA 維護 recurrent state，因此適合長序列。")])
-    assert "recurrent state" in v.render_context(h, "KDA 為何適合長序列？", 60)
+    h = hits(spark, [("lsm.md", "LSM 會處理輸入 token。LSM 維護 recurrent state，因此適合長序列。")])
+    assert "recurrent state" in v.render_context(h, "LSM 為何適合長序列？", 60)
     assert v.render_context(h, None, 5) == ""
 
 

@@ -99,7 +99,7 @@ def test_prompts(spark):
 
 
 def test_topic(spark):
-    assert one(spark, t.topic("a", "b"), a="\n## KDA ##\nx", b="x.md") == "KDA ##"
+    assert one(spark, t.topic("a", "b"), a="\n## LSM ##\nx", b="x.md") == "LSM ##"
     assert one(spark, t.topic("a", "b"), a="#\n", b="docs/my_file.md") == "my file"
     assert one(spark, t.topic("a", "b"), a="", b="") == "參考資料中的主題"
 
