@@ -57,7 +57,8 @@ def outcomes(docs: DataFrame, options: CleanOptions = CleanOptions(), order: tup
     judged = read.withColumn("reason_", reject_reason("text", options)).withColumn("digest", F.sha2("text", 256))
     if not options.dedupe:
         return judged.withColumn("outcome", F.coalesce("reason_", F.lit("accepted"))).drop("reason_")
-    passed = judged.filter("reason_ IS NULL").groupBy("digest").agg(F.min(F.struct(*order)).alias("first_"))
+    # rejected rows leave no minimum; a filter here would be pushed down and repeat the normalisation in each of its terms
+    passed = judged.groupBy("digest").agg(F.min(F.when(F.col("reason_").isNull(), F.struct(*order))).alias("first_")).filter("first_ IS NOT NULL")
     keys = passed.select(F.col("digest").alias("digest_"), *[F.col(f"first_.{c}").alias(f"{c}_") for c in order], F.lit(True).alias("wins_"))
     same = F.col("digest") == F.col("digest_")
     for c in order:

@@ -70,8 +70,11 @@ def bm25(chunks: DataFrame, query: str, top_k: int | None = 3, order: Sequence[s
         idf = math.log1p((stats["n"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))
         tf = F.col(f"tf{i}_")
         score = score + F.when(tf > 0, F.lit(float(repeats[t])) * weight(tf, F.col("length_"), F.lit(idf), F.lit(stats["average"] or 1.0))).otherwise(0.0)
-    scored = found.select(*chunks.columns, F.round(score, DIGITS).alias("score")).filter("score > 0")
-    return ranked(scored, top_k, order)
+    scored = found.select(*chunks.columns, F.round(score, DIGITS).alias("score"))
+    if top_k is None:
+        return ranked(scored.filter("score > 0"), None, order)
+    # the cut comes first: a filter below it would be pushed down and count the tokens again for each term
+    return ranked(scored, top_k, order).filter("score > 0")
 
 
 def ranked(scored: DataFrame, top_k: int | None, order: Sequence[str]) -> DataFrame:

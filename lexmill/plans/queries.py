@@ -419,10 +419,10 @@ def qa_rows(spark, sf_dir) -> DataFrame:
 
 @query(rf"""WITH d AS (SELECT doc_id::VARCHAR AS qid, doc_id, regexp_replace(text, '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g') AS c,
   coalesce(regexp_split_to_array(trim(regexp_replace(text, '[^A-Za-z ]+', ' ', 'g')), ' +')[5], '') AS a, doc_id % 3 <> 2 AS ok FROM documents WHERE doc_id % 5 <> 4),
-p AS (SELECT *, CASE WHEN ok AND a <> '' THEN instr(c, a) - 1 ELSE -1 END AS at FROM d WHERE c <> ''),
-q AS (SELECT *, least(length(c), greatest(at - 160, 0) + 320) AS stop FROM p)
+p AS (SELECT *, CASE WHEN ok AND a <> '' THEN instr(c, a) - 1 ELSE -1 END AS pos FROM d WHERE c <> ''),
+q AS (SELECT *, least(length(c), greatest(pos - 160, 0) + 320) AS stop FROM p)
 SELECT qid, CASE WHEN ok THEN 'drcd_answerable' ELSE 'drcd_refusal' END AS kind, CASE WHEN ok AND a <> '' THEN a || ' [1]' ELSE '{t.REFUSAL}' END AS completion,
-  CASE WHEN length(c) <= 320 THEN c WHEN at < 0 THEN regexp_replace(substr(c, 1, 320), '{SQL_SPACE}+$', '') ELSE regexp_replace(substr(c, greatest(stop - 320, 0) + 1, 320), '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g') END AS context FROM q""")
+  CASE WHEN length(c) <= 320 THEN c WHEN pos < 0 THEN regexp_replace(substr(c, 1, 320), '{SQL_SPACE}+$', '') ELSE regexp_replace(substr(c, greatest(stop - 320, 0) + 1, 320), '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g') END AS context FROM q""")
 def drcd_normalize(spark, sf_dir):
     """P14-P17, S5."""
     made = grounded.normalize_qa(qa_rows(spark, sf_dir))
