@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import REFUSAL, column, facts, grounding_prompt, prose, rstrip, strip, topic, truncate
+from ..session import checkpointed
 
 # Question templates; {} stands for the topic.
 SUMMARY_QUESTIONS = (
@@ -111,7 +112,7 @@ def with_neighbours(chunks: DataFrame, n: int, order: list[str]) -> DataFrame:
     if n == 1:
         return chunks.withColumn("selected", F.array(F.struct("source", "text")))
     ranged = chunks.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("number_", F.monotonically_increasing_id()).withColumn("range_", F.shiftright("number_", 33)).checkpoint()
+    ranged = checkpointed(ranged.withColumn("number_", F.monotonically_increasing_id()).withColumn("range_", F.shiftright("number_", 33)))
     counts = ranged.groupBy("range_").count()
     starts = counts.select("range_", (F.sum("count").over(Window.orderBy("range_")) - F.col("count")).alias("start_"), F.sum("count").over(Window.partitionBy(F.lit(1))).alias("all_"))
     placed = ranged.join(F.broadcast(starts), "range_").withColumn("place_", F.col("start_") + F.col("number_").bitwiseAND((1 << 33) - 1))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def packed_windows(rows: DataFrame, length: int, tokens: str = "tokens", stride: int | None = None) -> DataFrame:
     """Inputs and next-token targets at every stride of each row's tokens (G5 with fixed starts); rows not longer than length + 1 give none."""
@@ -42,7 +44,7 @@ def epoch_batches(rows: DataFrame, batch: int, epoch: int, seed: int, key: str =
     """The rows of an epoch in shuffled order as numbered batches, by a range sort on a hash of key, seed and epoch."""
     shuffled = rows.withColumn("order_", F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)))
     ranged = shuffled.repartitionByRange("order_", key).sortWithinPartitions("order_", key).withColumn("number_", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("range_", F.shiftright("number_", 33)).checkpoint()
+    ranged = checkpointed(ranged.withColumn("range_", F.shiftright("number_", 33)))
     counts = ranged.groupBy("range_").count().withColumn("start_", F.sum("count").over(Window.orderBy("range_")) - F.col("count")).drop("count")
     place = F.col("start_") + F.col("number_").bitwiseAND((1 << 33) - 1)
     return ranged.join(F.broadcast(counts), "range_").withColumn("batch", F.floor(place / batch)).drop("order_", "number_", "range_", "start_")
