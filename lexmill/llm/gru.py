@@ -223,8 +223,8 @@ class Scorer:
             self[word] = n = len(self)
             return n
 
-    def __init__(self, network: Network):
-        self.network = network
+    def __init__(self, network: Network, cache: int = CACHE):
+        self.network, self.cache = network, cache
         self._clear()
 
     def _clear(self) -> None:
@@ -232,7 +232,7 @@ class Scorer:
 
     def window_logits(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Logits of all windows of all texts, and the text of each."""
-        if len(self.ids) > CACHE:
+        if len(self.ids) > self.cache:
             self._clear()
         lists = [words_of(t) for t in texts]
         sizes = [len(x) for x in lists]

@@ -62,7 +62,12 @@ def likelier_grams(texts: list[list[bytes]], labels: np.ndarray) -> tuple[dict[b
     """
     vocabulary: dict[bytes, int] = {}
     ids = [np.unique([vocabulary.setdefault(w, len(vocabulary)) for w in set(t)]).astype(np.int64) for t in texts]
-    bucket, gram, n = hashed_inputs(list(vocabulary))
+    # in parts, and in two bytes each: the driver holds the n-grams of all words of the sample at once
+    listed = list(vocabulary)
+    hashed = (hashed_inputs(listed[i : i + 20_000]) for i in range(0, len(listed), 20_000))
+    parts = [(words_, grams.astype(np.uint16), count) for words_, grams, count in hashed]
+    bucket, n = (np.concatenate([p[k] for p in parts] or [np.zeros(0, dtype=np.int64)]) for k in (0, 2))
+    gram = np.concatenate([p[1] for p in parts] or [np.zeros(0, dtype=np.uint16)])
     start = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
     seen, words = np.zeros((2, GRAM_BUCKETS)), np.zeros(WORD_BUCKETS)
     for own, y in zip(ids, labels, strict=True):
@@ -72,7 +77,7 @@ def likelier_grams(texts: list[list[bytes]], labels: np.ndarray) -> tuple[dict[b
             words[np.unique(bucket[own])] += 1
     ones, zeros = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
     odds = np.log((seen[1] + 0.5) / (ones + 1)) - np.log((seen[0] + 0.5) / (zeros + 1))
-    telling = np.maximum.reduceat((odds * np.sqrt(seen[1]))[gram], start) if len(vocabulary) else np.zeros(0)
+    telling = np.maximum.reduceat((odds * np.sqrt(seen[1])).astype(np.float32)[gram], start) if len(vocabulary) else np.zeros(0)
     return vocabulary, telling, words >= LEAST_TEXTS, seen.sum(axis=0) >= LEAST_TEXTS
 
 
@@ -101,7 +106,7 @@ def train(rows: list[tuple[str, int]], share: float, steps: int = STEPS) -> Netw
             if y == 0:  # a text without label 1 has none in any window
                 chosen.append((window(int(rng.integers(lo, hi))), 0, weight[0]))
         network.fit(chosen, steps)
-        scorer = Scorer(network)
+        scorer = Scorer(network, cache=50_000)
         rank = np.concatenate([scorer.window_logits([t for t, _ in rows[i : i + 64]])[0] for i in range(0, len(rows), 64)]).astype(np.float64)
     tops = np.maximum.reduceat(rank, edges[:-1])
     network.scale = logistic(tops, labels, np.array([weight[y] for y in labels.tolist()]))
