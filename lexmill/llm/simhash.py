@@ -9,10 +9,13 @@ relative distances is the block of bits, and fingerprints that differ in at most
 but r of any set of disjoint blocks. That gives the candidate groups: with `blocks` disjoint blocks and `equal` = blocks - r, each choice of
 `equal` blocks is one key (complete: no link is lost). The other pivots are dense random words: by the triangle
 inequality a pair whose distances to any of them differ by more than r can't be linked and is discarded; what is left is
-verified bit by bit. `wide` fingerprints (512 bits, 32 blocks of which one must agree) are searched with a known recall
-instead, as no complete set of keys is small at a radius of 15 % of the bits.
+verified bit by bit.
 
-A group sends out a spanning forest of its links, never all pairs. Groups of over GROUP fingerprints are split in parts; each
+Wide fingerprints (512 bits) only propose links: each distinct shingle votes once, 80 keys of 16 scattered bits are searched with
+a known recall (no complete set of keys is small at such a radius), and the radius lies so far beyond the similarity asked for
+that it loses nothing. A proposed link holds if the whole shingle sets of both texts have that Jaccard similarity.
+
+A group sends out a spanning forest of its links, never all pairs; only links that are yet to be verified go out as all pairs. Groups of over GROUP fingerprints are split in parts; each
 pair of parts is a group of its own, so every pair is still compared, by many tasks.
 
 Results for odd input: null and empty texts have fingerprint zero and are linked like any other; null doc_ids never name a
@@ -46,11 +49,13 @@ LANES = np.uint64(0x0101010101010101)
 
 @dataclass(frozen=True)
 class Fingerprints:
-    """shingle: words in a shingle; words: 64-bit words of a fingerprint; radius: most bits that linked ones differ in."""
+    """shingle: words in a shingle; words: 64-bit words of a fingerprint; radius: most bits that linked ones differ in;
+    similarity: if given, distinct shingles vote once and links are verified on the shingle sets (Jaccard of this or more)."""
 
     shingle: int = 3
     words: int = 1
     radius: int = 3
+    similarity: float | None = None
 
 
 def radius_for(similarity: float, bits: int) -> int:
@@ -59,9 +64,11 @@ def radius_for(similarity: float, bits: int) -> int:
 
 
 CONTRACT = Fingerprints()
-#: Five words and a similarity of 0.8 or more. The number of differing bits scatters by 8 around its mean, so the radius is that
-#: of 0.77: README.md has the recall measured at each similarity.
-WIDE = Fingerprints(shingle=5, words=8, radius=radius_for(0.77, 512))
+#: Five words and a similarity of 0.8 or more. Texts at 0.8 differ in 78 bits in the mean (sets of 4 and 5 shingles in 96), with a
+#: scatter of 8: a radius of 128 is over three scatters away from any of them.
+WIDE = Fingerprints(shingle=5, words=8, radius=128, similarity=0.8)
+#: Keys of wide fingerprints, of 16 bits each. README.md has the recall.
+WIDE_KEYS = 80
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -114,22 +121,29 @@ def mixed(x: np.ndarray, i: int) -> np.ndarray:
 
 def fingerprints_of(texts: list[str | None], spec: Fingerprints) -> np.ndarray:
     """(texts, words) array of fingerprints."""
-    runs = [shingle_hashes(t, spec.shingle) for t in texts]
+    return fingerprints_of_runs([shingle_hashes(t, spec.shingle) for t in texts], spec)
+
+
+def fingerprints_of_runs(runs: list[np.ndarray], spec: Fingerprints) -> np.ndarray:
+    if spec.similarity is not None:
+        runs = [np.unique(r) for r in runs]
     sizes = np.array([len(r) for r in runs], dtype=np.int64)
     hashes = np.concatenate([*runs, np.zeros(0, dtype=np.uint64)])
     return np.stack([majority_bits(mixed(hashes, i), sizes) for i in range(spec.words)], axis=1)
 
 
 def fingerprint_column(text: str, spec: Fingerprints):
-    """Fingerprints as big-endian bytes."""
+    """Fingerprints as big-endian bytes; behind them, if links are to be verified, 16 bytes that name the shingle set."""
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             out: list[bytes] = []
             for i in range(0, len(batch), 128):
-                raw = fingerprints_of(batch.iloc[i : i + 128].tolist(), spec).astype(">u8").tobytes()
-                out += [raw[j : j + 8 * spec.words] for j in range(0, len(raw), 8 * spec.words)]
+                runs = [shingle_hashes(t, spec.shingle) for t in batch.iloc[i : i + 128].tolist()]
+                raw = fingerprints_of_runs(runs, spec).astype(">u8").tobytes()
+                points = [raw[j : j + 8 * spec.words] for j in range(0, len(raw), 8 * spec.words)]
+                out += points if spec.similarity is None else [p + xxhash.xxh3_128_digest(np.unique(r).tobytes()) for p, r in zip(points, runs, strict=True)]
             yield pd.Series(out, dtype=object)
 
     return run(text)
@@ -167,19 +181,34 @@ class Keys:
         return out.view(np.int64)
 
 
-def keys_for(spec: Fingerprints, distinct: int) -> Keys:
-    """Complete keys for one word and radius 3, with more blocks for more fingerprints; else one key for each 16 bits."""
+@dataclass(frozen=True)
+class ScatteredKeys:
+    """Keys of 16 bits each, drawn from all words; each run of 4 * words keys holds every bit once."""
+
+    words: int
+    n: int
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        """(fingerprints, n) array: number of the key and its bits."""
+        bits = np.unpackbits(np.ascontiguousarray(points.astype(">u8")).view(np.uint8), axis=1)
+        r = np.random.default_rng(SEED)
+        places = np.concatenate([r.permutation(64 * self.words) for _ in range(-(-self.n // (4 * self.words)))])[: 16 * self.n]
+        found = np.ascontiguousarray(np.packbits(bits[:, places], axis=1)).view(">u2").astype(np.int64)
+        return found | (np.arange(self.n, dtype=np.int64) << 50)
+
+
+def keys_for(spec: Fingerprints, distinct: int) -> Keys | ScatteredKeys:
+    """Complete keys for one word and radius 3, with more blocks for more fingerprints; else scattered keys."""
     if spec.words == 1:
         n = spec.radius + (1 if distinct < 1 << 22 else 2 if distinct < 1 << 30 else 3)
         edges = [64 * i // n for i in range(n + 1)]
         blocks = tuple((a, b - a) for a, b in zip(edges, edges[1:], strict=False))
         return Keys(blocks, tuple(combinations(range(n), n - spec.radius)))
-    blocks = tuple((16 * i, 16) for i in range(4 * spec.words))
-    return Keys(blocks, tuple((i,) for i in range(len(blocks))))
+    return ScatteredKeys(spec.words, WIDE_KEYS)
 
 
-def links_in_groups(keys: np.ndarray, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside each group; equal keys are adjacent. Returns the two ends of each edge."""
+def links_in_groups(keys: np.ndarray, points: np.ndarray, radius: int, forest: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside each group (or all of them); equal keys are adjacent. Returns the two ends of each edge."""
     n = len(keys)
     last = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]])) if n else np.zeros(0, dtype=np.int64)
     end = last[np.searchsorted(last, np.arange(n))]
@@ -188,10 +217,13 @@ def links_in_groups(keys: np.ndarray, points: np.ndarray, radius: int) -> tuple[
     left, right = [], []
     active, k = np.flatnonzero(end > np.arange(n)), 1
     while len(active):
-        i = active[label[active] != label[active + k]]
+        i = active[label[active] != label[active + k]] if forest else active
         i = i[(np.abs(far[i] - far[i + k]) <= radius).all(axis=1)]
         i = i[np.bitwise_count(points[i] ^ points[i + k]).sum(axis=1, dtype=np.int64) <= radius]
-        for a in i.tolist():
+        if not forest:
+            left += i.tolist()
+            right += (i + k).tolist()
+        for a in i.tolist() if forest else ():
             if (x := label[a]) != (y := label[a + k]):
                 left.append(a)
                 right.append(a + k)
@@ -203,7 +235,7 @@ def links_in_groups(keys: np.ndarray, points: np.ndarray, radius: int) -> tuple[
     return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
 
-def link_stream(words: int, radius: int):
+def link_stream(words: int, radius: int, forest: bool = True):
     """For mapInArrow over (group, vertex, point) sorted by group: the edges (a, b)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -211,7 +243,7 @@ def link_stream(words: int, radius: int):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def links(keys, vertices, points):
-            a, b = links_in_groups(keys, points, radius)
+            a, b = links_in_groups(keys, points, radius, forest)
             return pa.RecordBatch.from_arrays([pa.array(vertices[a]), pa.array(vertices[b])], schema=schema)
 
         for batch in batches:
@@ -233,7 +265,7 @@ def link_stream(words: int, radius: int):
 
 
 def links(points: DataFrame, spec: Fingerprints, distinct: int, group: int = GROUP) -> DataFrame:
-    """Edges (a, b) that connect what the links connect, for distinct points (vertex long, point binary)."""
+    """Edges (a, b) that connect what the links connect, for distinct points (vertex long, point binary); all links, with repeats, if they are to be verified."""
     keys = keys_for(spec, distinct)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,21 +290,68 @@ def links(points: DataFrame, spec: Fingerprints, distinct: int, group: int = GRO
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             .select(F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "vertex", "point")
         )
-        edges = pairs.repartition(n, "group").sortWithinPartitions("group").mapInArrow(link_stream(spec.words, spec.radius), "a long, b long")
+        edges = pairs.repartition(n, "group").sortWithinPartitions("group").mapInArrow(link_stream(spec.words, spec.radius, spec.similarity is None), "a long, b long")
         keyed = keyed.join(hot.select("group"), "group", "left_anti")
-    rest = keyed.repartition(n, "group").sortWithinPartitions("group").mapInArrow(link_stream(spec.words, spec.radius), "a long, b long")
+    rest = keyed.repartition(n, "group").sortWithinPartitions("group").mapInArrow(link_stream(spec.words, spec.radius, spec.similarity is None), "a long, b long")
     return rest if edges is None else rest.unionByName(edges)
 
 
+def text_key():
+    """Names a text."""
+    return F.md5(F.coalesce(F.col("text"), F.lit("")))
+
+
+def shingle_set(text: str, spec: Fingerprints):
+    """The distinct shingles of a text, as the bytes of their sorted hashes."""
+
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([np.unique(shingle_hashes(t, spec.shingle)).tobytes() for t in batch], dtype=object)
+
+    return run(text)
+
+
+def similar(a: bytes, b: bytes, similarity: float) -> bool:
+    """The Jaccard similarity of two shingle sets is at least `similarity`."""
+    n = (len(a) + len(b)) // 8
+    shared = n - len(np.unique(np.frombuffer(a + b, dtype=np.uint64)))
+    return shared >= similarity * (n - shared) - 1e-9
+
+
+def verified(candidates: DataFrame, points: DataFrame, docs: DataFrame, spec: Fingerprints) -> DataFrame:
+    """The links (a, b) whose whole shingle sets are similar enough; points has vertex and text_key. Only texts with candidates are read again."""
+    pairs = checkpointed(candidates.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = pairs.select(F.col("a").alias("vertex")).unionByName(pairs.select(F.col("b").alias("vertex"))).distinct()
+    wanted = checkpointed(points.select("vertex", "text_key").join(ends, "vertex"))
+    texts = docs.select(text_key().alias("text_key"), "text").join(few(wanted, wanted.count()), "text_key")
+    sets = checkpointed(texts.groupBy("vertex").agg(F.first("text").alias("text")).select("vertex", shingle_set("text", spec).alias("shingles")))
+    sized = sets.select("vertex", F.length("shingles").alias("size"))
+    # sizes alone rule many out before the sets move
+    near = pairs.join(sized.toDF("a", "size_a"), "a").join(sized.toDF("b", "size_b"), "b").filter(F.least("size_a", "size_b") >= spec.similarity * F.greatest("size_a", "size_b") - 1e-9)
+    both = near.select("a", "b").join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["a", "b"]).filter(pa.array([similar(x.as_py(), y.as_py(), spec.similarity) for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)], pa.bool_()))
+
+    return both.mapInArrow(keep, "a long, b long")
+
+
 def components(docs: DataFrame, spec: Fingerprints = CONTRACT, id_column: str = "doc_id", group: int = GROUP, row_key=None) -> DataFrame:
     """Return doc_id, point (the fingerprint's bytes), component, component_id, and row_key if given, for every row of docs.
 
-    component names the component even where it has no doc_id but null.
+    component names the component even where it has no doc_id but null. If links are verified, point has the set's name behind it.
     """
     extra = [] if row_key is None else [row_key.alias("row_key")]
-    rows = checkpointed(docs.select(F.col(id_column).alias("doc_id"), fingerprint_column("text", spec).alias("point"), *extra))
-    points = checkpointed(rows.groupBy("point").agg(F.min("doc_id").alias("first")).withColumn("vertex", F.monotonically_increasing_id()))
-    found = checkpointed(connected_components(links(points, spec, points.count(), group)))
+    verify = spec.similarity is not None
+    held = [text_key().alias("text_key")] if verify else []
+    rows = checkpointed(docs.select(F.col(id_column).alias("doc_id"), fingerprint_column("text", spec).alias("point"), *held, *extra))
+    least_key = [F.min("text_key").alias("text_key")] if verify else []
+    points = checkpointed(rows.groupBy("point").agg(F.min("doc_id").alias("first"), *least_key).withColumn("vertex", F.monotonically_increasing_id()))
+    bits = points.select("vertex", F.substring("point", 1, 8 * spec.words).alias("point")) if verify else points
+    edges = links(bits, spec, points.count(), group)
+    found = checkpointed(connected_components(verified(edges, points, docs, spec) if verify else edges))
     linked = points.join(found, "vertex").select("point", "first", "component")
     # its own table, so that the rows of a large component meet their minimum by a join that Spark can split or broadcast
     least = checkpointed(linked.groupBy("component").agg(F.min("first").alias("component_id")))

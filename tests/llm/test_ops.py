@@ -293,6 +293,26 @@ def test_wide_search_finds_near_copies(spark):
     assert len({found[2 * i] for i in range(60)}) == 60
 
 
+def test_near_copies_are_verified_on_shingle_sets(spark):
+    r = random.Random(9)
+    line = " ".join(f"often{i}" for i in range(12))
+    own = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(40):  # one often repeated line, all else different: similarity 0.02
+        rows.append((i, " ".join([*own(150), *[line] * 20, *own(150)]), "apart"))
+    for i in range(40):  # the same words, the line once or 20 times: similarity of over 0.9
+        a, b = own(150), own(150)
+        rows += [(1000 + 2 * i, " ".join([*a, line, *b]), "near"), (1001 + 2 * i, " ".join([*a, *[line] * 20, *b]), "near")]
+    for i in range(60):  # the last 60 of 296 shingles differ: 236 / 356 = 0.66; the last 30: 266 / 326 = 0.816
+        words = own(300)
+        rows += [(2000 + 3 * i, " ".join(words), "edge"), (2001 + 3 * i, " ".join(words[:240] + own(60)), "edge"), (2002 + 3 * i, " ".join(words[:270] + own(30)), "edge")]
+    kept = {x["doc_id"] for x in simhash.without_near_duplicates(documents(spark, rows, extra=False)).collect()}
+    assert kept >= set(range(40))
+    assert kept & set(range(1000, 1080)) == set(range(1000, 1080, 2))
+    assert all(2000 + 3 * i in kept and 2001 + 3 * i in kept for i in range(60))
+    assert sum(2002 + 3 * i in kept for i in range(60)) <= 3
+
+
 # --- decontamination --------------------------------------------------------------------------------------------------------------------
 
 
