@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_terms, tokens
 from ..functions.udfs import chunk, embedded
+from ..session import checkpointed
 
 K1 = 1.2
 B = 0.75
@@ -24,6 +26,8 @@ B = 0.75
 DIGITS = 6
 #: Query terms in one broadcast.
 BLOCK_TERMS = 200_000
+#: Query vectors in one broadcast.
+BLOCK_QUERIES = 256
 
 
 def build_chunks(docs: DataFrame, size: int = 600, overlap: int = 80, source: str = "source", order: str = "doc_id") -> DataFrame:
@@ -121,12 +125,12 @@ def dense_batch(vectors: DataFrame, queries: np.ndarray, top_k: int, key: str =
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = np.stack(batch.column(1).to_pylist()).astype(np.float64)
-            scores = points @ shared.value.T
+            scores = np.round(points @ shared.value.T, DIGITS)
             keep = min(top_k, len(points))
             rows = np.argpartition(-scores, keep - 1, axis=0)[:keep]
             # ties with the last kept score stay, so that the order decides among them below
             at, query = np.nonzero(scores >= np.take_along_axis(scores, rows, axis=0).min(axis=0))
-            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), batch.column(0).take(pa.array(at)), pa.array(np.round(scores[at, query], DIGITS))], names=["query_id", key, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), batch.column(0).take(pa.array(at)), pa.array(scores[at, query])], names=["query_id", key, "score"])
 
     kind = dict(vectors.dtypes)[key]
     found = vectors.select(key, "embedding").filter("embedding IS NOT NULL").mapInArrow(best, f"query_id long, {key} {kind}, score double")
@@ -134,6 +138,21 @@ def dense_batch(vectors: DataFrame, queries: np.ndarray, top_k: int, key: str =
     return found.withColumn("rank", rank).filter(F.col("rank") <= top_k)
 
 
+def dense_all(vectors: DataFrame, queries: DataFrame, top_k: int, key: str = "vec_id", block: int = BLOCK_QUERIES) -> DataFrame:
+    """L4 for every query (query_id, embedding) of a table of any size: blocks of bounded size, each broadcast for one pass over all vectors."""
+    asked = queries.select("query_id", "embedding").filter("embedding IS NOT NULL").toLocalIterator()
+    found = None
+    while held := list(islice(asked, block)):
+        ids = F.array(*[F.lit(r["query_id"]) for r in held])
+        # written before the next block is read, so that one block at a time is held
+        part = checkpointed(dense_batch(vectors, np.array([r["embedding"] for r in held], dtype=np.float64), top_k, key).withColumn("query_id", F.get(ids, F.col("query_id").cast("int"))))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        kinds = dict(vectors.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
+        return vectors.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, {key} {kinds[key]}, score double, rank int")
+    return found
+
+
 def embed_chunks(chunks: DataFrame, encode: Callable[[list[str]], list[list[float]]], model: str) -> DataFrame:
     """E5, K7: chunks with unit vectors and the model's name."""
     return chunks.withColumn("embedding", embedded("text", encode)).withColumn("model", F.lit(model))

@@ -254,6 +254,16 @@ def dense_batch(spark, sf_dir):
     return retrieval.dense_batch(vectors, queries, 5).select("query_id", "vec_id", "score", "rank")
 
 
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS qv FROM e WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id, round(list_inner_product(v, qv), 6) AS score FROM e, q)
+SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5""")
+def dense_batch_all(spark, sf_dir):
+    """L4 for every vector whose id is divisible by 20 as a query, in blocks of bounded size, against all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.dense_all(vectors, queries, 5).select("query_id", "vec_id", "score", "rank")
+
+
 @query(f"""WITH {sql_bm25(SEARCH, DENSE_K)}, {SQL_DENSE},
 u AS (SELECT doc_id AS id, rank, 0 AS list FROM hits UNION ALL SELECT vec_id, rank, 1 FROM nearest),
 f AS (SELECT id, round(sum(1.0 / (60 + rank)::DOUBLE), 12) AS score, min(list * 1000 + rank) AS first FROM u GROUP BY id)

@@ -129,3 +129,18 @@ def test_context_picks_a_sentence(spark):
 def test_web_context():
     shown = v.render_web_context([("T", "u", "s" * 400), ("T2", "u2", "x")], 60)
     assert shown.startswith("[網路 1] T\nURL: u\n摘要：sss") and "網路 2" not in shown
+
+
+def test_dense_all_answers_every_query_in_blocks(spark):
+    points = np.random.default_rng(5).normal(size=(90, 6))
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    queries = frame.filter("vec_id % 3 = 0").selectExpr("vec_id AS query_id", "embedding")  # 30 queries in blocks of 7
+    found = {(x["query_id"], x["rank"]): x["vec_id"] for x in r.dense_all(frame, queries, 4, block=7).collect()}
+    scores = np.round(points @ points.T, 6)
+    assert found == {(q, k + 1): v for q in range(0, 90, 3) for k, v in enumerate(sorted(range(90), key=lambda v, q=q: (-scores[q, v], v))[:4])}
+    assert r.dense_all(frame, queries.limit(0), 4).count() == 0
+
+
+def test_equal_rounded_scores_are_ranked_by_id(spark):
+    frame = spark.createDataFrame([(1, [0.50000001]), (2, [0.50000002]), (3, [0.1])], "vec_id long, embedding array<double>").coalesce(1)
+    assert [x["vec_id"] for x in r.dense_batch(frame, np.array([[1.0]]), 1).collect()] == [1]
