@@ -5,7 +5,7 @@ their class, id and role) and of its text (length, share of links, marks, words
 the chain of a page's blocks by Viterbi; blocks with label 1 are the article.
 
 Results for odd input: null and empty html, and pages without text, give an empty text and 0; null or repeated ids and rows are
-pages like any other; broken markup is read on as far as it goes (a tag that the page's end cuts off is dropped); an empty
+pages like any other; a head whose end tag is missing ends where its content does; broken markup is read on as far as it goes (a tag that the page's end cuts off is dropped); an empty
 table gives an empty result.
 """
 
@@ -31,6 +31,8 @@ TRAINING_PAGES = 900
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split())
 UNSEEN = frozenset("script style noscript template iframe svg math object canvas audio video title textarea select head".split())
+#: Start tags that may stand in a head; any other ends it, as text does.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 RAW = frozenset("script style title textarea iframe".split())
 CLOSES_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt".split())
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "p": ()}
@@ -87,7 +89,13 @@ def leaf_blocks(page: str) -> list[Block]:
             if stack[i][0] in within if within is not None else name in INLINE and stack[i][0] not in INLINE:
                 return
 
+    def leave_head() -> None:
+        while any(n == "head" for n, _ in stack):
+            close("head")
+
     def text_run(raw: str, at: int) -> None:
+        if stack and stack[-1][0] == "head" and raw.strip():
+            leave_head()
         if raw and not state["unseen"]:
             clean = html.unescape(raw) if "&" in raw else raw
             if not parts:
@@ -108,6 +116,8 @@ def leaf_blocks(page: str) -> list[Block]:
         if m["end"]:
             close(name)
             continue
+        if name == "body" or name not in IN_HEAD and stack and stack[-1][0] == "head":
+            leave_head()
         if name == "br":
             parts.append(" ") if parts else None
         if name in VOID or m["rest"].endswith("/>") and name not in INLINE and name not in UNSEEN and name in ("path", "circle", "use"):

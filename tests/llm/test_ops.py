@@ -457,6 +457,17 @@ def test_known_pages(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+def test_head_without_end_tag():
+    body = "<article><h1>Head</h1><p>One &amp; two.</p><p>Three four.</p></article>"
+    head = "<html><head><meta charset=utf-8><title>t</title><style>a{}</style><noscript><img src=x></noscript><script>x</script>"
+    whole = [b.text for b in html_extract.leaf_blocks(f"{head}</head><body>{body}</body></html>")]
+    assert whole == ["Head", "One & two.", "Three four."]
+    for page in (f"{head}<body>{body}", f"{head}{body}", f"{head}<noscript><body>{body}", f"{head}<head><body>{body}</body></html>", f"{head}</hed>\n<div>{body}</div>"):
+        assert [b.text for b in html_extract.leaf_blocks(page)] == whole
+    assert html_extract.main_text(f"{head}<body>{body}", html_extract.extractor()) == html_extract.main_text(f"{head}</head><body>{body}", html_extract.extractor()) == " ".join(whole)
+    assert [b.text for b in html_extract.leaf_blocks("<head><title>t</title>Bare text.")] == ["Bare text."]
+
+
 def test_held_out_pages():
     chain = html_extract.extractor()
     right = total = 0
