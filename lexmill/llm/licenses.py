@@ -7,6 +7,11 @@ least `needed` words of the templates' vocabulary (length filter); and where the
 what they can share (positional filter). What passes is verified by counting. Words that no template has can't be shared, so
 blocks are cut to the templates' vocabulary as they are read and nothing but counts and candidate blocks is shuffled.
 
+The query takes windows as blocks (scan_windows): a template is looked for in every run of SLACK times as many words as it has, with
+line ends as separators, so that a notice may wrap and scattered words of a long line are none. Each place of a word of the prefix in
+a text is a candidate; the template's distinct words near it (length filter) and how far apart they stand (positional filter) bound
+what a window around it can hold; what passes is verified by counting in each window. `scan` takes lines as blocks.
+
 Beside the method's labels, places of the base phrases are counted word by word. Results for odd input: null text counts as
 empty (no words, no labels); null or repeated ids and rows are rows like any other; an empty table gives an empty result.
 """
@@ -27,6 +32,8 @@ from .common import checkpointed, lower_ascii, table, text_or_empty
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
+#: Words of a window, as a multiple of the template's: what holds THRESHOLD of it may have a quarter of other words.
+SLACK = 1.25
 # The base phrases with their labels, and notices that licenses ask to be used.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 TEMPLATES = (
@@ -124,14 +131,75 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     )
     shared = F.size(F.array_intersect("tokens", "template_tokens"))
     hits = candidates.filter(shared >= F.col("needed")).groupBy("row").agg(F.collect_set("label").alias("found"), F.max(shared / F.size("template_tokens")).alias("contained"))
-    joined = slim.drop("blocks").join(hits, "row", "left")
+    return labelled(slim, hits)
+
+
+def labelled(slim: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows of slim (row, doc_id, n_words, base) with the labels of hits (row, found, contained)."""
+    joined = slim.select("row", "doc_id", "n_words", "base").join(hits, "row", "left")
     labels = F.array_sort(F.array_union("base.base_labels", F.coalesce("found", F.array().cast("array<string>"))))
     score = F.when(F.size("base.base_labels") > 0, F.lit(1.0)).otherwise(F.coalesce("contained", F.lit(0.0)))
     return joined.select("doc_id", "n_words", "base.n_base", "base.first_word", "base.last_word", F.array_sort("base.base_labels").alias("base_labels"), labels.alias("labels"), score.alias("score"))
 
 
+def window_words(text: str) -> int:
+    """Words of a template's windows."""
+    return math.ceil(SLACK * sum(1 for w in re.split(SEPARATOR, text.lower()) if w))
+
+
+def scan_windows(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_column: str = "doc_id") -> DataFrame:
+    """As scan, with overlapping windows of words over the whole text as blocks."""
+    spark = docs.sparkSession
+    sets = [template_tokens(t) for _, t in templates]
+    vocabulary = sorted(set().union(*sets))
+    known = F.array(*[F.lit(w) for w in vocabulary])
+    text = text_or_empty("text")
+    split = lambda t: F.split(lower_ascii(t), SEPARATOR)  # noqa: E731  may begin with an empty word, which moves all places alike
+    enough = lambda words: reduce(lambda a, b: a | b, [F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in s]))) >= needed(len(s), threshold) for s in sets])
+    slim = checkpointed(
+        docs.select(
+            F.monotonically_increasing_id().alias("row"),
+            F.col(id_column).alias("doc_id"),
+            text.alias("text"),
+            F.array_intersect(split(text), known).alias("held"),
+        ).select(
+            "row",
+            "doc_id",
+            F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"),
+            base_scan(F.col("text")).alias("base"),
+            "held",
+            # words with their places, of texts only that hold enough of a template anywhere
+            F.when(enough(F.col("held")), F.filter(F.transform(split(F.col("text")), lambda w, i: F.struct(i.alias("at"), w.alias("token"))), lambda s: F.array_contains(known, s["token"]))).alias("words"),
+        )
+    )
+    counts = {r["token"]: r["count"] for r in slim.select(F.explode("held").alias("token")).groupBy("token").count().collect()}
+    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
+    entry, widest = [], max(window_words(t) for _, t in templates)
+    for (label, t), s in zip(templates, sets, strict=True):
+        n = needed(len(s), threshold)
+        entry += [(label, w, s, n, window_words(t)) for w in sorted(s, key=rank.__getitem__)[: len(s) - n + 1]]
+    prefix_table = spark.createDataFrame(entry, "label string, token string, template_tokens array<string>, needed int, width int")
+    in_prefix = F.array(*[F.lit(w) for w in sorted({e[1] for e in entry})])
+    # places of prefix words, each with the words that a window can hold together with it
+    near = F.transform(
+        F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(in_prefix, F.get("words", i)["token"])),
+        lambda i: F.struct(F.get("words", i)["at"].alias("at"), F.get("words", i)["token"].alias("token"), F.slice("words", F.greatest(i - widest + 2, F.lit(1)), widest + F.least(i + 1, F.lit(widest)) - 1).alias("span")),
+    )
+    places = slim.filter(F.size("words") > 0).select("row", F.explode(near).alias("place")).select("row", "place.*")
+    inside = lambda s: F.array_contains(F.col("template_tokens"), s["token"]) & (F.abs(s["at"] - F.col("at")) < F.col("width"))
+    candidates = (
+        places.join(F.broadcast(prefix_table), "token")  # the templates' size is fixed
+        .withColumn("span", F.filter("span", inside))
+        .filter(F.size("span") >= F.col("needed"))
+    )
+    held_from = lambda s: F.size(F.array_distinct(F.transform(F.filter("span", lambda x: (x["at"] >= s["at"]) & (x["at"] < s["at"] + F.col("width"))), lambda x: x["token"])))
+    shared = candidates.filter(F.size(F.array_distinct(F.transform("span", lambda s: s["token"]))) >= F.col("needed")).withColumn("shared", F.array_max(F.transform("span", held_from)))
+    hits = shared.filter("shared >= needed").groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.size("template_tokens")).alias("contained"))
+    return labelled(slim, hits)
+
+
 def op9_prefix_join_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"))
+    found = scan_windows(table(spark, sf_dir, "documents"))
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 

@@ -438,6 +438,38 @@ def test_held_out_accuracy_and_filter(spark):
     assert none.count() == docs.count() and toxicity.without_toxic(docs.limit(0), marks).count() == 0
 
 
+
+
+def test_license_windows(spark, odd):
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by"
+    scattered = " ".join(["released", *["x"] * 30, "under", *["y"] * 30, "the", *["z"] * 30, "license"])
+    r = random.Random(4)
+    words = [w for _, t in licenses.TEMPLATES for w in re.split(licenses.SEPARATOR, t) if w] + ["x", "y"]
+    mixed = [" ".join(r.choice(words) for _ in range(200)) for _ in range(10)] + [t.replace(" ", r.choice(["\n", " x ", "  "]), r.randint(1, 4)) for _, t in licenses.TEMPLATES for _ in range(4)]
+    rows = odd + [(300, grant, "l"), (301, bsd, "l"), (302, gpl, "l"), (303, scattered, "l")] + [(400 + i, t, "l") for i, t in enumerate(mixed)]
+    out = licenses.scan_windows(documents(spark, rows)).collect()
+    by_id = {x["doc_id"]: (x["labels"], round(x["score"], 9)) for x in out}
+    assert [by_id[i] for i in (300, 301, 302, 303)] == [(["mit"], 1.0), (["bsd"], 1.0), (["gpl"], 1.0), ([], 0.0)]
+
+    def brute(text):
+        tokens = [w for w in re.split(licenses.SEPARATOR, (text or "").lower()) if w]
+        base = {label for p, label in licenses.PHRASES if f" {p} " in f" {' '.join(tokens)} "}
+        found, best = set(), 0.0
+        for label, t in licenses.TEMPLATES:
+            template, width = set(licenses.template_tokens(t)), licenses.window_words(t)
+            shared = max((len(set(tokens[i : i + width]) & template) for i in range(len(tokens))), default=0)
+            if shared >= licenses.needed(len(template), licenses.THRESHOLD):
+                found.add(label)
+                best = max(best, shared / len(template))
+        return sorted(base | found), 1.0 if base else round(best, 9)
+
+    expected = Counter(repr((d, *brute(t))) for d, t, _ in rows)
+    assert Counter(repr((x["doc_id"], x["labels"], round(x["score"], 9))) for x in out) == expected
+    assert licenses.scan_windows(documents(spark, rows).limit(0)).count() == 0
+
+
 # --- html ------------------------------------------------------------------------------------------------------------------------------------
 
 PAGES = [
