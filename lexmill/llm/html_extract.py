@@ -45,6 +45,9 @@ NAMING = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""",
 HIDDEN = re.compile(r"display\s*:\s*none|\bhidden\b|aria-hidden\s*=\s*[\"']?true", re.I)
 TELLING = frozenset("cookies cookie copyright rights reserved privacy terms subscribe newsletter comments comment reply advertisement sponsored sign login share javascript consent".split())
 
+#: Marks that may stand at a word.
+MARKS = str.maketrans(dict.fromkeys(".,:;!?()", " "))
+
 
 @dataclass
 class Block:
@@ -153,16 +156,18 @@ def features_of(blocks: list[Block]) -> list[list[str]]:
     """Feature sets of a page's blocks."""
     out = []
     for b in blocks:
-        words = b.text.split(" ", 400)
-        own = {w.strip(".,:;!?()").lower() for w in words[:60]} & TELLING
+        words = b.text.count(" ") + 1
+        # all words of the block, however long it is
+        own = TELLING.intersection(b.text.lower().translate(MARKS).split())
         out.append(
             [
                 *b.ancestors,
-                f"words:{bucket(len(words), (2, 4, 8, 16, 40, 100))}",
+                f"words:{bucket(words, (2, 4, 8, 16, 40, 100))}",
                 f"linked:{bucket(b.linked / len(b.text), (0.01, 0.3, 0.8))}",
                 f"end:{b.text[-1] if b.text[-1] in '.!?:' else 'a'}",
                 f"marks:{bucket(sum(map(b.text.count, '.,!?')), (1, 2, 5))}",
                 *(f"says:{w}" for w in own),
+                f"telling:{bucket(len(own) / words, (0.004, 0.02, 0.1))}",
                 *(["sign:©"] if "©" in b.text else []),
             ]
         )

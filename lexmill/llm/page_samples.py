@@ -19,6 +19,7 @@ HEADER_NAMES = ("header", "masthead", "top", "logo", "branding")
 FOOTER_NAMES = ("footer", "copyright", "bottom", "legal", "colophon")
 SUFFIXES = ("", "", "", "-box", "-list", "-main", "_inner", "-wrapper", "1", "Area")
 NOTICES = ("We use cookies to improve your experience.", "By continuing you accept our privacy policy.", "Subscribe to our newsletter.", "Sign up to read more.", "Please enable JavaScript.")
+COMMON = ("rights", "terms", "share", "comment", "comments", "reply", "login", "privacy", "copyright", "newsletter", "subscribe", "cookies")
 FOOTERS = ("All rights reserved.", "&copy; 2024", "Terms of use", "Privacy policy", "Contact us", "Powered by")
 
 
@@ -79,6 +80,8 @@ class Pages:
 
     def notice(self) -> list:
         text = f"{self.r.choice(NOTICES)} {self.sentences(0, 2)}"
+        if self.r.random() < 0.15:  # a long one that says what it is only at its end
+            text = f"{self.sentences(5, 15)} {self.r.choice(NOTICES)}"
         button = [("<button>OK</button>", 0)] if self.r.random() < 0.4 else []
         return self.inside(self.named(NOTICE_NAMES, self.r.choice(["div", "div", "section"])), [(f"<p>{text}</p>", 0), *button])
 
@@ -88,7 +91,7 @@ class Pages:
     def comments(self) -> list:
         each = []
         for _ in range(self.r.randint(1, 4)):
-            body = [(f"<h4>{' '.join(self.words(1, 2))}</h4>", 0)] * (self.r.random() < 0.5) + [(f"<p>{self.sentences(1, 5)}</p>", 0)]
+            body = [(f"<h4>{' '.join(self.words(1, 2))}</h4>", 0)] * (self.r.random() < 0.5) + [(f"<p>{self.sentences(1, 5) if self.r.random() < 0.85 else self.sentences(8, 25)}</p>", 0)]
             each += self.inside(self.named(COMMENT_NAMES, self.r.choice(["div", "li", "div", "li", "div", "article"])), body)
         head = [(f"<h3>{self.r.choice(['Comments', 'Replies', 'Discussion'])}</h3>", 0)]
         return self.inside(self.named(COMMENT_NAMES, self.r.choice(["div", "section", "ol"])), head + each)
@@ -98,6 +101,10 @@ class Pages:
         for _ in range(self.r.choice([1, 1, 2, 2, 3, 5, 8, 12])):
             kind = self.r.random()
             text = self.sentences(1, self.r.choice([1, 3, 8])) if kind < 0.85 else self.sentences(1, 1)
+            if self.r.random() < 0.1:  # articles use the words of notices too
+                w = text.split(" ")
+                w[self.r.randrange(len(w))] = self.r.choice(COMMON)
+                text = " ".join(w)
             if kind < 0.7:
                 bold = self.r.random()
                 pieces.append((f"<p><b>{text}</b></p>" if bold < 0.1 else f"<p><b>{text}<br>" if bold < 0.2 else f"<p>{text}", 1) if bold < 0.3 else (f"<p>{text}</p>", 1))

@@ -3,20 +3,23 @@
 A fingerprint has one or more words of 64 bits. Bit j is 1 if bit j is set in over half of the shingles' hashes. Two
 fingerprints are linked if at most `radius` bits differ; documents reachable by links form a component.
 
-Search. Every fingerprint has a table of Hamming distances to reference fingerprints (pivots). The first pivots are zero and
-the unit words; the distance to unit word j, less the distance to zero, is 1 or -1 as bit j is 0 or 1, so a block of these
-relative distances is the block of bits, and fingerprints that differ in at most r bits have equal relative distances in all
-but r of any set of disjoint blocks. That gives the candidate groups: with `blocks` disjoint blocks and `equal` = blocks - r, each choice of
-`equal` blocks is one key (complete: no link is lost). The other pivots are dense random words: by the triangle
-inequality a pair whose distances to any of them differ by more than r can't be linked and is discarded; what is left is
-verified bit by bit.
-
-Wide fingerprints (512 bits) only propose links: each distinct shingle votes once, 80 keys of 16 scattered bits are searched with
-a known recall (no complete set of keys is small at such a radius), and the radius lies so far beyond the similarity asked for
-that it loses nothing. A proposed link holds if the whole shingle sets of both texts have that Jaccard similarity.
-
-A group sends out a spanning forest of its links, never all pairs; only links that are yet to be verified go out as all pairs. Groups of over GROUP fingerprints are split in parts; each
-pair of parts is a group of its own, so every pair is still compared, by many tasks.
+Search. Every distinct fingerprint has a table of its Hamming distances to PIVOTS random reference fingerprints, worked out once and
+carried with it. By the triangle inequality linked fingerprints differ by at most r in each distance, so the table is used twice:
+* Keys. A distance, cut into cells of CELL >= 2 r, gives two grids, one moved by r; linked fingerprints share a cell in one of the two.
+  A key has the cells of the first one to three pivots and a choice of blocks of the fingerprint's own bits: of `blocks` disjoint blocks
+  all but r are equal in linked fingerprints, and each choice of `blocks` - r is one key. (A block of bits is itself a table of distances, to
+  the words with one bit set, but that is how it is read here: as bits.) Keys are complete: no link is lost. They grow longer with the
+  number of fingerprints, so that a group of equal keys doesn't grow with the table.
+* Discarding. A pair in a group is discarded by the largest difference of its two tables; survivors are verified bit by bit.
+
+Near copies at a given similarity (`similarity`): five-word shingles, each distinct one voting once into 512 bits, propose links; no
+complete set of keys is small there, so keys are runs of scattered bits, as many as give each pair at that similarity a chance of RECALL,
+and as long as the number of fingerprints asks for. At that radius distances to random pivots discard nothing; the one distance that does
+is that to the empty set, the number of shingles. Proposed links make clusters; inside a cluster the whole shingle sets are compared
+and a link holds if their Jaccard similarity is `similarity` or more. Each cluster's sets move once.
+
+A group or cluster sends out a spanning forest of its links, never all pairs. One of over GROUP members (or CLUSTER_BYTES) is split in
+parts; each pair of parts is a group of its own, so every pair is still compared, by many tasks.
 
 Results for odd input: null and empty texts have fingerprint zero and are linked like any other; null doc_ids never name a
 component unless it has no other; repeated rows are rows like any other; an empty table gives an empty result.
@@ -40,17 +43,21 @@ from .common import LOWER, UPPER, checkpointed, few, shuffle_partitions, table
 from .components import connected_components
 
 SEED = 42
-#: Distinct fingerprints in a group that one task compares.
+#: Distinct fingerprints in a group that one task compares, and bytes of shingle sets in a part of a cluster.
 GROUP = 4096
-PIVOTS = 12
+CLUSTER_BYTES = 1 << 25
+PIVOTS = 8
+#: Width of a cell of a pivot's distance.
+CELL = 8
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 LANES = np.uint64(0x0101010101010101)
 
 
 @dataclass(frozen=True)
 class Fingerprints:
-    """shingle: words in a shingle; words: 64-bit words of a fingerprint; radius: most bits that linked ones differ in;
-    similarity: if given, distinct shingles vote once and links are verified on the shingle sets (Jaccard of this or more)."""
+    """shingle: words in a shingle; words: 64-bit words of a fingerprint; radius: most bits that linked ones differ in (in the first
+    SENT_WORDS words if links are verified); similarity: if given, distinct shingles vote once and links are verified on the shingle
+    sets (Jaccard of this or more)."""
 
     shingle: int = 3
     words: int = 1
@@ -58,17 +65,15 @@ class Fingerprints:
     similarity: float | None = None
 
 
-def radius_for(similarity: float, bits: int) -> int:
-    """Bits that differ, in the mean, between texts whose shingle sets have this Jaccard similarity (and equal sizes)."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
 CONTRACT = Fingerprints()
-#: Five words and a similarity of 0.8 or more. Texts at 0.8 differ in 78 bits in the mean (sets of 4 and 5 shingles in 96), with a
-#: scatter of 8: a radius of 128 is over three scatters away from any of them.
-WIDE = Fingerprints(shingle=5, words=8, radius=128, similarity=0.8)
-#: Keys of wide fingerprints, of 16 bits each. README.md has the recall.
-WIDE_KEYS = 80
+#: Words of a wide fingerprint that go with its keys. Of their bits, random fingerprints differ in 96 with a scatter of 7, texts at a
+#: similarity of 0.8 in 29 with a scatter of 5 (sets of 4 and 5 shingles in 36): a radius of 58 lies four scatters away from any of them.
+SENT_WORDS = 3
+#: Five words and a similarity of 0.8 or more.
+WIDE = Fingerprints(shingle=5, words=8, radius=58, similarity=0.8)
+#: Chance that a pair at the similarity asked for shares a key; members that a group of equal keys has in the mean.
+RECALL = 0.995
+MEMBERS = 32
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -133,7 +138,7 @@ def fingerprints_of_runs(runs: list[np.ndarray], spec: Fingerprints) -> np.ndarr
 
 
 def fingerprint_column(text: str, spec: Fingerprints):
-    """Fingerprints as big-endian bytes; behind them, if links are to be verified, 16 bytes that name the shingle set."""
+    """Fingerprints as big-endian bytes; behind them, if links are to be verified, 16 bytes that name the shingle set and 4 with its size."""
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -141,159 +146,231 @@ def fingerprint_column(text: str, spec: Fingerprints):
             out: list[bytes] = []
             for i in range(0, len(batch), 128):
                 runs = [shingle_hashes(t, spec.shingle) for t in batch.iloc[i : i + 128].tolist()]
+                if spec.similarity is not None:
+                    runs = [np.unique(r) for r in runs]
                 raw = fingerprints_of_runs(runs, spec).astype(">u8").tobytes()
                 points = [raw[j : j + 8 * spec.words] for j in range(0, len(raw), 8 * spec.words)]
-                out += points if spec.similarity is None else [p + xxhash.xxh3_128_digest(np.unique(r).tobytes()) for p, r in zip(points, runs, strict=True)]
+                out += points if spec.similarity is None else [p + xxhash.xxh3_128_digest(r.tobytes()) + len(r).to_bytes(4, "big") for p, r in zip(points, runs, strict=True)]
             yield pd.Series(out, dtype=object)
 
     return run(text)
 
 
+def words_in(points: list[bytes], words: int) -> np.ndarray:
+    """(fingerprints, words) array of the first words of fingerprints given as bytes."""
+    return np.frombuffer(b"".join([p[: 8 * words] for p in points]), dtype=">u8").astype(np.uint64).reshape(-1, words)
+
+
 def pivots(words: int, n: int = PIVOTS) -> np.ndarray:
     return mixed(np.arange(1, n * words + 1, dtype=np.uint64), 7).reshape(n, words)
 
 
 def pivot_table(points: np.ndarray) -> np.ndarray:
-    """Hamming distance of every fingerprint to every dense pivot."""
+    """Hamming distance of every fingerprint to every pivot."""
     refs = pivots(points.shape[1])
     return np.stack([np.bitwise_count(points ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
 
 
+def size_table(sizes: np.ndarray, spec: Fingerprints) -> np.ndarray:
+    """The logarithm of each set's size, scaled so that sets which are similar enough differ by at most the radius."""
+    return np.floor(np.log(np.maximum(sizes, 1)) * ((spec.radius - 1) / -math.log(spec.similarity))).astype(np.int16)[:, None]
+
+
+def distance_column(point: str, spec: Fingerprints):
+    """The table of distances of each fingerprint, as bytes."""
+
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            held = batch.tolist()
+            far = pivot_table(words_in(held, spec.words)) if spec.similarity is None else size_table(np.array([int.from_bytes(p[-4:], "big") for p in held]), spec)
+            yield pd.Series([x.tobytes() for x in far.astype("<i2")], dtype=object)
+
+    return run(point)
+
+
 @dataclass(frozen=True)
 class Keys:
-    """Choices of blocks of bits; each choice of blocks is one key of a fingerprint."""
+    """Choices of blocks of bits, and cells of the first distances; each choice with a cell of each distance is one key."""
 
     blocks: tuple[tuple[int, int], ...]  # first bit and bits of each block, inside one 64-bit word
     choices: tuple[tuple[int, ...], ...]
+    cells: int
+    radius: int
 
-    def of(self, points: np.ndarray) -> np.ndarray:
-        """(fingerprints, choices) array: choice number and the bits of its blocks."""
+    def of(self, points: np.ndarray, far: np.ndarray | None = None) -> np.ndarray:
+        """(fingerprints, keys) array: number of the choice, cells, and the bits of the blocks."""
+        far = pivot_table(points) if far is None else far
         parts = []
         for at, bits in self.blocks:
             word, shift = divmod(at, 64)
             parts.append((points[:, word] >> np.uint64(shift)) & np.uint64((1 << bits) - 1))
-        out = np.empty((len(points), len(self.choices)), dtype=np.uint64)
+        grids = [np.zeros(len(points), dtype=np.uint64)]
+        for i in range(self.cells):
+            near = far[:, i].astype(np.int64)
+            grids = [(g << np.uint64(4)) | ((near + moved) // CELL).astype(np.uint64) for g in grids for moved in (0, self.radius)]
+        out = np.empty((len(points), len(self.choices) * len(grids)), dtype=np.uint64)
         for c, choice in enumerate(self.choices):
             key = np.zeros(len(points), dtype=np.uint64)
             for b in choice:
                 key = (key << np.uint64(self.blocks[b][1])) | parts[b]
-            out[:, c] = key | (np.uint64(c) << np.uint64(50))
+            for j, grid in enumerate(grids):
+                out[:, c * len(grids) + j] = key | (grid << np.uint64(46)) | (np.uint64(c) << np.uint64(58))
         return out.view(np.int64)
 
 
 @dataclass(frozen=True)
 class ScatteredKeys:
-    """Keys of 16 bits each, drawn from all words; each run of 4 * words keys holds every bit once."""
+    """Keys of `bits` bits each, drawn from all words; keys that follow each other share no bit as long as bits last."""
 
     words: int
     n: int
+    bits: int
 
-    def of(self, points: np.ndarray) -> np.ndarray:
+    def of(self, points: np.ndarray, far: np.ndarray | None = None) -> np.ndarray:
         """(fingerprints, n) array: number of the key and its bits."""
-        bits = np.unpackbits(np.ascontiguousarray(points.astype(">u8")).view(np.uint8), axis=1)
-        r = np.random.default_rng(SEED)
-        places = np.concatenate([r.permutation(64 * self.words) for _ in range(-(-self.n // (4 * self.words)))])[: 16 * self.n]
-        found = np.ascontiguousarray(np.packbits(bits[:, places], axis=1)).view(">u2").astype(np.int64)
-        return found | (np.arange(self.n, dtype=np.int64) << 50)
+        raw = np.unpackbits(np.ascontiguousarray(points.astype(">u8")).view(np.uint8), axis=1)
+        r, whole = np.random.default_rng(SEED), 64 * self.words // self.bits * self.bits
+        places = np.concatenate([r.permutation(64 * self.words)[:whole] for _ in range(-(-self.n * self.bits // whole))])[: self.n * self.bits]
+        out = np.empty((len(points), self.n), dtype=np.int64)
+        weight = np.int64(1) << np.arange(self.bits, dtype=np.int64)
+        for i in range(self.n):
+            out[:, i] = raw[:, places[i * self.bits : (i + 1) * self.bits]] @ weight + (i << 40)
+        return out
 
 
 def keys_for(spec: Fingerprints, distinct: int) -> Keys | ScatteredKeys:
-    """Complete keys for one word and radius 3, with more blocks for more fingerprints; else scattered keys."""
-    if spec.words == 1:
-        n = spec.radius + (1 if distinct < 1 << 22 else 2 if distinct < 1 << 30 else 3)
-        edges = [64 * i // n for i in range(n + 1)]
-        blocks = tuple((a, b - a) for a, b in zip(edges, edges[1:], strict=False))
-        return Keys(blocks, tuple(combinations(range(n), n - spec.radius)))
-    return ScatteredKeys(spec.words, WIDE_KEYS)
+    """Keys that are long enough for so many fingerprints."""
+    length = math.log2(max(distinct, 2) / MEMBERS)
+    if spec.similarity is not None:
+        bits = min(32, max(10, math.ceil(length)))
+        equal = 1 - math.acos(2 * spec.similarity / (1 + spec.similarity)) / math.pi
+        return ScatteredKeys(spec.words, math.ceil(math.log(1 - RECALL) / math.log(1 - equal**bits)), bits)
+    # cells of a distance are worth a bit and a half; the forms stand in the order of the number of keys
+    forms = [(spec.radius + more, cells) for more in (1, 2, 3) for cells in (1, 2, 3)]
+    n, cells = next((f for f in forms if 64 * (f[0] - spec.radius) / f[0] + 1.5 * f[1] >= length), forms[-1])
+    edges = [64 * i // n for i in range(n + 1)]
+    blocks = tuple((a, b - a) for a, b in zip(edges, edges[1:], strict=False))
+    return Keys(blocks, tuple(combinations(range(n), n - spec.radius)), cells, spec.radius)
+
 
+def joined_in_groups(keys: np.ndarray, holds, check=None) -> tuple[np.ndarray, np.ndarray]:
+    """The two ends of each edge of a spanning forest of the links inside each group; equal keys are adjacent.
 
-def links_in_groups(keys: np.ndarray, points: np.ndarray, radius: int, forest: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside each group (or all of them); equal keys are adjacent. Returns the two ends of each edge."""
+    holds(i, j): which of the pairs (arrays of places) may be links; check(a, b), if given, decides on each pair that isn't joined yet.
+    """
     n = len(keys)
     last = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]])) if n else np.zeros(0, dtype=np.int64)
-    end = last[np.searchsorted(last, np.arange(n))]
-    far = pivot_table(points)
+    group = np.searchsorted(last, np.arange(n))
+    end = last[group] if n else last
+    first = np.concatenate([[0], last[:-1] + 1])[group] if n else last
     label = np.arange(n)
     left, right = [], []
     active, k = np.flatnonzero(end > np.arange(n)), 1
     while len(active):
-        i = active[label[active] != label[active + k]] if forest else active
-        i = i[(np.abs(far[i] - far[i + k]) <= radius).all(axis=1)]
-        i = i[np.bitwise_count(points[i] ^ points[i + k]).sum(axis=1, dtype=np.int64) <= radius]
-        if not forest:
-            left += i.tolist()
-            right += (i + k).tolist()
-        for a in i.tolist() if forest else ():
-            if (x := label[a]) != (y := label[a + k]):
+        i = active[label[active] != label[active + k]]
+        i = i[holds(i, i + k)]
+        for a in i.tolist():
+            if (x := label[a]) != (y := label[a + k]) and (check is None or check(a, a + k)):
                 left.append(a)
                 right.append(a + k)
-                lo = int(last[np.searchsorted(last, a) - 1]) + 1 if a > last[0] else 0
-                part = label[lo : int(end[a]) + 1]
+                part = label[int(first[a]) : int(end[a]) + 1]
                 part[part == y] = x
         k += 1
         active = active[end[active] - active >= k]
     return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
 
-def link_stream(words: int, radius: int, forest: bool = True):
-    """For mapInArrow over (group, vertex, point) sorted by group: the edges (a, b)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def near_enough(points: np.ndarray, far: np.ndarray, radius: int):
+    """For joined_in_groups: pairs whose tables of distances and whose bits differ by at most radius."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def holds(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        kept = (np.abs(far[i] - far[j]) <= radius).all(axis=1)
+        kept[kept] = np.bitwise_count(points[i[kept]] ^ points[j[kept]]).sum(axis=1, dtype=np.int64) <= radius
+        return kept
 
-        def links(keys, vertices, points):
-            a, b = links_in_groups(keys, points, radius, forest)
-            return pa.RecordBatch.from_arrays([pa.array(vertices[a]), pa.array(vertices[b])], schema=schema)
+    return holds
 
-        for batch in batches:
-            raw = b"".join(batch.column(2).to_pylist())
-            now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(raw, dtype=">u8").astype(np.uint64).reshape(-1, words))
-            if not len(now[0]):
-                continue
-            start = int(np.searchsorted(now[0], now[0][-1])) if now[0][0] != now[0][-1] else 0
-            if start == 0 and held and held[-1][0][-1] == now[0][0]:
-                held.append(now)  # one group goes on through the whole batch
-                continue
-            done = [*held, tuple(x[:start] for x in now)]
-            held = [tuple(x[start:] for x in now)]
-            yield links(*(np.concatenate(x) for x in zip(*done, strict=True)))
-        if held:
-            yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of batches, cut so that a group (equal values of the first column, which are adjacent) is never divided."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        start = int(np.argmax(keys == keys[-1]))
+        if start == 0 and held and held[-1].column(0)[-1].as_py() == keys[0]:
+            held.append(batch)  # one group goes on through the whole batch
+            continue
+        if held or start:
+            yield [*held, batch.slice(0, start)] if start else held
+        held = [batch.slice(start)]
+    if held:
+        yield held
+
+
+def link_stream(words: int, radius: int):
+    """For mapInArrow over (group, vertex, point, far) sorted by group: the edges (a, b) of a spanning forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_groups(batches):
+            keys, vertices = (np.concatenate([b.column(c).to_numpy() for b in whole]) for c in (0, 1))
+            points = words_in([p for b in whole for p in b.column(2).to_pylist()], words)
+            far = np.frombuffer(b"".join([p for b in whole for p in b.column(3).to_pylist()]), dtype="<i2").reshape(len(keys), -1)
+            a, b = joined_in_groups(keys, near_enough(points, far, radius))
+            yield pa.RecordBatch.from_arrays([pa.array(vertices[a]), pa.array(vertices[b])], schema=EDGES)
 
     return run
 
 
-def links(points: DataFrame, spec: Fingerprints, distinct: int, group: int = GROUP) -> DataFrame:
-    """Edges (a, b) that connect what the links connect, for distinct points (vertex long, point binary); all links, with repeats, if they are to be verified."""
-    keys = keys_for(spec, distinct)
+def in_pairs_of_parts(rows: DataFrame, parts: DataFrame, member: str) -> DataFrame:
+    """rows (group, ...) of groups with parts (group, parts), each sent to the pairs of parts that it is in, by a hash of `member`."""
+    mine = F.pmod(F.xxhash64(member), F.col("parts")).cast("int")
+    sent = rows.join(parts, "group").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return sent.withColumn("group", F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other"))).select(*rows.columns)
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, spec.words)
-                found = keys.of(raw)
-                index = pa.array(np.repeat(np.arange(part.num_rows), found.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), part.column(0).take(index), part.column(1).take(index)], names=["group", "vertex", "point"])
-
-    keyed = points.select("vertex", "point").mapInArrow(explode, "group long, vertex long, point binary")
-    n = shuffle_partitions(points.sparkSession)
-    hot = checkpointed(points.select("vertex", "point").mapInArrow(explode, "group long, vertex long, point binary").groupBy("group").count().filter(F.col("count") > group))
-    edges = None
-    if not hot.isEmpty():
-        parts = hot.select("group", F.ceil(F.col("count") / F.lit(group // 2)).cast("int").alias("parts"))
-        mine = F.pmod(F.xxhash64("point"), F.col("parts")).cast("int")
-        pairs = (
-            keyed.join(parts, "group")
-            .withColumn("mine", mine)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select(F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "vertex", "point")
-        )
-        edges = pairs.repartition(n, "group").sortWithinPartitions("group").mapInArrow(link_stream(spec.words, spec.radius, spec.similarity is None), "a long, b long")
-        keyed = keyed.join(hot.select("group"), "group", "left_anti")
-    rest = keyed.repartition(n, "group").sortWithinPartitions("group").mapInArrow(link_stream(spec.words, spec.radius, spec.similarity is None), "a long, b long")
-    return rest if edges is None else rest.unionByName(edges)
+
+def links(points: DataFrame, spec: Fingerprints, distinct: int, group: int = GROUP) -> DataFrame:
+    """Edges (a, b) that connect what the (proposed) links connect, for distinct points (vertex long, point binary, far binary)."""
+    keys, wide = keys_for(spec, distinct), spec.similarity is not None
+    sent = SENT_WORDS if wide else spec.words
+    # a set of fewer shingles is similar enough to none but its equals
+    least = math.ceil(spec.similarity / (1 - spec.similarity) - 1e-9) if wide else 0
+
+    def explode(whole: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    if wide:
+                        part = part.filter(pa.array([int.from_bytes(p[-4:], "big") >= least for p in part.column(1).to_pylist()], pa.bool_()))
+                    raw = part.column(1).to_pylist()
+                    far = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype="<i2").reshape(part.num_rows, -1) if raw else np.zeros((0, PIVOTS), dtype=np.int16)
+                    found = np.sort(keys.of(words_in(raw, spec.words), far), axis=1)
+                    new = np.ones(found.shape, dtype=bool)  # two grids may give the same cell
+                    new[:, 1:] = found[:, 1:] != found[:, :-1]
+                    if not whole:
+                        yield pa.RecordBatch.from_arrays([pa.array(found[new])], names=["group"])
+                        continue
+                    index = pa.array(np.nonzero(new)[0])
+                    short = pa.array([p[: 8 * sent] for p in raw], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(found[new]), part.column(0).take(index), short.take(index), part.column(2).take(index)], names=["group", "vertex", "point", "far"])
+
+        return run
+
+    rows = points.select("vertex", "point", "far")
+    n, stream = shuffle_partitions(points.sparkSession), link_stream(sent, spec.radius)
+    hot = checkpointed(rows.mapInArrow(explode(False), "group long").groupBy("group").count().filter(F.col("count") > group))
+    keyed = rows.mapInArrow(explode(True), "group long, vertex long, point binary, far binary")
+    found = lambda df: df.repartition(n, "group").sortWithinPartitions("group").mapInArrow(stream, "a long, b long")
+    if not (m := hot.count()):
+        return found(keyed)
+    parts = few(hot.select("group", F.ceil(F.col("count") / F.lit(group // 2)).cast("int").alias("parts")), m)
+    return found(keyed.join(few(hot.select("group"), m), "group", "left_anti")).unionByName(found(in_pairs_of_parts(keyed, parts, "point")))
 
 
 def text_key():
@@ -312,36 +389,51 @@ def shingle_set(text: str, spec: Fingerprints):
     return run(text)
 
 
-def similar(a: bytes, b: bytes, similarity: float) -> bool:
-    """The Jaccard similarity of two shingle sets is at least `similarity`."""
-    n = (len(a) + len(b)) // 8
-    shared = n - len(np.unique(np.frombuffer(a + b, dtype=np.uint64)))
-    return shared >= similarity * (n - shared) - 1e-9
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """The Jaccard similarity of two shingle sets (sorted hashes) is at least `similarity`."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
 
 
-def verified(candidates: DataFrame, points: DataFrame, docs: DataFrame, spec: Fingerprints) -> DataFrame:
-    """The links (a, b) whose whole shingle sets are similar enough; points has vertex and text_key. Only texts with candidates are read again."""
-    pairs = checkpointed(candidates.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = pairs.select(F.col("a").alias("vertex")).unionByName(pairs.select(F.col("b").alias("vertex"))).distinct()
-    wanted = checkpointed(points.select("vertex", "text_key").join(ends, "vertex"))
-    texts = docs.select(text_key().alias("text_key"), "text").join(few(wanted, wanted.count()), "text_key")
-    sets = checkpointed(texts.groupBy("vertex").agg(F.first("text").alias("text")).select("vertex", shingle_set("text", spec).alias("shingles")))
-    sized = sets.select("vertex", F.length("shingles").alias("size"))
-    # sizes alone rule many out before the sets move
-    near = pairs.join(sized.toDF("a", "size_a"), "a").join(sized.toDF("b", "size_b"), "b").filter(F.least("size_a", "size_b") >= spec.similarity * F.greatest("size_a", "size_b") - 1e-9)
-    both = near.select("a", "b").join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+def verify_stream(spec: Fingerprints):
+    """For mapInArrow over (group, vertex, shingles) sorted by group: a spanning forest of the links that hold."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.select(["a", "b"]).filter(pa.array([similar(x.as_py(), y.as_py(), spec.similarity) for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_groups(batches):
+            keys, vertices = (np.concatenate([b.column(c).to_numpy() for b in whole]) for c in (0, 1))
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for b in whole for x in b.column(2)]
+            size = np.array([len(x) for x in sets])
+            points = np.stack([majority_bits(mixed(np.concatenate(sets), i), size) for i in range(SENT_WORDS)], axis=1)
+            holds = near_enough(points, size_table(size, spec), spec.radius)
+            a, b = joined_in_groups(keys, holds, lambda i, j: similar(sets[i], sets[j], spec.similarity))  # noqa: B023
+            yield pa.RecordBatch.from_arrays([pa.array(vertices[a]), pa.array(vertices[b])], schema=EDGES)
+
+    return run
+
+
+def verified(proposed: DataFrame, points: DataFrame, docs: DataFrame, spec: Fingerprints, group: int = GROUP, most: int = CLUSTER_BYTES) -> DataFrame:
+    """Edges (a, b) of the links that hold between whole shingle sets, inside each cluster of proposed links; points has vertex and text_key.
 
-    return both.mapInArrow(keep, "a long, b long")
+    Only texts of clusters are read again.
+    """
+    clusters = connected_components(proposed)
+    wanted = checkpointed(points.select("vertex", "text_key").join(clusters.select("vertex", F.col("component").alias("group")), "vertex"))
+    texts = docs.select(text_key().alias("text_key"), "text").join(few(wanted, wanted.count()), "text_key")
+    sets = checkpointed(texts.groupBy("vertex", "group").agg(F.first("text").alias("text")).select("group", "vertex", shingle_set("text", spec).alias("shingles")))
+    sizes = sets.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("n") / F.lit(group // 2)), F.ceil(F.col("bytes") / F.lit(most // 2))).cast("int")
+    hot = checkpointed(sizes.filter((F.col("n") > group) | (F.col("bytes") > most)).select("group", parts.alias("parts")))
+    n = shuffle_partitions(docs.sparkSession)
+    found = lambda df: df.repartition(n, "group").sortWithinPartitions("group").mapInArrow(verify_stream(spec), "a long, b long")
+    if not (m := hot.count()):
+        return found(sets)
+    return found(sets.join(few(hot.select("group"), m), "group", "left_anti")).unionByName(found(in_pairs_of_parts(sets, few(hot, m), "vertex")))
 
 
 def components(docs: DataFrame, spec: Fingerprints = CONTRACT, id_column: str = "doc_id", group: int = GROUP, row_key=None) -> DataFrame:
     """Return doc_id, point (the fingerprint's bytes), component, component_id, and row_key if given, for every row of docs.
 
-    component names the component even where it has no doc_id but null. If links are verified, point has the set's name behind it.
+    component names the component even where it has no doc_id but null. If links are verified, point has the set's name and size behind it.
     """
     extra = [] if row_key is None else [row_key.alias("row_key")]
     verify = spec.similarity is not None
@@ -349,9 +441,9 @@ def components(docs: DataFrame, spec: Fingerprints = CONTRACT, id_column: str =
     rows = checkpointed(docs.select(F.col(id_column).alias("doc_id"), fingerprint_column("text", spec).alias("point"), *held, *extra))
     least_key = [F.min("text_key").alias("text_key")] if verify else []
     points = checkpointed(rows.groupBy("point").agg(F.min("doc_id").alias("first"), *least_key).withColumn("vertex", F.monotonically_increasing_id()))
-    bits = points.select("vertex", F.substring("point", 1, 8 * spec.words).alias("point")) if verify else points
-    edges = links(bits, spec, points.count(), group)
-    found = checkpointed(connected_components(verified(edges, points, docs, spec) if verify else edges))
+    tables = checkpointed(points.select("vertex", "point", distance_column("point", spec).alias("far")))
+    edges = links(tables, spec, tables.count(), group)
+    found = checkpointed(connected_components(verified(edges, points, docs, spec, group) if verify else edges))
     linked = points.join(found, "vertex").select("point", "first", "component")
     # its own table, so that the rows of a large component meet their minimum by a join that Spark can split or broadcast
     least = checkpointed(linked.groupBy("component").agg(F.min("first").alias("component_id")))

@@ -4,10 +4,14 @@ Rules (host/path, allow or block) decide the urls that they fit; of several the
 their host. A host with more allowed than blocked pages is a trusted seed, one with at least half of its pages blocked a
 blocked seed. Trust follows the links between hosts (personalised PageRank from the trusted seeds), distrust follows them
 backwards (whoever links to a blocked host shares in it). Scores are in units of a seed without links: score = seed + DAMPING *
-what arrives, ROUNDS times. A host is blocked if its distrust is at least BLOCK_FROM and above its trust.
+what arrives. A host is blocked if its distrust is at least BLOCK_FROM and above its trust.
 
-Links are counted by pair of hosts before they move, so a hub costs a row for each neighbour; messages to a host are added up
-before the shuffle; each round is checkpointed.
+Only what a round has added moves on in the next, and rounds go on until all of it together is under TOLERANCE. A round passes on at most
+DAMPING of what it gets, so no score of any host can rise by DAMPING / (1 - DAMPING) * TOLERANCE more: far below the digits that scores are
+rounded to before they are compared. There is no bound on the number of rounds: it grows with the logarithm of the number of seeds.
+
+Links are counted by pair of hosts before they move, so a hub costs a row for each neighbour; a hub of over HUB neighbours is
+divided in parts, each of which meets its score by itself; messages to a host are added up before the shuffle; each round is checkpointed.
 
 Results for odd input: a null url, or one without ://, has empty host and path and no rule (verdict allow unless its empty host
 is judged otherwise); null html has no links; null or repeated ids and rows are judged like any other; an empty table gives an
@@ -26,10 +30,16 @@ from .common import checkpointed, few, lower_ascii, table
 # The rules asked for.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 DAMPING = 0.85
-ROUNDS = 12
+#: Sum over all hosts of what a round adds, below which no more rounds follow; and digits of a score.
+TOLERANCE = 1e-9
+DIGITS = 6
+#: Neighbours of a host that one part of it has.
+HUB = 20_000
+#: Rounds whose additions are kept apart before they are added up.
+FOLD = 8
 BLOCK_FROM = 0.1
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^"'\s<>]+)"""
+LINK = r"""(?i)(?:^|[^A-Za-z0-9_])href[\t\n\f\r ]*=[\t\n\f\r ]*["']?[\t\n\f\r ]*((?:https?:)?//[^"'\t\n\f\r <>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -59,24 +69,43 @@ def host_links(pages: DataFrame) -> DataFrame:
     return pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def moving(links: DataFrame, sender: str, receiver: str, way: str, damping: float, hub: int) -> tuple[DataFrame, DataFrame]:
+    """The ways (host, part, to, share) on which scores leave each sender, and the hubs (host, parts)."""
+    sent = checkpointed(links.groupBy(sender).agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("neighbours")))
+    hubs = checkpointed(sent.filter(F.col("neighbours") > hub).select(F.col(sender).alias("host"), F.ceil(F.col("neighbours") / hub).cast("int").alias("parts")))
+    wide = links.select(F.col(sender).alias("host"), F.col(receiver).alias("to"), "n").join(few(hubs, hubs.count()), "host", "left")
+    placed = wide.select("host", F.pmod(F.xxhash64("to"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "to", "n")
+    totals = in_parts(sent.select(F.col(sender).alias("host"), "all"), few(hubs, hubs.count()))
+    ways = placed.join(totals, ["host", "part"]).select("host", "part", "to", (F.lit(damping) * F.col("n") / F.col("all")).alias("share"), F.lit(way).alias("way"))
+    return ways, hubs.withColumn("way", F.lit(way))
+
+
+def in_parts(rows: DataFrame, hubs: DataFrame, on: Sequence[str] = ("host",)) -> DataFrame:
+    """rows with a part: one row for each part of a hub, part 0 of any other host."""
+    joined = rows.join(hubs, list(on), "left")
+    return joined.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+
+def propagate(links: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING, hub: int = HUB) -> DataFrame:
     """(host, trust, distrust) of every host that either reaches, from links (source, target, n) and seeds (host, trusted, blocked)."""
-    start = seeds.select("host", F.col("trusted").cast("double").alias("trust"), F.col("blocked").cast("double").alias("distrust")).filter("trust > 0 OR distrust > 0")
+    start = checkpointed(seeds.select("host", F.inline(F.array(F.struct(F.lit("along").alias("way"), F.col("trusted").cast("double").alias("score")), F.struct(F.lit("back").alias("way"), F.col("blocked").cast("double").alias("score"))))).filter("score > 0"))
     links = checkpointed(links)
-    if links.isEmpty():
-        return start
-    out = links.groupBy("source").agg(F.sum("n").alias("out"))
-    into = links.groupBy("target").agg(F.sum("n").alias("into"))
-    share = F.lit(damping) * F.col("n")
-    # one row for each way that scores move: along a link, or back
-    moves = links.join(out, "source").select(F.col("source").alias("host"), F.col("target").alias("to"), (share / F.col("out")).alias("along"), F.lit(0.0).alias("back"))
-    moves = moves.unionByName(links.join(into, "target").select(F.col("target").alias("host"), F.col("source").alias("to"), F.lit(0.0).alias("along"), (share / F.col("into")).alias("back")))
-    moves = checkpointed(moves)
-    state = checkpointed(start)
-    for _ in range(rounds):
-        sent = moves.join(state, "host").select(F.col("to").alias("host"), (F.col("along") * F.col("trust")).alias("trust"), (F.col("back") * F.col("distrust")).alias("distrust"))
-        state = checkpointed(start.unionByName(sent).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
-    return state
+    total, added = start, start
+    if not (links.isEmpty() or start.isEmpty()):
+        along, hubs_along = moving(links, "source", "target", "along", damping, hub)
+        back, hubs_back = moving(links, "target", "source", "back", damping, hub)
+        ways, hubs = checkpointed(along.unionByName(back)), checkpointed(hubs_along.unionByName(hubs_back))
+        hubs, rounds = few(hubs, hubs.count()), 0
+        while True:
+            sent = ways.join(in_parts(added, hubs, ("host", "way")), ["host", "way", "part"]).select(F.col("to").alias("host"), "way", (F.col("share") * F.col("score")).alias("score"))
+            added = checkpointed(sent.groupBy("host", "way").agg(F.sum("score").alias("score")))
+            if (added.agg(F.sum("score")).first()[0] or 0.0) < tolerance:
+                break
+            total, rounds = total.unionByName(added), rounds + 1
+            if rounds % FOLD == 0:
+                total = checkpointed(total.groupBy("host", "way").agg(F.sum("score").alias("score")))
+    score = lambda way: F.round(F.coalesce(F.sum(F.when(F.col("way") == way, F.col("score"))), F.lit(0.0)), DIGITS)
+    return total.groupBy("host").agg(score("along").alias("trust"), score("back").alias("distrust"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, block_from: float = BLOCK_FROM, id_column: str = "page_id") -> DataFrame:
@@ -94,3 +123,30 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, block_from
 
 def op3_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
+
+
+def oracle_op3(rules: Sequence[tuple[str, str]] = RULES) -> str:
+    """The longest of all rules that fit, and what each round adds by recursion; 400 rounds leave less than TOLERANCE of any number of seeds."""
+    values = ", ".join("('{0}', '{1}', '{2}', '/{3}')".format(r, kind, *r.split("/", 1)) for r, kind in rules)
+    host = lambda url: f"translate(coalesce(regexp_extract({url}, '{URL}', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    link = LINK.replace("'", "''")
+    return rf"""
+WITH RECURSIVE rules(rule, kind, rule_host, rule_path) AS (VALUES {values}),
+u AS (SELECT row_number() OVER () AS row, page_id, html, {host("url")} AS host, coalesce(regexp_extract(url, '{URL}', 2), '') AS path FROM pages),
+f AS (SELECT row, rule, kind FROM u JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+      QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(rule) DESC, rule) = 1),
+j AS (SELECT u.row, page_id, host, path, rule, kind FROM u LEFT JOIN f ON u.row = f.row),
+c AS (SELECT host, count(*) AS n, count_if(kind = 'allow') AS a, count_if(kind = 'block') AS b FROM j GROUP BY host),
+seeds AS (SELECT host, 'along' AS way, 1.0::DOUBLE AS score FROM c WHERE a > b UNION ALL SELECT host, 'back', 1.0::DOUBLE FROM c WHERE 2 * b >= n AND b > a),
+raw AS (SELECT host AS source, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM u),
+pairs AS (SELECT source, {host("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS target FROM raw),
+l AS (SELECT source, target, count(*) AS n FROM pairs WHERE source <> target AND source <> '' AND target <> '' GROUP BY ALL),
+ways AS (SELECT source AS host, target AS goal, 'along' AS way, {DAMPING} * n / sum(n) OVER (PARTITION BY source) AS share FROM l
+         UNION ALL SELECT target, source, 'back', {DAMPING} * n / sum(n) OVER (PARTITION BY target) FROM l),
+r(host, way, score, i) AS (SELECT host, way, score, 0 FROM seeds
+  UNION ALL SELECT goal, way, sum(share * score)::DOUBLE, any_value(i) + 1 FROM r JOIN ways USING (host, way) WHERE i < 400 GROUP BY goal, way),
+s AS (SELECT host, round(coalesce(sum(score) FILTER (way = 'along'), 0.0), {DIGITS}) AS trust, round(coalesce(sum(score) FILTER (way = 'back'), 0.0), {DIGITS}) AS distrust FROM r GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(kind, CASE WHEN distrust >= {BLOCK_FROM} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(trust, 0.0) AS trust, coalesce(distrust, 0.0) AS distrust
+FROM j LEFT JOIN s ON j.host = s.host
+"""
