@@ -156,20 +156,23 @@ def scan_windows(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
     text = text_or_empty("text")
     split = lambda t: F.split(lower_ascii(t), SEPARATOR)  # noqa: E731  may begin with an empty word, which moves all places alike
     enough = lambda words: reduce(lambda a, b: a | b, [F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in s]))) >= needed(len(s), threshold) for s in sets])
+    # a text may begin or end with a separator, which makes an empty word there
+    counted = lambda parts: F.size(parts) - (F.get(parts, F.lit(0)) == "").cast("int") - ((F.size(parts) > 1) & (F.get(parts, F.size(parts) - 1) == "")).cast("int")
+    read = F.get(F.transform(F.array(split(text)), lambda parts: F.struct(counted(parts).cast("long").alias("n_words"), F.array_intersect(parts, known).alias("held"))), F.lit(0))
     slim = checkpointed(
         docs.select(
             F.monotonically_increasing_id().alias("row"),
             F.col(id_column).alias("doc_id"),
             text.alias("text"),
-            F.array_intersect(split(text), known).alias("held"),
+            read.alias("read"),
         ).select(
             "row",
             "doc_id",
-            F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"),
+            "read.n_words",
             base_scan(F.col("text")).alias("base"),
-            "held",
+            F.col("read.held").alias("held"),
             # words with their places, of texts only that hold enough of a template anywhere
-            F.when(enough(F.col("held")), F.filter(F.transform(split(F.col("text")), lambda w, i: F.struct(i.alias("at"), w.alias("token"))), lambda s: F.array_contains(known, s["token"]))).alias("words"),
+            F.when(enough(F.col("read.held")), F.filter(F.transform(split(F.col("text")), lambda w, i: F.struct(i.alias("at"), w.alias("token"))), lambda s: F.array_contains(known, s["token"]))).alias("words"),
         )
     )
     counts = {r["token"]: r["count"] for r in slim.select(F.explode("held").alias("token")).groupBy("token").count().collect()}
@@ -204,19 +207,19 @@ def op9_prefix_join_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_op9(templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """Brute force: every line against every template, and phrase places by word lists."""
-    rows = ", ".join(f"('{label}', {template_tokens(t)!r}, {needed(len(template_tokens(t)), threshold)})" for label, t in templates)
+    """Brute force: every window of words of every text against every template, and phrase places by word lists."""
+    rows = ", ".join(f"({i}, '{label}', {template_tokens(t)!r}, {needed(len(template_tokens(t)), threshold)}, {window_words(t)})" for i, (label, t) in enumerate(templates))
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES)
     return rf"""
-WITH t(label, toks, need) AS (VALUES {rows}),
+WITH t(id, label, toks, need, width) AS (VALUES {rows}),
 p(ws, label) AS (VALUES {phrases}),
 d AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
 w AS (SELECT row, doc_id, low, list_filter(regexp_split_to_array(low, '{SEPARATOR}'), lambda x: x <> '') AS ws FROM d),
 places AS (SELECT row, p.label, i - 1 AS start FROM w, unnest(range(1, len(w.ws) + 1)) u(i), p WHERE w.low LIKE '%license%' AND w.ws[i : i + len(p.ws) - 1] = p.ws),
 base AS (SELECT row, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_sort(list_distinct(list(label))) AS bl FROM places GROUP BY row),
-lines AS (SELECT row, list_distinct(regexp_split_to_array(line, '{SEPARATOR}')) AS toks FROM (SELECT row, unnest(string_split(low, chr(10))) AS line FROM d)),
-m AS (SELECT row, t.label, len(list_intersect(lines.toks, t.toks)) / len(t.toks)::DOUBLE AS c FROM lines, t WHERE len(list_intersect(lines.toks, t.toks)) >= need),
-hits AS (SELECT row, list_distinct(list(label)) AS found, max(c) AS c FROM m GROUP BY row)
+able AS (SELECT row, ws, id, t.label, toks, need, width FROM w, t WHERE len(list_intersect(ws, toks)) >= need),
+m AS (SELECT row, label, need, len(toks) AS size, max(len(list_intersect(ws[i : i + width - 1], toks))) AS shared FROM able, unnest(range(1, len(ws) + 1)) u(i) GROUP BY row, id, label, need, len(toks)),
+hits AS (SELECT row, list_distinct(list(label)) AS found, max(shared / size::DOUBLE) AS c FROM m WHERE shared >= need GROUP BY row)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(bl, ','), '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(bl, []), coalesce(found, [])))), ',') AS labels,
        CASE WHEN bl IS NOT NULL THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score

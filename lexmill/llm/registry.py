@@ -12,7 +12,7 @@ from .mixing import ORACLE_OP10, op10_weighted_fair_mix
 from .sharding import op2_bounded_ring
 from .simhash import op7_simhash_pivots
 from .toxicity import op4_gated_recurrent
-from .url_filter import op3_link_propagation
+from .url_filter import op3_link_propagation, oracle_op3
 from .warc import ORACLE_OP8, op8_segmented_warc
 
 QUERIES = {
@@ -28,4 +28,4 @@ QUERIES = {
     "op9_prefix_join_licenses": op9_prefix_join_licenses,
     "op10_weighted_fair_mix": op10_weighted_fair_mix,
 }
-ORACLES = {"op5_polynomial_dedup": ORACLE_OP5, "op8_segmented_warc": ORACLE_OP8, "op9_prefix_join_licenses": oracle_op9(), "op10_weighted_fair_mix": ORACLE_OP10}
+ORACLES = {"op3_link_propagation": oracle_op3(), "op5_polynomial_dedup": ORACLE_OP5, "op8_segmented_warc": ORACLE_OP8, "op9_prefix_join_licenses": oracle_op9(), "op10_weighted_fair_mix": ORACLE_OP10}

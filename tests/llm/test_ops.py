@@ -8,7 +8,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -500,6 +502,12 @@ def test_license_windows(spark, odd):
     expected = Counter(repr((d, *brute(t))) for d, t, _ in rows)
     assert Counter(repr((x["doc_id"], x["labels"], round(x["score"], 9))) for x in out) == expected
     assert licenses.scan_windows(documents(spark, rows).limit(0)).count() == 0
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame([(d, t) for d, t, _ in rows], columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    theirs = db.execute(licenses.oracle_op9()).fetchall()
+    in_order = ("doc_id", "n_words", "n_base", "first_word", "last_word")
+    ours = Counter((*(x[c] for c in in_order), ",".join(x["base_labels"]), ",".join(x["labels"]), round(x["score"], 9)) for x in out)
+    assert ours == Counter((*x[:7], round(x[7], 9)) for x in theirs)
 
 
 # --- html ------------------------------------------------------------------------------------------------------------------------------------
@@ -642,6 +650,9 @@ def test_url_filter_equals_brute_force(spark):
         assert x["verdict"] == kinds.get(x["rule"], by_host)
     assert {x["verdict"] for x in out if x["rule"] is None} == {"allow", "block"}
     assert url_filter.judge(frame.limit(0)).count() == 0
+    db = duckdb.connect()
+    db.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"}))
+    assert Counter(db.execute(url_filter.oracle_op3()).fetchall()) == Counter(tuple(x) for x in out)
 
 
 def test_distrust_reaches_the_end_of_a_chain(spark):
