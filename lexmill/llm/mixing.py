@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, few, shuffle_partitions, table, word_count
 
 #: Ranges for each shuffle partition, so that partitions which get ranges by hash are near equal.
-RANGES = 4
+RANGES = 2
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 
