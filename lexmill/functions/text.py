@@ -48,20 +48,25 @@ def is_ascii(text: Column | str) -> Column:
 
 def normalize_ascii(text: Column | str) -> Column:
     """P2 for ASCII text, where NFKC changes nothing: spaces for white space, no other controls, no runs of spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(column(text), f"{SPACE}+", " "), r"[\x00-\x08\x0e-\x1b\x7f]", ""), " +", " "))
+    t = column(text)
+    spaced = F.trim(F.regexp_replace(t, r"[\t-\r\x1c- ]+", " "))
+    # controls are rare, and only where some go can runs of spaces come about
+    return F.when(t.rlike(r"[\x00-\x08\x0e-\x1b\x7f]"), F.trim(F.regexp_replace(F.regexp_replace(spaced, r"[\x00-\x08\x0e-\x1b\x7f]", ""), " +", " "))).otherwise(spaced)
 
 
 def cjk_ratio(text: Column | str) -> Column:
     """Share of CJK characters; 0 for empty text."""
     t = column(text)
-    return F.when(F.length(t) > 0, F.length(F.regexp_replace(t, CJK.replace("[", "[^", 1), "")) / F.length(t)).otherwise(F.lit(0.0))
+    return F.when(~is_ascii(t), F.length(F.regexp_replace(t, CJK.replace("[", "[^", 1) + "+", "")) / F.length(t)).otherwise(F.lit(0.0))
 
 
 def url_ratio(text: Column | str) -> Column:
     """P5: share of characters inside urls; 0 for empty text."""
     t = column(text)
+    low = F.lower(t)
+    some = F.contains(low, F.lit("http")) | F.contains(low, F.lit("www."))
     inside = F.aggregate(F.regexp_extract_all(t, F.lit(URL), F.lit(0)), F.lit(0), lambda n, u: n + F.length(u))
-    return F.when(F.length(t) > 0, inside / F.length(t)).otherwise(F.lit(0.0))
+    return F.when(some, inside / F.length(t)).otherwise(F.lit(0.0))
 
 
 def has_run(text: Column | str, longest: int) -> Column:

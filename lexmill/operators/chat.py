@@ -56,11 +56,6 @@ def render(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"])), "\n")
 
 
-def word_ids(text: Column) -> Column:
-    """A stand-in tokenizer for tests: the length of each word."""
-    return F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), F.length)
-
-
 def tokenizer_ids(encode: Callable[[str], list[int]]) -> Callable[[Column], Column]:
     """Ids of the texts of an array by an injected tokenizer, in Arrow batches."""
 
@@ -84,16 +79,15 @@ def assemble(prefixes: Column, contents: Column, messages: Column, eos: int) ->
     return ids, labels
 
 
-def encode_conversations(rows: DataFrame, max_length: int = 512, eos: int = 3, ids: Callable[[Column], Column] | None = None, messages: str = "messages") -> DataFrame:
+def encode_conversations(rows: DataFrame, ids: Callable[[Column], Column], max_length: int = 512, eos: int = 3, messages: str = "messages") -> DataFrame:
     """Adds input_ids and labels; rows over max_length or without anything to learn are dropped, never cut.
 
-    ids maps an array of texts to an array of ids; without one the stand-in tokenizer is used.
+    ids maps an array of texts to an array of ids, as tokenizer_ids() does.
     """
     if max_length <= 0:
         raise ValueError("max_length must be positive")
-    to_ids = ids or (lambda texts: F.transform(texts, word_ids))
-    prefixes = to_ids(F.transform(messages, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"))))
-    contents = to_ids(F.transform(messages, lambda m: m["content"]))
+    prefixes = ids(F.transform(messages, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"))))
+    contents = ids(F.transform(messages, lambda m: m["content"]))
     read = rows.withColumns({"p_": prefixes, "c_": contents})
     input_ids, labels = assemble(F.col("p_"), F.col("c_"), F.col(messages), eos)
     encoded = read.withColumns({"input_ids": input_ids, "labels": labels}).drop("p_", "c_")

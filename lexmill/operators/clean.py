@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cjk_ratio, has_run, url_ratio
 from ..functions.udfs import normalize
+from ..session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -42,41 +43,52 @@ def reject_reason(text: str, options: CleanOptions) -> Column:
 
 
 def first_of_equal(docs: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """A3: of the rows with equal key, the first in order stays; rows are the same if equal in key and order.
+    """A3: of the rows with equal key, the first in order stays, whole and once; rows equal in key and order are told apart by their
+    place in the table. Null keys are equal, and a null in the order comes last.
 
-    The minimum is summed up before the shuffle, and rows meet their winner by key and order, so a key that a third of all rows share is
-    spread by the order.
+    The first row of each key is found before the shuffle in each task, so a key that a third of all rows share moves a row for each task.
     """
-    winners = docs.groupBy(key).agg(F.min(F.struct(*order)).alias("first_")).select(key, *[F.col(f"first_.{c}").alias(c) for c in order])
-    return docs.join(winners, [key, *order], "left_semi")
+    rows = docs.select(F.struct("*").alias("row_"), F.col(key).alias("key_"), F.monotonically_increasing_id().alias("number_"))
+    first = F.min_by("row_", F.struct(*[F.struct(F.col("row_")[c].isNull(), F.col("row_")[c]) for c in order], "number_"))
+    return rows.groupBy("key_").agg(first.alias("row_")).select(*[F.col("row_")[c].alias(c) for c in docs.columns])
 
 
-def outcomes(docs: DataFrame, options: CleanOptions = CleanOptions(), order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs with text normalised, digest and outcome (a reject reason, duplicate or accepted). Null texts are left out."""
+def judged(docs: DataFrame, options: CleanOptions = CleanOptions()) -> DataFrame:
+    """docs with text normalised, digest and reason_ (of rejection, or null). Null texts are left out."""
     read = docs.filter(F.col("text").isNotNull()).withColumn("text", normalize("text"))
-    judged = read.withColumn("reason_", reject_reason("text", options)).withColumn("digest", F.sha2("text", 256))
+    return read.withColumn("reason_", reject_reason("text", options)).withColumn("digest", F.sha2("text", 256))
+
+
+def outcomes(docs: DataFrame, options: CleanOptions = CleanOptions(), order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The rows of docs without their texts, with digest, n_chars and outcome (a reject reason, duplicate or accepted).
+
+    Texts are judged once, and what is left of them is written before it is used twice. Of equal texts the first in order is accepted, a null
+    in the order being last; rows equal in that too are told apart by their number.
+    """
+    slim = judged(docs, options).withColumn("n_chars", F.length("text")).drop("text")
     if not options.dedupe:
-        return judged.withColumn("outcome", F.coalesce("reason_", F.lit("accepted"))).drop("reason_")
-    # rejected rows leave no minimum; a filter here would be pushed down and repeat the normalisation in each of its terms
-    passed = judged.groupBy("digest").agg(F.min(F.when(F.col("reason_").isNull(), F.struct(*order))).alias("first_")).filter("first_ IS NOT NULL")
-    keys = passed.select(F.col("digest").alias("digest_"), *[F.col(f"first_.{c}").alias(f"{c}_") for c in order], F.lit(True).alias("wins_"))
-    same = F.col("digest") == F.col("digest_")
-    for c in order:
-        same = same & (F.col(c) == F.col(f"{c}_"))
-    joined = judged.join(keys, same, "left")
+        return slim.withColumn("outcome", F.coalesce("reason_", F.lit("accepted"))).drop("reason_")
+    slim = checkpointed(slim.withColumn("row_", F.monotonically_increasing_id()))
+    least = F.min(F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in order], F.col("row_").alias("first_row_")))
+    firsts = slim.filter("reason_ IS NULL").groupBy("digest").agg(least.alias("first_")).select(F.col("first_.first_row_").alias("row_"), F.lit(True).alias("wins_"))
     outcome = F.coalesce("reason_", F.when(F.col("wins_"), "accepted").otherwise("duplicate"))
-    return joined.withColumn("outcome", outcome).drop("reason_", "wins_", "digest_", *[f"{c}_" for c in order])
+    return slim.join(firsts, "row_", "left").withColumn("outcome", outcome).drop("row_", "reason_", "wins_")
 
 
 def clean_corpus(docs: DataFrame, options: CleanOptions = CleanOptions(), order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The accepted rows."""
-    return outcomes(docs, options, order).filter("outcome = 'accepted'").drop("outcome")
+    """The accepted rows, with their normalised texts and digest."""
+    read = judged(docs, options)
+    if not options.dedupe:
+        return read.filter("reason_ IS NULL").drop("reason_")
+    # a filter on the reason would be pushed down and repeat the normalisation in each of its terms: rejected rows are one group
+    first = first_of_equal(read.withColumn("key_text_", F.when(F.col("reason_").isNull(), F.col("digest"))), "key_text_", list(order))
+    return first.filter("key_text_ IS NOT NULL").drop("reason_", "key_text_")
 
 
 def report(judged: DataFrame) -> DataFrame:
     """A1, A2: one row with counts (of outcomes that occur, sorted), accepted_characters and average_accepted_characters."""
     accepted = F.col("outcome") == "accepted"
-    sums = judged.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(accepted, F.length("text")).otherwise(0)).alias("chars"))
+    sums = judged.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(accepted, F.col("n_chars")).otherwise(0)).alias("chars"))
     name = F.when(accepted, "accepted_documents").otherwise(F.col("outcome"))
     all_counts = F.array_append(F.collect_list(F.struct(name.alias("name"), F.col("n"))), F.struct(F.lit("input_documents").alias("name"), F.sum("n").alias("n")))
     taken = F.sum(F.when(accepted, F.col("n")))

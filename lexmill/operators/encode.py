@@ -3,32 +3,45 @@
 from __future__ import annotations
 
 import io
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE
+
 PAD, UNKNOWN, BEGIN, END = 0, 1, 2, 3
 #: Ids are stored in two bytes.
 MAX_VOCABULARY = 65535
-#: Sentences that the tokenizer is trained on.
-SAMPLE_LINES = 200_000
+#: Most distinct words that a tokenizer is trained from, the most frequent first; their counts are those of all documents.
+WORDS = 1_000_000
+
+
+def word_counts(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
+    """(word, count) over all documents: the `words` most frequent, ties by code point."""
+    each = docs.select(F.explode(F.split(text, SPACE + "+")).alias("word")).filter("word <> ''")
+    return each.groupBy("word").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "word").limit(words)
 
 
-def train_tokenizer(docs: DataFrame, vocabulary: int = 8192, coverage: float = 0.9995, text: str = "text", order: str = "doc_id") -> bytes:
-    """A BPE model (serialised) from a bounded sample of lines, those first by a hash of their document."""
+def train_tokenizer(docs: DataFrame, vocabulary: int = 8192, coverage: float = 0.9995, text: str = "text", words: int = WORDS) -> bytes:
+    """A BPE model (serialised). Merges never cross white space, so it is trained from words and how often all documents hold them;
+    the driver reads `words` words at most."""
     import sentencepiece
 
     if vocabulary > MAX_VOCABULARY:
         raise ValueError(f"vocabulary must be at most {MAX_VOCABULARY}")
-    lines = docs.select(F.xxhash64(order).alias("at"), F.explode(F.split(text, "\n")).alias("line")).filter("line <> ''")
-    sample = lines.orderBy("at", "line").limit(SAMPLE_LINES).select("line").toLocalIterator()
     model = io.BytesIO()
-    sentencepiece.SentencePieceTrainer.train(
-        sentence_iterator=(r["line"] for r in sample), model_writer=model, vocab_size=vocabulary, model_type="bpe", character_coverage=coverage,
-        normalization_rule_name="nmt_nfkc_cf", split_digits=True, byte_fallback=True, pad_id=PAD, unk_id=UNKNOWN, bos_id=BEGIN, eos_id=END, hard_vocab_limit=False, minloglevel=2,
-    )
+    # the trainer reads counted words from a file only; nothing but this process reads it
+    with tempfile.NamedTemporaryFile("w", suffix=".tsv", encoding="utf-8") as counted:
+        for r in word_counts(docs, text, words).toLocalIterator():
+            counted.write(f"{r['word']}\t{r['count']}\n")
+        counted.flush()
+        sentencepiece.SentencePieceTrainer.train(
+            input=counted.name, input_format="tsv", model_writer=model, vocab_size=vocabulary, model_type="bpe", character_coverage=coverage,
+            normalization_rule_name="nmt_nfkc_cf", split_digits=True, byte_fallback=True, pad_id=PAD, unk_id=UNKNOWN, bos_id=BEGIN, eos_id=END, hard_vocab_limit=False, minloglevel=2,
+        )
     return model.getvalue()
 
 

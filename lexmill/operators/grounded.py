@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import REFUSAL, column, facts, grounding_prompt, prose, rstrip, strip, topic, truncate
+from ..functions.text import REFUSAL, column, facts, grounding_prompt, let, prose, rstrip, strip, topic, truncate
 from ..session import checkpointed
 
 # Question templates; {} stands for the topic.
@@ -30,6 +31,8 @@ REFUSAL_QUESTIONS = (
     "請列出參考資料未記載的硬體價格與規格。",
     "如果參考資料不足以回答，應如何回覆？",
 )
+# Marks of the parts of a question-answer prompt, and the source that its records name.
+CONTEXT_MARK, QUESTION_MARK = "文章：", "\n問題："
 QA_SOURCE = "steven0226/drcd-zhtw-extractive-qa-sft"
 
 
@@ -39,9 +42,11 @@ def first_content(messages: Column | str, role: str) -> Column:
 
 
 def prompt_part(prompt: Column, group: int) -> Column:
-    """Context (1) or question (2) of a prompt, split at its last question mark line; null if either is empty."""
-    part = strip(F.regexp_extract(prompt, r"(?s)^文章：(.*)\n問題：(.*)\z", group))
-    return F.when(part != "", part)
+    """Context (1) or question (2) of a prompt, split at its last question line; null if that part is empty."""
+    question = F.substring_index(prompt, QUESTION_MARK, -1)
+    context = lambda q: F.substring(prompt, F.lit(len(CONTEXT_MARK) + 1), F.length(prompt) - F.length(q) - len(QUESTION_MARK + CONTEXT_MARK))
+    part = strip(let(question, context) if group == 1 else question)
+    return F.when(F.startswith(prompt, F.lit(CONTEXT_MARK)) & F.contains(prompt, F.lit(QUESTION_MARK)) & (part != ""), part)
 
 
 def evidence_window(context: Column, answer: Column, limit: int) -> Column:
@@ -56,14 +61,16 @@ def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
-def normalize_qa(rows: DataFrame, max_context_chars: int = 320) -> DataFrame:
-    """Rows (messages, article_id, qid) as grounded records (messages, source, kind, qid); rows that don't parse are dropped."""
+def normalize_qa(rows: DataFrame, max_context_chars: int = 320, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows (messages, article_id, qid) as grounded records (messages, source, kind, qid, and the columns in keep); rows that don't
+    parse are dropped."""
     if max_context_chars <= 0:
         raise ValueError("max_context_chars must be positive")
-    read = rows.select("article_id", "qid", first_content("messages", "user").alias("prompt"), first_content("messages", "assistant").alias("response"))
+    read = rows.select(*keep, "article_id", "qid", first_content("messages", "user").alias("prompt"), first_content("messages", "assistant").alias("response"))
     target = F.try_parse_json("response")
     kind = lambda path: F.schema_of_variant(F.try_variant_get(target, path, "variant"))
     parsed = read.select(
+        *keep,
         "article_id",
         "qid",
         prompt_part(F.col("prompt"), 1).alias("context"),
@@ -80,9 +87,21 @@ def normalize_qa(rows: DataFrame, max_context_chars: int = 320) -> DataFrame:
         F.lit(QA_SOURCE).alias("source"),
         F.when(F.col("answerable"), "drcd_answerable").otherwise("drcd_refusal").alias("kind"),
         "qid",
+        *keep,
     )
 
 
+def qa_records(rows: DataFrame, limit: int, order: str = "row_idx", max_context_chars: int = 320) -> tuple[DataFrame, dict[str, int]]:
+    """The first `limit` rows that parse, as records, and how many were read, valid, skipped and taken; an error if none is valid."""
+    if limit <= 0:
+        raise ValueError("limit must be positive")
+    made = checkpointed(normalize_qa(rows, max_context_chars, [order]))
+    read, valid = rows.count(), made.count()
+    if not valid:
+        raise ValueError("no question-answer row is valid")
+    return made.orderBy(order).limit(limit).drop(order), {"read": read, "valid": valid, "skipped": read - valid, "taken": min(limit, valid)}
+
+
 @dataclass(frozen=True)
 class SynthesisOptions:
     examples_per_chunk: int = 6

@@ -19,7 +19,7 @@ def largest_remainder(weights: Sequence[float], total: int) -> list[int]:
         return [total]
     for i, w in enumerate(weights, 1):
         if isinstance(w, bool) or not isinstance(w, (int, float)) or not math.isfinite(w) or w <= 0:
-            raise ValueError(f"source {i} needs a positive finite weight")
+            raise ValueError(f"weight {w!r} of source {i} is no number above 0")
     raw = [total * (w / sum(weights)) for w in weights]
     shares = [math.floor(x) for x in raw]
     for i in sorted(range(len(raw)), key=lambda i: shares[i] - raw[i])[: total - sum(shares)]:

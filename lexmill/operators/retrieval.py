@@ -32,6 +32,8 @@ BLOCK_QUERIES = 256
 
 def build_chunks(docs: DataFrame, size: int = 600, overlap: int = 80, source: str = "source", order: str = "doc_id") -> DataFrame:
     """(doc_id, source, chunk_idx, text), in the order of the documents."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and under size")
     exploded = docs.select(F.col(order).alias("doc_id"), F.col(source).alias("source"), F.posexplode(chunk("text", size, overlap)).alias("chunk_idx", "text"))
     return exploded.select("doc_id", "source", "chunk_idx", "text")
 
@@ -91,17 +93,18 @@ def ranked(scored: DataFrame, top_k: int | None, order: Sequence[str]) -> DataFr
 def bm25_batch(chunks: DataFrame, queries: DataFrame, top_k: int = 3, order: Sequence[str] = ("doc_id", "chunk_idx")) -> DataFrame:
     """BM25 of every query (query_id, text) against all chunks: query_id, the chunk's columns, score and rank.
 
-    Chunks keep only the queries' terms as they are read. A query's best rows are found by a window whose rank bound Spark
+    Chunks are tokenised once, and what they hold of the queries' terms is written; an empty term in each carries its length. A query's best rows are found by a window whose rank bound Spark
     applies before the shuffle, so a query that a third of all chunks match sends top_k rows from each task.
     """
     asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    terms = asked.select("term").distinct()
-    small = asked.count() <= BLOCK_TERMS
-    hint = F.broadcast if small else (lambda df: df)
+    asked = checkpointed(asked)
+    terms = asked.select("term").distinct().unionByName(chunks.sparkSession.range(1).select(F.lit("").alias("term")))
+    hint = F.broadcast if asked.count() <= BLOCK_TERMS else (lambda df: df)
     numbered = chunks.select(*order, tokens("text").alias("tokens")).withColumn("length", F.size("tokens"))
-    n, average = numbered.agg(F.count(F.lit(1)), F.avg("length")).first()
-    held = numbered.select(*order, "length", F.explode("tokens").alias("term")).join(hint(terms), "term", "left_semi")
-    tf = held.groupBy(*order, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    held = numbered.select(*order, "length", F.explode(F.array_append("tokens", F.lit(""))).alias("term")).join(hint(terms), "term", "left_semi")
+    tf = checkpointed(held.groupBy(*order, "length", "term").agg(F.count(F.lit(1)).alias("tf")))
+    n, average = tf.filter("term = ''").agg(F.count(F.lit(1)), F.avg("length")).first()
+    tf = tf.filter("term <> ''")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     known = asked.join(df, "term").withColumn("idf", F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("times") * weight(F.col("tf"), F.col("length"), F.col("idf"), F.lit(average or 1.0))
@@ -179,14 +182,14 @@ def fuse(rankings: Sequence[DataFrame], top_k: int | None = None, constant: int
 
 
 def rerank(hits: DataFrame, query: str, score: Callable[[list[tuple[str, str]]], list[float]]) -> DataFrame:
-    """Hits by the scores that an injected model gives to (query, text)."""
+    """Hits by the scores that an injected model gives to (query, text); hits with equal scores keep their order."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([float(x) for x in score([(query, t) for t in batch])])
 
-    return ranked(hits.drop("score", "rank").withColumn("score", run("text")), None, ["text"])
+    return ranked(hits.drop("score").withColumn("score", run("text")).withColumnRenamed("rank", "rank_"), None, ["rank_"]).drop("rank_")
 
 
 def enough_evidence(hits: DataFrame, least: float = 1.0) -> bool:

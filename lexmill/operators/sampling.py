@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 
 
+def uniform(seed: int, *keys: str) -> Column:
+    """A number from 0 to under 1 that depends on nothing but the seed and the keys: 52 bits of their MD5."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
 def packed_windows(rows: DataFrame, length: int, tokens: str = "tokens", stride: int | None = None) -> DataFrame:
     """Inputs and next-token targets at every stride of each row's tokens (G5 with fixed starts); rows not longer than length + 1 give none."""
     if length <= 0:
@@ -24,7 +30,7 @@ def packed_windows(rows: DataFrame, length: int, tokens: str = "tokens", stride:
 def random_windows(rows: DataFrame, length: int, per_row: int, seed: int, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
     """Windows with starts that are uniform and depend on nothing but seed, row key and draw."""
     last = F.size(tokens) - length - 1
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("draw")), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    draw = uniform(seed, key, "draw")
     drawn = rows.filter(last > 0).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(per_row - 1))))
     placed = drawn.withColumn("start", F.floor(draw * last).cast("int"))
     return placed.withColumns({"x": F.slice(tokens, F.col("start") + 1, length), "y": F.slice(tokens, F.col("start") + 2, length)})
@@ -33,7 +39,7 @@ def random_windows(rows: DataFrame, length: int, per_row: int, seed: int, tokens
 def weighted_choice(draws: DataFrame, weights: Sequence[float], seed: int, key: str = "draw") -> DataFrame:
     """A source for each draw, by weight; depends on seed and key only."""
     total = sum(weights)
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    u = uniform(seed, key)
     choice: Column = F.lit(len(weights) - 1)
     for i in range(len(weights) - 2, -1, -1):
         choice = F.when(u < sum(weights[: i + 1]) / total, F.lit(i)).otherwise(choice)
@@ -42,7 +48,7 @@ def weighted_choice(draws: DataFrame, weights: Sequence[float], seed: int, key:
 
 def epoch_batches(rows: DataFrame, batch: int, epoch: int, seed: int, key: str = "doc_id") -> DataFrame:
     """The rows of an epoch in shuffled order as numbered batches, by a range sort on a hash of key, seed and epoch."""
-    shuffled = rows.withColumn("order_", F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)))
+    shuffled = rows.withColumn("order_", F.md5(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.col(key).cast("string"))))
     ranged = shuffled.repartitionByRange("order_", key).sortWithinPartitions("order_", key).withColumn("number_", F.monotonically_increasing_id())
     ranged = checkpointed(ranged.withColumn("range_", F.shiftright("number_", 33)))
     counts = ranged.groupBy("range_").count().withColumn("start_", F.sum("count").over(Window.orderBy("range_")) - F.col("count")).drop("count")
@@ -68,3 +74,10 @@ def sampling_filter(rows: DataFrame, key: str = "vec_id", logits: str = "embeddi
         before = F.coalesce(F.sum("p").over(by.orderBy(F.desc("logit"), "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         each = soft(each.withColumn("before_", before).filter(F.round("before_", 12) < top_p).drop("before_", "p"))
     return each.select(key, "token", F.round("p", 9).alias("p"))
+
+
+def drawn_tokens(kept: DataFrame, seed: int, key: str = "vec_id") -> DataFrame:
+    """One token for each key, drawn by the probabilities that sampling_filter leaves; depends on seed and key only."""
+    by = Window.partitionBy(key)
+    summed = kept.withColumns({"until_": F.sum("p").over(by.orderBy("token")), "all_": F.sum("p").over(by)})
+    return summed.filter(F.col("until_") > uniform(seed, key) * F.col("all_")).groupBy(key).agg(F.min("token").alias("token"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +66,54 @@ def sql_sentences(x: str) -> str:
     return f"list_filter(list_transform(regexp_extract_all({x}, '[^。！？.!?]*[。！？.!?]|[^。！？.!?]+'), lambda s: {sql_strip('s')}), lambda s: s <> '')"
 
 
+def sql_rstrip(x: str) -> str:
+    return f"regexp_replace({x}, '{SQL_SPACE}+$', '')"
+
+
+def sql_let(value: str, name: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def sql_truncate(x: str, limit: int, name: str = "tr") -> str:
+    """P12."""
+    last = lambda m: f"CASE WHEN instr(reverse({name}h), {m}) > 0 THEN length({name}h) - instr(reverse({name}h), {m}) ELSE -1 END"
+    cut = f"greatest({last(repr('。'))}, {last('chr(10)')}, {last(repr('.'))})"
+    body = sql_let(f"substr({name}, 1, {limit})", f"{name}h", sql_let(cut, f"{name}k", sql_rstrip(f"substr({name}h, 1, CASE WHEN {name}k >= {limit // 2} THEN {name}k + 1 ELSE {limit} END)")))
+    return sql_let(sql_strip(x), name, f"CASE WHEN length({name}) <= {limit} THEN {name} ELSE {body} END")
+
+
+def sql_lines(x: str) -> str:
+    return rf"regexp_split_to_array({x}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')"
+
+
+def sql_prose(x: str, limit: int, name: str = "pr") -> str:
+    """P13."""
+    kept = f"list_filter(list_transform({sql_lines(x)}, lambda {name}a: {sql_strip(f'{name}a')}), lambda {name}b: {name}b <> '' AND NOT starts_with({name}b, '#'))"
+    return sql_truncate(f"array_to_string(list_transform({kept}, lambda {name}c: regexp_replace({name}c, '^[- ]+', '')), ' ')", limit, f"{name}t")
+
+
+def sql_facts(x: str, limit: int) -> str:
+    """P19."""
+    parts = f"list_filter(string_split(translate({sql_prose(x, 4 * limit, 'fp')}, '！？', '。。'), '。'), lambda fa: {sql_strip('fa')} <> '')"
+    return f"list_filter(list_transform({parts}, lambda fb: {sql_truncate('fb', limit, 'ft')}), lambda fc: fc <> '')"
+
+
+def sql_headings(x: str) -> str:
+    """The lines that P18 takes a topic from."""
+    bare = lambda line: sql_strip(f"regexp_replace({sql_strip(line)}, '^#+', '')")
+    return f"list_filter(list_transform({sql_lines(x)}, lambda ha: {bare('ha')}), lambda hb: hb <> '')"
+
+
+def sql_numbers(x: str) -> str:
+    """P11 for texts without the units 億, 萬 and 年: letters beyond ASCII stand as x, all else beyond ASCII as a space."""
+    plain = rf"regexp_replace(regexp_replace({x}, '[^\x00-\x7F\p{{L}}\p{{M}}\p{{N}}]', ' ', 'g'), '[^\x00-\x7F]', 'x', 'g')"
+    return rf"regexp_extract_all({plain}, '(?i)\b\d+(?:[.,]\d+)?(?:%|GB|MB|tokens?)?\b')"
+
+
+def sql_uniform(*keys: str) -> str:
+    return f"(('0x' || substr(md5({' || chr(58) || '.join(keys)}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
 SQL_CONVERSATIONS = "c AS (SELECT conv_id, list({'turn': turn, 'role': role, 'content': trim(coalesce(text, ''))} ORDER BY turn) AS m FROM conversations GROUP BY conv_id)"
 SQL_VALID = "v AS (SELECT conv_id, list_filter(m, lambda x: x.role IN ('system', 'user', 'assistant') AND x.content <> '') AS m FROM c), w AS (SELECT * FROM v WHERE len(m) >= 2 AND m[-1].role = 'assistant')"
 
@@ -92,7 +139,7 @@ hits AS (SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id,
 def clean_outcomes(spark, sf_dir):
     """P2, F1, A3, A1."""
     judged = clean.outcomes(docs(spark, sf_dir), OPTIONS)
-    return judged.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
+    return judged.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
 
 @query(f"WITH {SQL_JUDGED} SELECT doc_id, length(text) AS n_chars, sha256(text) AS digest FROM judged WHERE outcome = 'accepted'")
@@ -151,7 +198,7 @@ def hash_split_md5(spark, sf_dir):
 
 @query()
 def hash_split(spark, sf_dir):
-    """The exact hash."""
+    """The exact hash (BLAKE2b, which SQL lacks; hash_split_md5 has SQL)."""
     return quota.hash_split(docs(spark, sf_dir), 0.05).select("doc_id", F.round(hash_bucket("text"), 12).alias("place"), "split")
 
 
@@ -174,9 +221,9 @@ def content_terms(spark, sf_dir):
     return d.select("doc_id", F.size("x").alias("n_terms"), F.array_join(F.array_sort("x"), " ").alias("terms"))
 
 
-@query()
+@query(f"SELECT doc_id, array_to_string(x, ' ') AS found FROM (SELECT doc_id, {sql_numbers('text')} AS x FROM documents) WHERE len(x) > 0")
 def number_claims(spark, sf_dir):
-    """P11; word boundaries beyond ASCII can't be had in the SQL."""
+    """P11."""
     d = docs(spark, sf_dir).withColumn("found", t.numbers("text"))
     return d.filter(F.size("found") > 0).select("doc_id", F.array_join("found", " ").alias("found"))
 
@@ -184,15 +231,18 @@ def number_claims(spark, sf_dir):
 # --- chunks and retrieval ------------------------------------------------------------------------------------------------------------
 
 
-@query(rf"""WITH RECURSIVE x AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\n{{3,}}', chr(10) || chr(10), 'g'), '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g') AS body FROM documents WHERE text IS NOT NULL),
+SQL_CHUNKS = rf"""x AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\n{{3,}}', chr(10) || chr(10), 'g'), '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g') AS body FROM documents WHERE text IS NOT NULL),
 step AS (SELECT doc_id, body, 0 AS start, 0 AS stop, -1 AS i, false AS done FROM x WHERE body <> ''
   UNION ALL
   SELECT doc_id, body, greatest(start + 1, fin - 80), fin, i + 1, fin >= length(body) FROM (
     SELECT doc_id, body, nxt AS start, i, CASE WHEN nxt + 600 >= length(body) THEN length(body) WHEN mark > nxt + 300 THEN mark + 1 ELSE nxt + 600 END AS fin FROM (
       SELECT doc_id, body, i, nxt, nxt + greatest(CASE WHEN instr(rw, chr(10)) > 0 THEN length(rw) - instr(rw, chr(10)) ELSE -1 - nxt END, CASE WHEN instr(rw, '.') > 0 THEN length(rw) - instr(rw, '.') ELSE -1 - nxt END, CASE WHEN instr(rw, '。') > 0 THEN length(rw) - instr(rw, '。') ELSE -1 - nxt END) AS mark FROM (
         SELECT doc_id, body, i, start AS nxt, reverse(substr(body, start + 1, 600)) AS rw FROM step WHERE NOT done)))),
-pieces AS (SELECT doc_id, i, regexp_replace(substr(body, lag(start, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) + 1, stop - lag(start, 1, 0) OVER (PARTITION BY doc_id ORDER BY i)), '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g') AS text FROM step)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_idx, text FROM pieces WHERE i >= 0 AND text <> ''""")
+pieces AS (SELECT doc_id, i, regexp_replace(substr(body, lag(start, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) + 1, stop - lag(start, 1, 0) OVER (PARTITION BY doc_id ORDER BY i)), '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g') AS text FROM step),
+ch AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_idx, text FROM pieces WHERE i >= 0 AND text <> '')"""
+
+
+@query(f"WITH RECURSIVE {SQL_CHUNKS} SELECT doc_id, chunk_idx, text FROM ch")
 def chunk_documents(spark, sf_dir):
     """G1, G2."""
     return retrieval.build_chunks(docs(spark, sf_dir)).select("doc_id", "chunk_idx", "text")
@@ -244,20 +294,10 @@ def dense_topk(spark, sf_dir):
     return retrieval.dense(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), DENSE_K).select("rank", "vec_id", "score")
 
 
-@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS query_id, v AS qv FROM e QUALIFY row_number() OVER (ORDER BY vec_id) <= 16),
-s AS (SELECT query_id, vec_id, round(list_inner_product(v, qv), 6) AS score FROM e, q)
-SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5""")
-def dense_batch(spark, sf_dir):
-    """L4 for a block of 16 queries (the first vectors) by matrix products."""
-    vectors = table(spark, sf_dir, "embeddings")
-    queries = np.array([r[0] for r in vectors.orderBy("vec_id").select("embedding").limit(16).collect()], dtype=np.float64)
-    return retrieval.dense_batch(vectors, queries, 5).select("query_id", "vec_id", "score", "rank")
-
-
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS qv FROM e WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id, round(list_inner_product(v, qv), 6) AS score FROM e, q)
 SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5""")
-def dense_batch_all(spark, sf_dir):
+def dense_batch(spark, sf_dir):
     """L4 for every vector whose id is divisible by 20 as a query, in blocks of bounded size, against all vectors."""
     vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -283,9 +323,12 @@ def hits(spark, sf_dir, k: int = 10) -> DataFrame:
     return found.select("rank", "doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source"), "text", "score")
 
 
-@query()
+@query(f"""WITH {sql_bm25(SEARCH, 20)}, cl AS (SELECT rank, s.idx, 'doc-' || doc_id AS source, s.sentence AS claim FROM (SELECT *, {sql_sentences('text')} AS ss FROM hits), unnest(ss) WITH ORDINALITY AS s(sentence, idx)),
+cn AS (SELECT *, list_sort(list_distinct({sql_numbers('claim')})) AS nums, list_distinct(list_filter({sql_tokens('claim')}, lambda w: length(w) >= 2)) AS terms FROM cl)
+SELECT a.source AS left_source, b.source AS right_source, a.claim AS left_claim, b.claim AS right_claim FROM cn a JOIN cn b
+ON (a.rank, a.idx) < (b.rank, b.idx) AND a.source <> b.source AND len(a.nums) > 0 AND len(b.nums) > 0 AND a.nums <> b.nums AND len(list_intersect(a.terms, b.terms)) >= 3""")
 def source_conflicts(spark, sf_dir):
-    """J2 over the best hits of a query; its number pattern needs word boundaries that the SQL lacks."""
+    """J2 over the best hits of a query."""
     return verify.source_conflicts(hits(spark, sf_dir, 20))
 
 
@@ -335,17 +378,32 @@ def best_sentence(spark, sf_dir):
     return verify.best_sentences(hits(spark, sf_dir), SEARCH).select("rank", "doc_id", "best")
 
 
-@query()
+SQL_SAID = f"""sd AS (SELECT rank, doc_id, text, '[' || rank || '] 來源：doc-' || doc_id || chr(10) AS header, ss, list_transform(ss, lambda x: len(list_intersect(list_distinct({sql_tokens(repr(SEARCH))}), {sql_tokens('x')}))) AS shared
+FROM (SELECT *, {sql_sentences('text')} AS ss FROM hits)), sb AS (SELECT *, list_position(shared, list_max(shared)) AS k FROM sd)"""
+
+
+@query(f"""WITH RECURSIVE {sql_bm25(SEARCH, 10)}, {SQL_SAID},
+sx AS (SELECT rank, header, coalesce(ss[k], {sql_strip('text')}) || ' [' || rank || ']' AS body FROM sb),
+fold(i, said, room) AS (SELECT 0::BIGINT, '', 500::BIGINT UNION ALL
+  SELECT i + 1, CASE WHEN cut = '' THEN said WHEN said = '' THEN header || cut ELSE said || chr(10) || chr(10) || header || cut END, CASE WHEN room <= length(header) THEN 0 WHEN cut = '' THEN room ELSE room - length(header) - length(cut) END
+  FROM (SELECT i, said, room, header, CASE WHEN room <= length(header) THEN '' ELSE {sql_rstrip('substr(body, 1, room - length(header))')} END AS cut FROM fold JOIN sx ON sx.rank = i + 1))
+SELECT said AS answer FROM fold ORDER BY i DESC LIMIT 1""")
 def cited_answer(spark, sf_dir):
     """A running budget over ranked hits."""
     return verify.cited_sections(hits(spark, sf_dir), SEARCH, 500)
 
 
-@query()
+@query(f"""WITH RECURSIVE {sql_bm25(SEARCH, 3)}, {SQL_SAID},
+sx AS (SELECT rank, header, text, ss[k] AS best, CASE WHEN k > 1 THEN ss[k - 1] END AS before, ss[k + 1] AS after FROM sb),
+fold(i, said, room) AS (SELECT 0::BIGINT, '', 600::BIGINT UNION ALL
+  SELECT i + 1, CASE WHEN room <= length(header) THEN said WHEN said = '' THEN header || cut ELSE said || chr(10) || chr(10) || header || cut END, CASE WHEN room <= length(header) THEN 0 ELSE room - length(header) - length(cut) END
+  FROM (SELECT *, {sql_rstrip("substr(CASE WHEN best IS NULL OR length(text) <= rest THEN text WHEN length(two) + 1 + length(after) <= rest THEN two || ' ' || after ELSE two END, 1, greatest(rest, 0))")} AS cut
+    FROM (SELECT *, room - length(header) AS rest, CASE WHEN length(best) + 1 + length(before) <= room - length(header) THEN before || ' ' || best ELSE best END AS two FROM fold JOIN sx ON sx.rank = i + 1))),
+c AS (SELECT said AS context FROM fold ORDER BY i DESC LIMIT 1)
+SELECT context, '<|system|>' || chr(10) || {sql_strip(f"'{t.GROUNDING}' || chr(10) || chr(10) || '參考資料：' || chr(10) || " + sql_strip('context'))} || chr(10) || '<|user|>' || chr(10) || '{SEARCH}' || chr(10) || '<|assistant|>' || chr(10) AS prompt FROM c""")
 def context_render(spark, sf_dir):
     """R1, R2, P20, P21."""
-    text = verify.render_context(hits(spark, sf_dir, 3), SEARCH, 600)
-    return spark.range(1).select(F.lit(text).alias("context"), t.chat_prompt(F.lit(SEARCH), t.grounding_prompt(F.lit(text))).alias("prompt"))
+    return verify.context(hits(spark, sf_dir, 3), SEARCH, 600).select("context", t.chat_prompt(F.lit(SEARCH), t.grounding_prompt("context")).alias("prompt"))
 
 
 # --- chat and grounded records -----------------------------------------------------------------------------------------------------------
@@ -378,7 +436,7 @@ def chat_quota(spark, sf_dir):
 
 @query()
 def conversation_fingerprint(spark, sf_dir):
-    """P25: the exact hash."""
+    """P25: the exact hash (BLAKE2b, which SQL lacks)."""
     return talks(spark, sf_dir).select("conv_id", message_fingerprint("messages").alias("fingerprint"))
 
 
@@ -388,6 +446,11 @@ def chat_render(spark, sf_dir):
     return talks(spark, sf_dir).select("conv_id", chat.render(F.col("messages")).alias("rendered"))
 
 
+def word_lengths(texts):
+    """Ids that SQL can give, too: the length of each word."""
+    return F.transform(texts, lambda text: F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), F.length))
+
+
 def sql_ids(x: str) -> str:
     return rf"list_transform(list_filter(regexp_split_to_array({x}, '[\t-\r ]+'), lambda w: w <> ''), lambda w: length(w))"
 
@@ -398,8 +461,8 @@ e AS (SELECT conv_id, flatten(list_transform(m, lambda x: list_concat([length('<
   flatten(list_transform(m, lambda x: list_concat([-100], list_transform({sql_ids('x.content')}, lambda i: CASE WHEN x.role = 'assistant' THEN i ELSE -100 END), CASE WHEN x.role = 'assistant' THEN [3] ELSE [] END))) AS labels FROM w)
 SELECT conv_id, len(ids) AS n_tokens, array_to_string(ids[:-2], ' ') AS x, array_to_string(labels[2:], ' ') AS y FROM e WHERE len(ids) <= 512""")
 def answer_mask(spark, sf_dir):
-    """E3, F5, G7 with the stand-in tokenizer."""
-    rows = chat.encode_conversations(talks(spark, sf_dir))
+    """E3, F5, G7 with the lengths of words as ids."""
+    rows = chat.encode_conversations(talks(spark, sf_dir), word_lengths)
     x, y = chat.next_token("input_ids", "labels")
     show = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), " ")
     return rows.select("conv_id", F.size("input_ids").alias("n_tokens"), show(x).alias("x"), show(y).alias("y"))
@@ -440,7 +503,20 @@ def drcd_normalize(spark, sf_dir):
     return made.select("qid", "kind", F.col("messages")[2]["content"].alias("completion"), context.alias("context"))
 
 
-@query()
+def sql_named(templates: tuple[str, ...], i: str) -> str:
+    listed = ", ".join(f"'{x}'" for x in templates)
+    return f"replace([{listed}][{i} % {len(templates)} + 1], '{{}}', topic)"
+
+
+@query(f"""WITH RECURSIVE {SQL_CHUNKS},
+o AS (SELECT ch.doc_id, chunk_idx, ch.text, source, row_number() OVER (ORDER BY ch.doc_id, chunk_idx) - 1 AS n, count(*) OVER () AS all_n FROM ch JOIN documents USING (doc_id)),
+nb AS (SELECT a.*, {sql_truncate('a.text', 90, 'ca')} AS c1, {sql_truncate('b.text', 90, 'cb')} AS c2, {sql_headings('a.text')} AS h, regexp_extract(a.source, '([^/]*)/*$', 1) AS name FROM o a JOIN o b ON b.n = (a.n + 1) % a.all_n),
+an AS (SELECT *, {sql_prose('c1', 90, 'pa')} AS a1, {sql_prose('c2', 90, 'pb')} AS a2, {sql_facts('c1', 180)} AS f,
+  replace(CASE WHEN regexp_matches(name, '^.+\\.[^.]+$') THEN regexp_replace(name, '\\.[^.]*$', '') ELSE name END, '_', ' ') AS stem FROM nb),
+rd AS (SELECT doc_id, chunk_idx, coalesce(substr(h[1], 1, 80), nullif(stem, ''), '參考資料中的主題') AS topic, a1 || ' [1] ' || a2 || ' [2]' AS whole, CASE WHEN len(f) > 0 THEN f ELSE [a1] END AS f FROM an WHERE c1 <> '' AND c2 <> '' AND a1 <> '' AND a2 <> '')
+SELECT doc_id, chunk_idx, i::INT AS idx, CASE WHEN i < 6 THEN 'rag_summary' WHEN i < 7 THEN 'rag_fact' ELSE 'rag_refusal' END AS kind,
+  CASE WHEN i < 6 THEN {sql_named(grounded.SUMMARY_QUESTIONS, 'i')} WHEN i < 7 THEN {sql_named(grounded.FACT_QUESTIONS, '(i - 6)')} ELSE {sql_named(grounded.REFUSAL_QUESTIONS, '(i - 7)')} END AS question,
+  CASE WHEN i < 6 THEN whole WHEN i < 7 THEN f[(i - 6) % len(f) + 1] || ' [1]' ELSE '{t.REFUSAL}' END AS answer FROM rd, range(9) g(i)""")
 def rag_sft_records(spark, sf_dir):
     """G3, P12, P13, P18, P19, J5 over all chunks, with a neighbour each."""
     made = grounded.synthesize(retrieval.build_chunks(docs(spark, sf_dir)), grounded.SynthesisOptions(examples_per_chunk=7, context_chunks=2))
@@ -454,7 +530,7 @@ def topics(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", t.topic("text", F.concat(F.lit("x/doc_"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("topic"))
 
 
-@query()
+@query(f"SELECT doc_id, idx - 1 AS idx, s.fact FROM (SELECT doc_id, {sql_facts('text', 180)} AS ff FROM documents), unnest(ff) WITH ORDINALITY AS s(fact, idx)")
 def topic_facts(spark, sf_dir):
     """P12, P13, P19."""
     return docs(spark, sf_dir).select("doc_id", F.posexplode(t.facts("text", 180)).alias("idx", "fact"))
@@ -463,16 +539,26 @@ def topic_facts(spark, sf_dir):
 # --- sampling, schedules, encoding, the rest -------------------------------------------------------------------------------------------------
 
 
-@query("""WITH l AS (SELECT vec_id, unnest(range(len(embedding))) AS token, unnest(embedding)::DOUBLE / 0.1 AS x FROM embeddings),
+SQL_SAMPLED = """l AS (SELECT vec_id, unnest(range(len(embedding))) AS token, unnest(embedding)::DOUBLE / 0.1 AS x FROM embeddings),
 k AS (SELECT * FROM l QUALIFY rank() OVER (PARTITION BY vec_id ORDER BY x DESC) <= 20),
 p AS (SELECT *, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM k), s AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM p),
-c AS (SELECT * FROM s QUALIFY round(coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY x DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 12) < 0.9)
-SELECT vec_id, token, round(e / sum(e) OVER (PARTITION BY vec_id), 9) AS p FROM c""")
+c AS (SELECT * FROM s QUALIFY round(coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY x DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 12) < 0.9),
+f AS (SELECT vec_id, token, round(e / sum(e) OVER (PARTITION BY vec_id), 9) AS p FROM c)"""
+
+
+@query(f"WITH {SQL_SAMPLED} SELECT vec_id, token, p FROM f")
 def sampling_filter(spark, sf_dir):
     """Vectors as logits, temperature 0.1, top 20, nucleus 0.9."""
     return sampling.sampling_filter(table(spark, sf_dir, "embeddings"), temperature=0.1, top_k=20, top_p=0.9)
 
 
+@query(f"""WITH {SQL_SAMPLED}, u AS (SELECT vec_id, token, sum(p) OVER (PARTITION BY vec_id ORDER BY token) AS until, sum(p) OVER (PARTITION BY vec_id) AS whole FROM f)
+SELECT vec_id, min(token)::INT AS token FROM u WHERE until > {sql_uniform("'42'", "vec_id")} * whole GROUP BY vec_id""")
+def token_draw(spark, sf_dir):
+    """A token drawn from what the sampling filter leaves."""
+    return sampling.drawn_tokens(sampling_filter(spark, sf_dir), 42)
+
+
 @query("""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_.+-]*'), lambda w: length(w)) AS toks FROM documents)
 SELECT doc_id, start, array_to_string(toks[start + 1 : start + 16], ' ') AS x, array_to_string(toks[start + 2 : start + 17], ' ') AS y FROM (SELECT doc_id, toks, unnest(range(0, greatest(len(toks) - 17, 0), 16)) AS start FROM t)""")
 def pack_windows(spark, sf_dir):
@@ -482,15 +568,16 @@ def pack_windows(spark, sf_dir):
     return sampling.packed_windows(rows, 16).select("doc_id", "start", show(F.col("x")).alias("x"), show(F.col("y")).alias("y"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, len({sql_tokens('text')}) - 17 AS last FROM documents), d AS (SELECT doc_id, draw, floor({sql_uniform("'42'", "doc_id", "draw")} * last)::INT AS start, {sql_uniform("'42'", "(doc_id || '/' || draw)")} AS u FROM t, range(2) r(draw) WHERE last > 0)
+SELECT doc_id, draw::INT AS draw, start, CASE WHEN u < 0.5 THEN 0 WHEN u < 0.8 THEN 1 ELSE 2 END AS source_idx FROM d""")
 def random_batches(spark, sf_dir):
     """Two windows of each document at random starts, each with a source by weight."""
     rows = docs(spark, sf_dir).select("doc_id", F.transform(t.tokens("text"), F.length).alias("tokens"))
-    drawn = sampling.random_windows(rows, 16, 2, 42).withColumn("key", F.xxhash64("doc_id", "draw"))
+    drawn = sampling.random_windows(rows, 16, 2, 42).withColumn("key", F.concat_ws("/", F.col("doc_id").cast("string"), F.col("draw").cast("string")))
     return sampling.weighted_choice(drawn, [0.5, 0.3, 0.2], 42, "key").select("doc_id", "draw", "start", "source_idx")
 
 
-@query()
+@query("SELECT doc_id, ((row_number() OVER (ORDER BY md5('42:0:' || doc_id), doc_id) - 1) // 32)::BIGINT AS batch FROM documents")
 def shuffled_epoch(spark, sf_dir):
     """Documents in batches of 32."""
     return sampling.epoch_batches(docs(spark, sf_dir).select("doc_id"), 32, 0, 42)
@@ -499,7 +586,7 @@ def shuffled_epoch(spark, sf_dir):
 @query("""SELECT s AS step, round(CASE WHEN s * 1000 < 100000 THEN 0.001 * (s * 1000) / 100000.0 ELSE 0.001 * 0.1 + 0.001 * 0.9 * 0.5 * (1 + cos(pi() * (s * 1000 - 100000) / 900000.0)) END, 12) AS pretrain,
 round(0.0005 * least(1.0, (s + 1) / 30.0) * (1 - 0.9 * s / 1000.0), 12) AS tuning, printf('%d:%02d:%02d', s * 7 // 3600, s * 7 // 60 % 60, s * 7 % 60) AS elapsed FROM range(1001) r(s)""")
 def lr_schedule(spark, sf_dir):
-    """N1, N2, N3, P30."""
+    """N1, N2, P30."""
     rows = spark.range(1001).withColumnRenamed("id", "step")
     pre = schedule.pretrain_rate(F.col("step") * 1000, 1_000_000, 100_000, 0.001)
     return rows.select("step", F.round(pre, 12).alias("pretrain"), F.round(schedule.tuning_rate("step", 1000, 30, 0.0005), 12).alias("tuning"), t.duration(F.col("step") * 7).alias("elapsed"))
@@ -507,7 +594,7 @@ def lr_schedule(spark, sf_dir):
 
 @query()
 def encode_corpus(spark, sf_dir):
-    """A tokenizer trained on the corpus, and the corpus encoded with it."""
+    """A tokenizer trained on the corpus, and the corpus encoded with it. No SQL can train one."""
     d = docs(spark, sf_dir)
     made = encode.encode_corpus(d, encode.train_tokenizer(d, 1000))
     return made.select("doc_id", F.size("tokens").alias("n_tokens"), F.xxhash64("tokens").alias("digest"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -20,19 +21,32 @@ from ..sources.readers import existing
 
 @dataclass
 class Workflow:
-    """Runs named stages into tables under a folder; with resume, a stage whose table is whole isn't run again."""
+    """Runs named stages into tables under a folder (W2); with resume, a stage whose table is whole isn't run again.
+
+    A table's name has a digest of the options of its stage and of those before it, so that other options never meet an old table.
+    """
 
     spark: SparkSession
     folder: str
     resume: bool = True
     ran: list[str] = field(default_factory=list)
+    digest: str = ""
 
-    def stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    def stage(self, name: str, make: Callable[[], DataFrame], *options: object) -> DataFrame:
+        self.digest = hashlib.sha256(f"{self.digest}/{name}/{options!r}".encode()).hexdigest()[:12]
         path = f"{self.folder}/{name}"
-        if not (self.resume and existing(self.spark, [f"{path}/_SUCCESS"])):
-            make().write.mode("overwrite").parquet(path)
+        made = f"{path}/options={self.digest}"
+        if not (self.resume and existing(self.spark, [f"{made}/_SUCCESS"])):
+            make().write.mode("overwrite").parquet(made)
             self.ran.append(name)
-        return self.spark.read.parquet(path)
+        return self.spark.read.parquet(made)
+
+
+def counters(read: DataFrame, kept: DataFrame, tokens: str | None = None) -> DataFrame:
+    """One row with how many rows were read, accepted and skipped, and the tokens of those accepted."""
+    n = read.agg(F.count(F.lit(1)).alias("read"))
+    taken = kept.agg(F.count(F.lit(1)).alias("accepted"), *([F.coalesce(F.sum(F.size(tokens)), F.lit(0)).alias("tokens")] if tokens else []))
+    return n.join(F.broadcast(taken)).withColumn("skipped", F.col("read") - F.col("accepted"))  # one row each
 
 
 def not_empty(df: DataFrame, what: str) -> DataFrame:
@@ -44,18 +58,18 @@ def not_empty(df: DataFrame, what: str) -> DataFrame:
 def run_corpus(spark: SparkSession, docs: DataFrame, folder: str, options: CleanOptions = CleanOptions(), ratio: float = 0.01, vocabulary: int = 8192, convert: Callable[[str], str] | None = None, resume: bool = True) -> DataFrame:
     """Convert, clean, split, train a tokenizer, encode both sides. Returns (doc_id, split, tokens)."""
     flow = Workflow(spark, folder, resume)
-    raw = docs if convert is None else flow.stage("converted", lambda: docs.withColumn("text", converted("text", convert)))
-    clean = not_empty(flow.stage("clean", lambda: clean_corpus(raw, options)), "document passed the filters")
-    split = flow.stage("split", lambda: hash_split(clean, ratio))
+    raw = docs if convert is None else flow.stage("converted", lambda: docs.withColumn("text", converted("text", convert)), getattr(convert, "__qualname__", type(convert).__name__))
+    clean = not_empty(flow.stage("clean", lambda: clean_corpus(raw, options), options), "document passed the filters")
+    split = flow.stage("split", lambda: hash_split(clean, ratio), ratio)
     counts = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
     if len(counts) < 2:
         raise ValueError(f"one side of the split is empty: {counts}")
-    model = flow.stage("tokenizer", lambda: spark.createDataFrame([(bytearray(train_tokenizer(split.filter("split = 'train'"), vocabulary)),)], "model binary")).first()["model"]
+    model = flow.stage("tokenizer", lambda: spark.createDataFrame([(bytearray(train_tokenizer(split.filter("split = 'train'"), vocabulary)),)], "model binary"), vocabulary).first()["model"]
     return flow.stage("tokens", lambda: encode_corpus(split, bytes(model)).select("doc_id", "split", "tokens"))
 
 
-def run_chat(spark: SparkSession, sources: Sequence[tuple[ChatSource, DataFrame]], folder: str, limit: int = 40000, max_length: int = 512, model: bytes | None = None, resume: bool = True) -> DataFrame:
-    """Collect conversations, encode and pad them. Returns messages, source, input_ids and labels."""
+def run_chat(spark: SparkSession, sources: Sequence[tuple[ChatSource, DataFrame]], folder: str, model: bytes, limit: int = 40000, max_length: int = 512, resume: bool = True) -> DataFrame:
+    """Collect conversations, encode (with a tokenizer's model) and pad them. Returns messages, source, input_ids and labels."""
     flow = Workflow(spark, folder, resume)
 
     def normal(source: ChatSource, rows: DataFrame) -> DataFrame:
@@ -66,16 +80,16 @@ def run_chat(spark: SparkSession, sources: Sequence[tuple[ChatSource, DataFrame]
             read = normalize_alpaca(numbered, source.instruction_column, source.input_column, source.output_column)
         return read.select("row_idx", "messages", F.lit(source.dataset).alias("source"), message_fingerprint("messages").alias("digest"))
 
-    rows = flow.stage("records", lambda: collect_conversations([(normal(s, df), s.limit) for s, df in sources], limit, "digest", "row_idx"))
-    return not_empty(flow.stage("examples", lambda: encoded(rows, max_length, model)), "conversation fits the length")
+    sources_named = [s for s, _ in sources]
+    rows = flow.stage("records", lambda: collect_conversations([(normal(s, df), s.limit) for s, df in sources], limit, "digest", "row_idx"), limit, sources_named)
+    return not_empty(flow.stage("examples", lambda: encoded(rows, max_length, model), max_length, hashlib.sha256(model).hexdigest()), "conversation fits the length")
 
 
-def encoded(rows: DataFrame, max_length: int, model: bytes | None) -> DataFrame:
-    ids = None if model is None else tokenizer_ids(conversation_encoder(model))
-    return pad(encode_conversations(rows, max_length, END, ids), max_length, PAD)
+def encoded(rows: DataFrame, max_length: int, model: bytes) -> DataFrame:
+    return pad(encode_conversations(rows, tokenizer_ids(conversation_encoder(model)), max_length, END), max_length, PAD)
 
 
-def run_grounded(spark: SparkSession, folder: str, qa: DataFrame | None = None, chunks: DataFrame | None = None, options: SynthesisOptions = SynthesisOptions(), max_length: int = 512, model: bytes | None = None, resume: bool = True) -> DataFrame:
+def run_grounded(spark: SparkSession, folder: str, model: bytes, qa: DataFrame | None = None, chunks: DataFrame | None = None, options: SynthesisOptions = SynthesisOptions(), max_length: int = 512, resume: bool = True) -> DataFrame:
     """Grounded records from question-answer rows, from chunks or both, merged without repeats, encoded and padded."""
     if qa is None and chunks is None:
         raise ValueError("question-answer rows or chunks are needed")
@@ -83,7 +97,7 @@ def run_grounded(spark: SparkSession, folder: str, qa: DataFrame | None = None,
     if qa is not None:
         parts.append(flow.stage("qa", lambda: normalize_qa(qa)))
     if chunks is not None:
-        parts.append(flow.stage("synthetic", lambda: synthesize(chunks, options).select("messages", "source", "kind", F.lit(None).cast("string").alias("qid"))))
+        parts.append(flow.stage("synthetic", lambda: synthesize(chunks, options).select("messages", "source", "kind", F.lit(None).cast("string").alias("qid")), options))
     keyed = [p.withColumn("row_idx", F.monotonically_increasing_id()).withColumn("digest", message_fingerprint("messages")) for p in parts]
     merged = not_empty(flow.stage("merged", lambda: merge_records(keyed, "digest", "row_idx")), "grounded record")
-    return flow.stage("examples", lambda: encoded(merged, max_length, model))
+    return flow.stage("examples", lambda: encoded(merged, max_length, model), max_length, hashlib.sha256(model).hexdigest())

@@ -39,11 +39,15 @@ def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints.
 
-    Only a session without spark.checkpoint.dir (a test on one machine) gets a folder of its own.
+    Only a local session without spark.checkpoint.dir (a test on one machine) gets a folder of its own; on a cluster, where other machines
+    couldn't read it, that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_space
 from ..operators.quota import largest_remainder, take_quotas
-from .manifests import TextSource
+from .manifests import TextSource, training_mix
 
 MESSAGES = "array<struct<role: string, content: string>>"
 RECORD = f"messages {MESSAGES}, source string, kind string, qid string"
@@ -62,12 +64,40 @@ def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """(source, text) of all .md and .txt files under a path, source being the path below it."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,txt,MD,TXT,Md,Txt}").text(path, wholetext=True)
+    """(doc_id, source, text) of all .md and .txt files (in any case) under a path, source being the path below it; doc_id grows in
+    the order of the sources. No such file is an error."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[mM][dD],[tT][xX][tT]}").text(path, wholetext=True)
     full = F.col("_metadata.file_path")
     root = path.rstrip("/").removeprefix("file:")
     below = F.when(F.contains(full, F.lit(f"{root}/")), F.substring_index(full, f"{root}/", -1)).otherwise(F.substring_index(full, "/", -1))
-    return files.select(F.url_decode(below).alias("source"), F.col("value").alias("text"))
+    found = files.select(F.url_decode(below).alias("source"), F.col("value").alias("text"))
+    if found.isEmpty():
+        raise ValueError(f"{path} has no .md or .txt files")
+    return found.orderBy("source").select(F.monotonically_increasing_id().alias("doc_id"), "source", "text")
+
+
+def read_token_stream(spark: SparkSession, path: str, end: int = 3) -> DataFrame:
+    """(file, doc_idx, tokens) of files of two-byte little-endian ids, a row for each run of ids up to `end`."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.frombuffer(content.as_buffer(), dtype="<u2")
+                ends = np.flatnonzero(ids == end) + 1
+                if len(ids) and (not len(ends) or ends[-1] != len(ids)):
+                    raise ValueError(f"{name} doesn't end with {end}")
+                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ends), pa.string()), pa.array(np.arange(len(ends), dtype=np.int64)), lists], names=["file", "doc_idx", "tokens"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(split, "file string, doc_idx long, tokens array<int>")
+
+
+def read_token_mix(spark: SparkSession, manifest: str) -> DataFrame:
+    """The token streams of a training manifest, with source_idx and share (of all weights)."""
+    parts = [read_token_stream(spark, path).withColumns({"source_idx": F.lit(i), "share": F.lit(share)}) for i, (path, share) in enumerate(training_mix(manifest))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -1,21 +1,39 @@
-"""Writers (K1-K7). Spark's commit protocol makes each atomic: a reader sees a whole table or none."""
+"""Writers (K1-K7). A table is written beside its path and renamed, so that a reader sees the old one or the new one, whole."""
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows in a file of a token stream, which is read whole.
+STREAM_ROWS = 100_000
+
+
+def replace(rows: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> None:
+    """write(rows, beside), then put what it wrote in the place of `path`."""
+    spark, beside = rows.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}.partial"
+    write(rows, beside)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path))
+    fs = new.getFileSystem(conf)
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{beside} couldn't be renamed")
+
+
 def write_text(rows: DataFrame, path: str, text: str = "text") -> None:
     """K1: a document for each line."""
-    rows.select(F.regexp_replace(text, r"[\r\n]+", " ").alias("value")).write.mode("overwrite").text(path)
+    replace(rows.select(F.regexp_replace(text, r"[\r\n]+", " ").alias("value")), path, lambda df, p: df.write.text(p))
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -29,12 +47,31 @@ def write_report(report: DataFrame, path: str) -> None:
 
 def write_records(records: DataFrame, path: str) -> None:
     """K3: JSON lines."""
-    records.write.mode("overwrite").json(path)
+    replace(records, path, lambda df, p: df.write.json(p))
 
 
 def write_tokens(rows: DataFrame, path: str) -> None:
     """K4: a table of token arrays."""
-    rows.write.mode("overwrite").parquet(path)
+    replace(rows, path, lambda df, p: df.write.parquet(p))
+
+
+def write_token_stream(rows: DataFrame, path: str, tokens: str = "tokens", end: int = 3) -> None:
+    """K4: files of two-byte little-endian ids, a row's after the one before. Each row must end with the id `end` and have no other.
+
+    The text writer writes them: a line's end is the id `end`, so nothing stands between the ids of two rows.
+    """
+
+    @F.pandas_udf("binary")
+    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            ids = [np.asarray(x) for x in batch]
+            if any(not len(x) or x[-1] != end or (x[:-1] == end).any() or x.max() > 0xFFFF or x.min() < 0 for x in ids):
+                raise ValueError(f"rows must be ids of two bytes that end with {end} and hold no other")
+            yield pd.Series([x[:-1].astype("<u2").tobytes() for x in ids], dtype=object)
+
+    line_end = int(end).to_bytes(2, "little").decode("ascii")
+    packed = rows.select(pack(tokens).cast("string").alias("value"))
+    replace(packed, path, lambda df, p: df.write.option("lineSep", line_end).option("maxRecordsPerFile", STREAM_ROWS).text(p))
 
 
 def token_stream(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -50,9 +87,13 @@ def token_stream(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """K6: a chunk table; an empty one is an error."""
-    chunks.write.mode("overwrite").parquet(path)
-    if chunks.sparkSession.read.parquet(path).limit(1).count() == 0:
-        raise ValueError("no text to index")
+
+    def write(rows: DataFrame, to: str) -> None:
+        rows.write.parquet(to)
+        if rows.sparkSession.read.parquet(to).isEmpty():
+            raise ValueError("no text to index")
+
+    replace(chunks, path, write)
 
 
 write_vectors = write_chunks  # K7

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import REFUSAL
 from lexmill.functions.udfs import message_fingerprint
-from lexmill.operators import chat, grounded, quota, sampling, schedule
+from lexmill.operators import chat, clean, encode, grounded, quota, sampling, schedule
 from lexmill.operators.retrieval import build_chunks
-from lexmill.plans.workflows import run_chat, run_corpus, run_grounded
+from lexmill.plans.queries import word_lengths
+from lexmill.plans.workflows import counters, run_chat, run_corpus, run_grounded
 from lexmill.operators.clean import CleanOptions
 from lexmill.sources import manifests, readers, sinks, web
 
@@ -45,11 +46,11 @@ def test_normalize_alpaca(spark):
 
 def test_masking_and_shift(spark):
     rows = spark.createDataFrame([(conversation(("user", "aa bbb"), ("assistant", "c dddd")),), (conversation(("user", "a"),),)], f"messages {MESSAGES}")
-    found = chat.pad(chat.encode_conversations(rows, 9, eos=3), 9).collect()
+    found = chat.pad(chat.encode_conversations(rows, word_lengths, 9, eos=3), 9).collect()
     assert len(found) == 1
     assert found[0]["input_ids"] == [8, 2, 3, 13, 1, 4, 3, 0, 0]
     assert found[0]["labels"] == [-100, -100, -100, -100, 1, 4, 3, -100, -100]
-    assert chat.encode_conversations(rows, 6).count() == 0
+    assert chat.encode_conversations(rows, word_lengths, 6).count() == 0
     x, y = chat.next_token("i", "l")
     shifted = spark.createDataFrame([([11, 12, 13, 14], [-100, -100, 13, 14])], "i array<int>, l array<int>").select(x.alias("x"), y.alias("y")).first()
     assert shifted["x"] == [11, 12, 13] and shifted["y"] == [-100, 13, 14]
@@ -87,6 +88,28 @@ def test_qa_records(spark):
         assert grounded.normalize_qa(qa(spark, "文章：a\n問題：b", bad)).count() == 0
 
 
+def test_qa_limit_and_counters(spark):
+    rows = spark.createDataFrame([(i, "a", f"q{i}", conversation(("user", f"文章：x{i}\n問題：y"), ("assistant", '{"answer": "x", "answerable": true}' if i % 3 else "{"))) for i in range(10)], f"row_idx long, article_id string, qid string, messages {MESSAGES}")
+    made, counted = grounded.qa_records(rows, 4)
+    assert [r["qid"] for r in made.collect()] == ["q1", "q2", "q4", "q5"] and counted == {"read": 10, "valid": 6, "skipped": 4, "taken": 4}
+    with pytest.raises(ValueError):
+        grounded.qa_records(rows.filter("row_idx = 0"), 4)
+
+
+def test_repeated_and_null_ids_lose_and_double_nothing(spark):
+    text = "a text that is long enough to stay here"
+    rows = [(None, text), (2, text), (2, text), (None, text), (5, text + " more"), (5, text + " more"), (None, None), (7, "short"), (None, "short")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    options = CleanOptions(min_cjk_ratio=0.0)
+    assert sorted((r["doc_id"], r["text"]) for r in clean.clean_corpus(frame, options).collect()) == [(2, text), (5, text + " more")]
+    assert {r["outcome"]: r["count"] for r in clean.outcomes(frame, options).groupBy("outcome").count().collect()} == {"accepted": 2, "duplicate": 4, "too_short": 2}
+    keyed = frame.filter("text IS NOT NULL")
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in clean.first_of_equal(keyed, "text", ["doc_id"]).collect()) == [(2, text), (5, text + " more"), (7, "short")]
+    only_null = spark.createDataFrame([(None, text), (None, text)], "doc_id long, text string")
+    assert clean.clean_corpus(only_null, options).count() == 1
+    assert quota.collect_conversations([(keyed, None)], 10, "text", "doc_id").count() == 3 == quota.merge_records([keyed, keyed], "text", "doc_id").count()
+
+
 def test_answer_window(spark):
     prompt = f"文章：{'前' * 100}正確答案{'後' * 100}\n問題：答案是什麼？"
     found = grounded.normalize_qa(qa(spark, prompt, '{"answer": "正確答案", "answerable": true}'), 40).first()
@@ -122,6 +145,9 @@ def test_sampling(spark):
     assert [(r["x"], r["y"]) for r in found] == [([0, 1, 2], [1, 2, 3]), ([3, 4, 5], [4, 5, 6])]
     again = [sampling.random_windows(tokens, 3, 4, 9).select("draw", "start").collect() for _ in range(2)]
     assert again[0] == again[1] and all(0 <= r["start"] < 6 for r in again[0])
+    kept = spark.range(20000).select(F.col("id").alias("vec_id"), F.explode(F.array(F.struct(F.lit(2).alias("token"), F.lit(0.25).alias("p")), F.struct(F.lit(5).alias("token"), F.lit(0.75).alias("p"))))).select("vec_id", "col.*")
+    draws = sampling.drawn_tokens(kept, 3)
+    assert draws.count() == 20000 and abs(draws.filter("token = 5").count() / 20000 - 0.75) < 0.02
     choice = sampling.weighted_choice(spark.range(20000).withColumnRenamed("id", "draw"), [1, 3], 5)
     assert abs(choice.filter("source_idx = 1").count() / 20000 - 0.75) < 0.02
     batches = sampling.epoch_batches(spark.range(10).withColumnRenamed("id", "doc_id"), 4, 0, 1).groupBy("batch").count().orderBy("batch").collect()
@@ -180,7 +206,10 @@ def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "in" / "sub" / "b.TXT").write_text("beta")
     (tmp_path / "in" / "c.png").write_text("no")
     folder = readers.read_folder(spark, str(tmp_path / "in"))
-    assert sorted(r["source"] for r in folder.collect()) == ["a.md", "sub/b.TXT"]
+    (tmp_path / "in" / "b.mD").write_text("gamma")
+    assert [r["source"] for r in folder.orderBy("doc_id").collect()] == ["a.md", "sub/b.TXT"]
+    assert [r["source"] for r in readers.read_folder(spark, str(tmp_path / "in")).orderBy("doc_id").collect()] == ["a.md", "b.mD", "sub/b.TXT"]
+    (tmp_path / "in" / "b.mD").unlink()
     chunks = build_chunks(folder.withColumn("doc_id", F.xxhash64("source")))
     sinks.write_chunks(chunks, str(tmp_path / "chunks"))
     assert readers.read_chunks(spark, str(tmp_path / "chunks")).count() == 2
@@ -199,6 +228,21 @@ def test_readers_and_sinks(spark, tmp_path):
     assert readers.read_records(spark, str(tmp_path / "r")).first()["messages"][0]["content"] == "é"
     stream = sinks.token_stream(spark.createDataFrame([([1, 258],)], "tokens array<int>")).first()
     assert bytes(stream["data"]) == b"\x01\x00\x02\x01"
+    ids = [[5, 258, 3], [3], [0x0300, 0x0A0D, 0, 0xFFFE, 3], [0x4103, 0x0003 << 8, 3]]
+    for name, some in (("one", ids), ("two", ids[:2])):
+        sinks.write_token_stream(spark.createDataFrame([(x,) for x in some], "tokens array<int>").coalesce(1), str(tmp_path / name))
+    import numpy as np
+
+    (part,) = (tmp_path / "one").glob("part-*")
+    assert np.fromfile(part, dtype="<u2").tolist() == [i for x in ids for i in x]
+    assert [r["tokens"] for r in readers.read_token_stream(spark, str(tmp_path / "one")).orderBy("doc_idx").collect()] == ids
+    (tmp_path / "m.json").write_text('[{"path": "one", "weight": 1}, {"path": "two", "weight": 3}]')
+    mix = readers.read_token_mix(spark, str(tmp_path / "m.json")).collect()
+    assert {(r["source_idx"], r["share"]) for r in mix} == {(0, 0.25), (1, 0.75)} and len(mix) == 6
+    with pytest.raises(Exception, match="two bytes"):
+        sinks.write_token_stream(spark.createDataFrame([([1, 2],)], "tokens array<int>"), str(tmp_path / "bad"))
+    with pytest.raises(ValueError, match="no .md"):
+        readers.read_folder(spark, str(tmp_path / "t.parquet"))
     vectors = spark.createDataFrame([("s", "t", [1.0, 2.0], "m")], "source string, text string, embedding array<double>, model string")
     sinks.write_vectors(vectors, str(tmp_path / "v"))
     assert readers.read_vectors(spark, str(tmp_path / "v"), "m").count() == 1
@@ -224,15 +268,20 @@ def test_workflows(spark, tmp_path):
     assert again.count() == made.count()  # resumed
     with pytest.raises(ValueError):
         run_corpus(spark, docs, str(tmp_path / "other"))  # no CJK text passes the default rule
+    model = encode.train_tokenizer(docs, 600)
     talks = chat.conversations(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet"))
-    examples = run_chat(spark, [(manifests.ChatSource("c", format="conversations", messages_column="messages"), talks)], str(tmp_path / "chat"))
+    examples = run_chat(spark, [(manifests.ChatSource("c", format="conversations", messages_column="messages"), talks)], str(tmp_path / "chat"), model)
     assert examples.count() > 0 and examples.filter("size(input_ids) <> 512 OR size(labels) <> 512").count() == 0
     assert readers.read_examples(spark, str(tmp_path / "chat" / "examples"), 512, 10**6).count() == examples.count()
     chunks = build_chunks(docs.limit(5))
-    merged = run_grounded(spark, str(tmp_path / "grounded"), qa(spark, "文章：a\n問題：b", '{"answer": "a", "answerable": true}'), chunks, max_length=4096)
+    merged = run_grounded(spark, str(tmp_path / "grounded"), model, qa(spark, "文章：a\n問題：b", '{"answer": "a", "answerable": true}'), chunks, max_length=4096)
     assert {"drcd_answerable", "rag_summary", "rag_refusal"} <= {r["kind"] for r in merged.select("kind").distinct().collect()}
     with pytest.raises(ValueError):
-        run_grounded(spark, str(tmp_path / "none"))
+        run_grounded(spark, str(tmp_path / "none"), model)
+    counted = counters(docs, made, "tokens").first()
+    assert counted["read"] == docs.count() and counted["accepted"] + counted["skipped"] == counted["read"] and counted["tokens"] > counted["accepted"]
+    other = run_corpus(spark, docs, str(tmp_path / "corpus"), CleanOptions(min_cjk_ratio=0.0, min_chars=60), 0.2, 600)
+    assert other.count() < made.count()  # other options, so not the old tables
 
 
 def test_streaming_keeps_the_first(spark, tmp_path):

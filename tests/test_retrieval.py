@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import math
+import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -126,11 +128,75 @@ def test_context_picks_a_sentence(spark):
     assert v.render_context(h, None, 5) == ""
 
 
-def test_web_context():
+def test_web_context(spark):
     shown = v.render_web_context([("T", "u", "s" * 400), ("T2", "u2", "x")], 60)
     assert shown.startswith("[網路 1] T\nURL: u\n摘要：sss") and "網路 2" not in shown
 
 
+def test_context_equals_a_plain_reading(spark):
+    rows = [("a.md", "First one here. Second has alpha beta. Third follows it! "), ("b", "no marks at all " * 6), ("c", "Alpha. Beta alpha. \u3000"), ("d", "x")]
+    split = lambda t: [x.strip() for x in re.split(r"(?<=[。！？.!?])\s*", t) if x.strip()]
+    words = lambda t: set(re.findall(r"[a-z0-9][a-z0-9_.+-]*", t.lower()))
+
+    def plain(query, most):
+        out, left = [], most
+        for i, (source, text) in enumerate(rows, 1):
+            head = f"[{i}] 來源：{source}\n"
+            room = left - len(head)
+            if room <= 0:
+                break
+            s = split(text)
+            if query and len(text) > room and s:
+                k = max(range(len(s)), key=lambda j: (len(words(query) & words(s[j])), -j))
+                chosen = [s[k]]
+                if k and len(" ".join([s[k - 1], *chosen])) <= room:
+                    chosen = [s[k - 1], *chosen]
+                if k + 1 < len(s) and len(" ".join([*chosen, s[k + 1]])) <= room:
+                    chosen.append(s[k + 1])
+                text = " ".join(chosen)
+            body = text[:room].rstrip()
+            out.append(head + body)
+            left = room - len(body)
+        return "\n\n".join(out)
+
+    for query in (None, "alpha beta", "third", "nothing that is there", "!!"):
+        for most in (1, 12, 20, 35, 60, 90, 150, 400):
+            assert v.render_context(hits(spark, rows), query, most) == plain(query, most), (query, most)
+
+
+def test_answer_modes(spark):
+    h = hits(spark, [("lsm.md", "LSM 使用 recurrent state 處理長序列。")])
+    made, query = answers(spark, "LSM 使用 recurrent state 處理長序列。LSM 的作者住在台北。"), "LSM recurrent state"
+    text = lambda mode, **more: v.answer(mode, h, query, **more)[0].first()["text"]
+    assert text("generate", generated=made).endswith("台北。")
+    assert text("verified", generated=made) == text("reliable", generated=made) == "LSM 使用 recurrent state 處理長序列。 [1]"
+    assert text("cited") == "[1] 來源：lsm.md\nLSM 使用 recurrent state 處理長序列。 [1]"
+    web = spark.createDataFrame([(1, "T", "u", "s")], "rank int, title string, url string, snippet string")
+    assert text("extractive", web=web) == "[1] 來源：lsm.md\nLSM 使用 recurrent state 處理長序列。\n\n[網路 1] T\nURL: u\n摘要：s"
+    with pytest.raises(ValueError):
+        v.answer("verified", h, query)
+    disagree = hits(spark, [("a.md", "LSM 的 context 長度為 128 tokens。"), ("b.md", "LSM 的 context 長度為 256 tokens。")])
+    assert len(v.answer("cited", disagree, query)[1]) == 1
+    with pytest.raises(ValueError, match="disagree"):
+        v.answer("cited", disagree, query, policy="refuse")
+
+
+def test_rerank_keeps_the_order_of_ties(spark):
+    h = hits(spark, [("z", "z"), ("a", "a"), ("m", "m")])
+    assert [x["source"] for x in r.rerank(h, "q", lambda pairs: [1.0 if t == "m" else 0.5 for _, t in pairs]).orderBy("rank").collect()] == ["m", "z", "a"]
+
+
+def test_conflicts_equal_all_pairs(spark):
+    rng = random.Random(4)
+    rows = [(f"s{rng.randrange(4)}", " ".join(rng.choice("alpha beta gamma delta eps zeta".split()) for _ in range(rng.randint(1, 6))) + f" {rng.randrange(3)}.") for _ in range(30)]
+    from lexmill.functions.text import content_terms
+
+    held = [(s, t, set(x)) for (s, t), x in zip(rows, (y["x"] for y in hits(spark, rows).orderBy("rank").select(content_terms("text").alias("x")).collect()), strict=True)]
+    number = lambda t: re.findall(r"\d+", t)
+    expected = Counter((a[0], b[0], a[1], b[1]) for i, a in enumerate(held) for b in held[i + 1 :] if a[0] != b[0] and number(a[1]) != number(b[1]) and len(a[2] & b[2]) >= 3)
+    assert Counter(tuple(x) for x in v.source_conflicts(hits(spark, rows)).collect()) == expected and expected
+
+
 def test_dense_all_answers_every_query_in_blocks(spark):
     points = np.random.default_rng(5).normal(size=(90, 6))
     frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
