@@ -21,7 +21,7 @@ ATTEND = 8
 WINDOW = 32
 STRIDE = 16
 #: Words whose inputs a worker keeps; beyond that it starts anew.
-CACHE = 300_000
+CACHE = 150_000
 _SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _FOLD = _SPACE.lower()
 _P = np.uint64(0x9E3779B97F4A7C15)

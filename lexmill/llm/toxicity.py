@@ -55,15 +55,13 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, i
     return [(r["text_"], r["label_"]) for r in rows[0].unionByName(rows[1]).collect()], (counts.get(1, 0) / total if total else 0.0)
 
 
-def likelier_grams(texts: list[list[bytes]], labels: np.ndarray) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
-    """A score for each word: its most telling n-gram, by how much likelier texts with label 1 hold it.
+def likelier_grams(listed: list[bytes], texts: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A score for each listed word: its most telling n-gram, by how much likelier texts (of numbers of words) with label 1 hold it.
 
     Also the word buckets and the n-gram buckets that at least LEAST_TEXTS texts hold.
     """
-    vocabulary: dict[bytes, int] = {}
-    ids = [np.unique([vocabulary.setdefault(w, len(vocabulary)) for w in set(t)]).astype(np.int64) for t in texts]
+    ids = [np.unique(t) for t in texts]
     # in parts, and in two bytes each: the driver holds the n-grams of all words of the sample at once
-    listed = list(vocabulary)
     hashed = (hashed_inputs(listed[i : i + 20_000]) for i in range(0, len(listed), 20_000))
     parts = [(words_, grams.astype(np.uint16), count) for words_, grams, count in hashed]
     bucket, n = (np.concatenate([p[k] for p in parts] or [np.zeros(0, dtype=np.int64)]) for k in (0, 2))
@@ -77,8 +75,8 @@ def likelier_grams(texts: list[list[bytes]], labels: np.ndarray) -> tuple[dict[b
             words[np.unique(bucket[own])] += 1
     ones, zeros = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
     odds = np.log((seen[1] + 0.5) / (ones + 1)) - np.log((seen[0] + 0.5) / (zeros + 1))
-    telling = np.maximum.reduceat((odds * np.sqrt(seen[1])).astype(np.float32)[gram], start) if len(vocabulary) else np.zeros(0)
-    return vocabulary, telling, words >= LEAST_TEXTS, seen.sum(axis=0) >= LEAST_TEXTS
+    telling = np.maximum.reduceat((odds * np.sqrt(seen[1])).astype(np.float32)[gram], start) if listed else np.zeros(0)
+    return telling, words >= LEAST_TEXTS, seen.sum(axis=0) >= LEAST_TEXTS
 
 
 def train(rows: list[tuple[str, int]], share: float, steps: int = STEPS) -> Network | float:
@@ -86,13 +84,18 @@ def train(rows: list[tuple[str, int]], share: float, steps: int = STEPS) -> Netw
     labels = np.array([y for _, y in rows], dtype=np.int64)
     if len(set(labels.tolist())) < 2:
         return share
-    texts = [words_of(t) for t, _ in rows]
+    # words are held as numbers, four bytes each
+    vocabulary: dict[bytes, int] = {}
+    texts = []
+    for t, _ in rows:
+        words = words_of(t)
+        texts.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), dtype=np.int32, count=len(words)))
     begin, size, text = windows_of([len(t) for t in texts])
-    flat = [w for t in texts for w in t]
-    window = lambda i: flat[begin[i] : begin[i] + size[i]]
+    flat, listed = np.concatenate(texts), list(vocabulary)
+    window = lambda i: [listed[w] for w in flat[begin[i] : begin[i] + size[i]]]
     weight = {1: share / (labels == 1).mean(), 0: (1 - share) / (labels == 0).mean()}
-    vocabulary, telling, common_words, common_grams = likelier_grams(texts, labels)
-    word_scores = np.array([telling[vocabulary[w]] for w in flat] + [-1e9])
+    telling, common_words, common_grams = likelier_grams(listed, texts, labels)
+    word_scores = np.append(telling[flat], np.float32(-1e9))
     rank = np.array([word_scores[b : b + max(1, s)].max() for b, s in zip(begin.tolist(), size.tolist(), strict=True)])
     network, rng = Network.start(), np.random.default_rng(5)
     network.keep_only(common_words, common_grams)
