@@ -3,9 +3,9 @@ r"""WARC archives with segmented records (operator 8).
 Writing. A record's block is an HTTP message whose body is the page in chunked transfer framing. Of equal payloads of at least
 REVISIT_BYTES bytes, the row with the smallest id is a response; the others are revisits that name it. A block of over `segment`
 bytes is cut: the first piece is the response with WARC-Segment-Number 1, each further piece a continuation record with the
-first one's id as WARC-Segment-Origin-ID, and the last one states WARC-Segment-Total-Length. Spark's text writer writes the records: a record ends
+first one's id as WARC-Segment-Origin-ID, and the last one states WARC-Segment-Total-Length. Each file begins with a warcinfo record. Spark's text writer writes the records: a record ends
 with CR LF and the writer's line end is CR LF too, so the files are plain WARC files, each written by one task and committed
-by Spark (in gzip if asked for).
+by Spark (in gzip if asked for: one stream for a file, not one for each record).
 
 Reading. Each file is parsed record by record by Content-Length. Records of one piece are decoded at once; pieces are grouped
 by origin id, ordered by segment number, checked for gaps and against the total length, and decoded. A group is one
@@ -72,6 +72,7 @@ def page_records(key: str, url: str, payload: bytes, digest: str, refers_to: str
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         return [record("revisit", [("WARC-Record-ID", f"<urn:page:{key}>"), *about, profile, ("WARC-Refers-To", f"<urn:page:{refers_to}>")], head)]
+    about.append(("Content-Type", "application/http;msgtype=response"))
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= segment:
         return [record("response", [("WARC-Record-ID", f"<urn:page:{key}>"), *about], block)]
@@ -83,6 +84,11 @@ def page_records(key: str, url: str, payload: bytes, digest: str, refers_to: str
     return out
 
 
+def file_head(name: str) -> bytes:
+    """The warcinfo record that a file begins with."""
+    return record("warcinfo", [("WARC-Record-ID", f"<urn:file:{name}>"), ("Content-Type", "application/warc-fields")], b"software: lexmill\r\nformat: WARC File Format 1.1\r\n")
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-case names) and block of each record of an archive."""
     at = 0
@@ -114,10 +120,17 @@ def write_archive(pages: DataFrame, path: str, id_column: str = "page_id", least
     """Write a record for each row of pages (id, url, html) to WARC files under path."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                rows = batch.slice(at, 64).to_pylist()
-                made = [x for r in rows for x in page_records(r["key"], (r["url"] or "").replace("\r", "%0D").replace("\n", "%0A"), r["payload"], r["digest"], r["response_key"], segment)]
+                made = []
+                for r in batch.slice(at, 64).to_pylist():
+                    for x in page_records(r["key"], (r["url"] or "").replace("\r", "%0D").replace("\n", "%0A"), r["payload"], r["digest"], r["response_key"], segment):
+                        if written % RECORDS_IN_FILE == 0:  # the writer begins a new file here
+                            made.append(file_head(f"{r['key']}.{written}"))
+                            written += 1
+                        made.append(x)
+                        written += 1
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
 
     ready = with_responses(pages, id_column, least).select("key", "url", "payload", "digest", "response_key")
@@ -156,7 +169,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def reassembled(records: DataFrame) -> DataFrame:
     """One row for each page: kind, record_id, digest, url, refers_to and block; block is null if pieces or bytes are missing."""
-    whole = records.filter("number IS NULL").select("kind", "record_id", "digest", "url", "refers_to", "block")
+    whole = records.filter("number IS NULL AND kind <> 'warcinfo'").select("kind", "record_id", "digest", "url", "refers_to", "block")
     pieces = records.filter("number IS NOT NULL").withColumn("of", F.coalesce("origin", "record_id"))
     grouped = pieces.groupBy("of").agg(
         F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"),
