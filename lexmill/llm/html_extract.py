@@ -46,7 +46,7 @@ HIDDEN = re.compile(r"display\s*:\s*none|\bhidden\b|aria-hidden\s*=\s*[\"']?true
 TELLING = frozenset("cookies cookie copyright rights reserved privacy terms subscribe newsletter comments comment reply advertisement sponsored sign login share javascript consent".split())
 
 #: Marks that may stand at a word.
-MARKS = str.maketrans(dict.fromkeys(".,:;!?()", " "))
+MARKS = ".,:;!?()"
 
 
 @dataclass
@@ -158,7 +158,7 @@ def features_of(blocks: list[Block]) -> list[list[str]]:
     for b in blocks:
         words = b.text.count(" ") + 1
         # all words of the block, however long it is
-        own = TELLING.intersection(b.text.lower().translate(MARKS).split())
+        own = TELLING.intersection([w.strip(MARKS) for w in b.text.lower().split(" ")])
         out.append(
             [
                 *b.ancestors,
