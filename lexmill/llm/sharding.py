@@ -131,3 +131,17 @@ def shard_manifest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_rows(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The law `rows` of op2_bounded_ring: rows, slots and sizes of each shard's rows and of all."""
+    out = shard_rows(table(spark, sf_dir, "documents"))
+    each = out.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count_distinct("slot").alias("n_slots"))
+    return each.join(F.broadcast(out.agg(F.sum("size").alias("all_bytes"))))  # one row
+
+
+ORACLE_SHARD_COUNTS = f"""
+WITH d AS (SELECT count(*) AS n, sum(octet_length(encode(coalesce(text, ''))) + 8)::BIGINT AS all_bytes FROM documents),
+s AS (SELECT shard, n // {SHARDS} + CASE WHEN shard < n % {SHARDS} THEN 1 ELSE 0 END AS k, all_bytes FROM range({SHARDS}) r(shard), d)
+SELECT shard::INT AS shard, k AS n_rows, 0::BIGINT AS first_slot, k - 1 AS last_slot, k AS n_slots, all_bytes FROM s WHERE k > 0
+"""

@@ -453,11 +453,11 @@ def components(docs: DataFrame, spec: Fingerprints = CONTRACT, id_column: str =
 
 
 def without_near_duplicates(docs: DataFrame, spec: Fingerprints = WIDE, group: int = GROUP) -> DataFrame:
-    """The row with the smallest doc_id of each component stays (of rows equal in doc_id and text, one)."""
+    """The row with the smallest doc_id of each component stays, one without doc_id only if all are (of rows equal in doc_id and text, one)."""
     # names a row by id and text
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))
     found = checkpointed(components(docs, spec, group=group, row_key=key))
-    kept = checkpointed(found.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("kept")).select("kept.row_key"))
+    kept = checkpointed(found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("kept")).select("kept.row_key"))
     dropped = checkpointed(found.join(kept, "row_key", "left_anti").select("row_key").distinct())
     repeated = checkpointed(found.join(kept, "row_key", "left_semi").groupBy("row_key").count().filter("count > 1").select("row_key"))
     rows = docs.select(F.struct("*").alias("row_"), key.alias("row_key")).join(few(dropped, dropped.count()), "row_key", "left_anti")

@@ -301,6 +301,58 @@ def test_wide_search_finds_near_copies(spark):
     assert len({found[2 * i] for i in range(60)}) == 60
 
 
+def test_wide_keys_have_their_recall():
+    r = random.Random(3)
+    one, two = [], []
+    while len(one) < 2000:
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.choice([40, 120, 300]))]
+        other = list(words)
+        for _ in range(int(r.uniform(0, 0.05) * len(words))):
+            other[r.randrange(len(other))] = f"x{r.randrange(10**6)}"
+        a, b = (np.unique(simhash.shingle_hashes(" ".join(w), 5)) for w in (words, other))
+        shared = len(np.intersect1d(a, b))
+        if 0.8 <= shared / (len(a) + len(b) - shared) < 0.85:
+            one.append(a)
+            two.append(b)
+    x, y = (simhash.fingerprints_of_runs(s, simhash.WIDE) for s in (one, two))
+    sizes = [simhash.size_table(np.array([len(a) for a in s]), simhash.WIDE) for s in (one, two)]
+    near = simhash.near_enough(np.concatenate([x, y])[:, : simhash.SENT_WORDS], np.concatenate(sizes), simhash.WIDE.radius)(np.arange(2000), np.arange(2000) + 2000)
+    longer = [simhash.keys_for(simhash.WIDE, n) for n in (10**4, 10**6, 10**8)]
+    assert [k.bits for k in longer] == sorted({k.bits for k in longer})
+    for keys in longer:
+        assert ((keys.of(x) == keys.of(y)).any(axis=1) & near).mean() > 0.98
+
+
+@pytest.mark.parametrize("group", [simhash.GROUP, 6])  # 6: groups and clusters are divided
+def test_near_duplicates_equal_brute_force(spark, odd, group):
+    r = random.Random(12)
+    rows = list(odd)
+    for i in range(12):  # families of texts that differ a little from each other; some share passages only
+        words = [f"f{i}w{r.randrange(10**6)}" for _ in range(r.choice([9, 30, 150]))]
+        for j in range(r.randint(2, 9)):
+            other = list(words)
+            for _ in range(r.choice([0, 0, 1, 1, 2, len(words) // 3])):
+                other[r.randrange(len(other))] = f"x{r.randrange(10**6)}"
+            rows.append((1000 + 20 * i + j, " ".join(other), "n"))
+    kept = Counter(x["doc_id"] for x in simhash.without_near_duplicates(documents(spark, rows), group=group).collect())
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t, _ in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    classes = defaultdict(list)
+    for i, (d, _, _) in enumerate(rows):
+        classes[find(i)].append(d)
+    assert kept == Counter(min((d for d in c if d is not None), default=None) for c in classes.values())
+
+
 def test_near_copies_are_verified_on_shingle_sets(spark):
     r = random.Random(9)
     line = " ".join(f"often{i}" for i in range(12))
@@ -540,6 +592,29 @@ def test_head_without_end_tag():
     assert [b.text for b in html_extract.leaf_blocks("<head><title>t</title>Bare text.")] == ["Bare text."]
 
 
+def test_blocks_are_read_to_their_end():
+    filler = " ".join(f"w{i}" for i in range(70))
+    for text in (f"{filler} all rights reserved cookies", f"all rights reserved cookies {filler}"):
+        (features,) = html_extract.features_of(html_extract.leaf_blocks(f"<p>{text}</p>"))
+        assert {"says:rights", "says:reserved", "says:cookies"} <= set(features)
+
+
+def test_optional_end_tags_long_pages_and_repeated_ids(spark):
+    whole = "<html><head><title>t</title></head><body><article><h1>Head</h1><p>One is here.</p><ul><li>first item</li><li>second item</li></ul><p>Two is here.</p></article></body></html>"
+    text = "Head One is here. first item second item Two is here."
+    cuts = [whole.replace(tag, "", 1) for tag in ("</head>", "</body>", "</html>", "</p>", "</li>", "</head><body>")] + [whole.replace("</li>", "").replace("</p>", "").replace("</head>", "")]
+    long = "<html><body><article>" + "".join(f"<p>Paragraph {i} of a very long page, with words in it.</p>" for i in range(30_000)) + "</article><footer>All rights reserved.</footer></body></html>"
+    rows = [(i, p) for i, p in enumerate([whole, *cuts])] + [(50, long), (51, "<article><p>" + "word " * 400_000 + "</p></article>"), (7, whole), (7, whole), (None, whole), (None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("u"))
+    out = html_extract.extract(frame).collect()
+    assert len(out) == len(rows)
+    assert {r["text"] for r in out if r["page_id"] is not None and r["page_id"] < 50} == {text}
+    by_id = {r["page_id"]: r for r in out}
+    assert by_id[50]["text"].startswith("Paragraph 0 of") and by_id[50]["text"].endswith("with words in it.") and by_id[50]["text"].count("Paragraph") == 30_000
+    assert by_id[51]["n_chars"] == 400_000 * 5 - 1
+    assert sorted(r["text"] for r in out if r["page_id"] is None) == ["", text]
+
+
 def test_held_out_pages():
     chain = html_extract.extractor()
     right = total = 0
