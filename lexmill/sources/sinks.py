@@ -45,6 +45,12 @@ def write_report(report: DataFrame, path: str) -> None:
     os.replace(part, path)
 
 
+def write_answer(prompt: str, answer: str, path: str) -> None:
+    """K8: a prompt and its answer as a text file on the driver."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(f"{prompt}{answer}\n", encoding="utf-8")
+
+
 def write_records(records: DataFrame, path: str) -> None:
     """K3: JSON lines."""
     replace(records, path, lambda df, p: df.write.json(p))

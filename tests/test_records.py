@@ -297,3 +297,56 @@ def test_streaming_keeps_the_first(spark, tmp_path):
     assert sorted(r["text"] for r in spark.table("cleaned").collect()) == [text, text + " more"]
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert event_windows(events).agg(F.sum("n_events")).first()[0] == events.count()
+
+
+def test_converters_and_command_line(spark, tmp_path, capsys):
+    from lexmill import __main__ as cli
+    from lexmill.functions.convert import opencc_converter, phrase_converter
+    from lexmill.functions.udfs import converted
+
+    convert = phrase_converter({"软件": "軟體", "软": "軟", "国": "國"})
+    frame = spark.createDataFrame([("软件和软国x",), (None,), ("",)], "text string")
+    assert [r[0] for r in frame.select(converted("text", convert)).collect()] == ["軟體和軟國x", None, ""]
+    with pytest.raises(ValueError):
+        opencc_converter("s2x")
+    docs = "/root/testdata/sf0.001/documents.parquet"
+    cli.main(["clean", docs, str(tmp_path / "clean"), "--min-cjk-ratio", "0", "--report", str(tmp_path / "r.json")])
+    report = json.loads(capsys.readouterr().out)
+    assert report["counts"]["accepted_documents"] == spark.read.parquet(str(tmp_path / "clean")).count()
+    assert json.loads((tmp_path / "r.json").read_text()) == report
+    (tmp_path / "notes").mkdir()
+    (tmp_path / "notes" / "a.md").write_text("The state mixer uses a recurrent state. Nothing else is here.")
+    cli.main(["index", str(tmp_path / "notes"), str(tmp_path / "chunks")])
+    cli.main(["ask", str(tmp_path / "chunks"), "recurrent state mixer", "--least", "0"])
+    assert "[1] 來源：a.md\nThe state mixer uses a recurrent state. [1]" in capsys.readouterr().out
+    cli.main(["records", str(tmp_path / "chunks"), str(tmp_path / "records")])
+    cli.main(["encode", docs, str(tmp_path / "stream"), "--vocabulary", "600"])
+    assert readers.read_token_stream(spark, str(tmp_path / "stream")).count() == json.loads(capsys.readouterr().out.splitlines()[-1])["accepted"]
+
+
+def test_search_web_and_answers(spark, tmp_path):
+    asked = []
+
+    def get(url):
+        asked.append(url)
+        return json.dumps({"web": {"results": [{"title": str(i), "url": "u", "description": "d"} for i in range(5)]}})
+
+    assert web.search_web(spark, "a b", get, 2).count() == 2 and "q=a+b" in asked[0]
+    with pytest.raises(ValueError):
+        web.search_web(spark, " ", get)
+    with pytest.raises(OSError):
+        web.fetch("http://127.0.0.1:9/none", seconds=1)
+    sinks.write_answer("p", "a", str(tmp_path / "x" / "out.txt"))
+    assert (tmp_path / "x" / "out.txt").read_text() == "pa\n"
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from lexmill.session import checkpoint_folder
+
+    made = []
+    context = SimpleNamespace(getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append, master="spark://somewhere:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+    assert checkpoint_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: "hdfs://x"))) == "hdfs://x"
