@@ -1,7 +1,7 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling (operator 4).
 
-The network is trained on the driver on a bounded sample of the labelled rows: at most TRAIN_TOXIC toxic and TRAIN_CLEAN other
-texts of at most TRAIN_BYTES bytes, those that come first by the MD5 of their id. A label holds for a text, not for a window, so training
+The network is trained by one task on a bounded sample of the labelled rows: at most TRAIN_TOXIC toxic and TRAIN_CLEAN other
+texts of at most TRAIN_BYTES bytes, those that come first by the MD5 of their id. The driver gets nothing but the network (2 MB). A label holds for a text, not for a window, so training
 has two rounds: the windows of the first are chosen by how much likelier their n-grams are in toxic texts, those of the second
 by the network itself; the number of steps is the same for any input. Every text is then scored whole, by all its overlapping
 windows (WINDOW words, STRIDE apart); its score is that of its most toxic window.
@@ -13,10 +13,12 @@ without labels); repeated rows get equal scores; an empty table gives an empty r
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +42,8 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(remainder(id_column) == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], float]:
-    """The sample of (text, label), and the share of label 1 among the rows that may be learned from."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """The sample (label_, order_, text_), and the share of label 1 among the rows that may be learned from."""
     known = labels.filter("toxic IN (0, 1)").filter(remainder() != 2).select(F.col("doc_id").alias("id_"), F.col("toxic").cast("int").alias("label_"))
     counts = {r["label_"]: r["count"] for r in known.groupBy("label_").count().collect()}
     total = sum(counts.values())
@@ -52,7 +54,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, i
     chosen = parts[0].unionByName(parts[1])
     joined = texts.join(F.broadcast(chosen), "id_").select("label_", "text_", order.alias("order_"))
     rows = [joined.filter(F.col("label_") == y).orderBy("order_", "text_").limit(n) for y, n in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
-    return [(r["text_"], r["label_"]) for r in rows[0].unionByName(rows[1]).collect()], (counts.get(1, 0) / total if total else 0.0)
+    return rows[0].unionByName(rows[1]), (counts.get(1, 0) / total if total else 0.0)
 
 
 def likelier_grams(listed: list[bytes], texts: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +150,15 @@ def score_column(text: str, model: Network | float, spark: SparkSession) -> Colu
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Network | float:
-    return train(*training_rows(docs, labels))
+    """A network trained on the sample of labelled rows, in a task of its own."""
+    sample, share = training_rows(docs, labels)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(((r["label_"], r["order_"], r["text_"]) for b in batches for r in b.to_pylist()), key=lambda r: (-r[0], *r[1:]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(t, y) for y, _, t in rows], share))], pa.binary())], names=["model"])
+
+    made = sample.select("label_", "order_", "text_").repartition(1).mapInArrow(fit, "model binary").first()
+    return share if made is None else pickle.loads(made["model"])
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
