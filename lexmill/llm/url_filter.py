@@ -35,11 +35,11 @@ TOLERANCE = 1e-9
 DIGITS = 6
 #: Neighbours of a host that one part of it has.
 HUB = 20_000
-#: Rounds whose additions are kept apart before they are added up.
+#: Rounds between two looks at what they add.
 FOLD = 8
 BLOCK_FROM = 0.1
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LINK = r"""(?i)(?:^|[^A-Za-z0-9_])href[\t\n\f\r ]*=[\t\n\f\r ]*["']?[\t\n\f\r ]*((?:https?:)?//[^"'\t\n\f\r <>]+)"""
+LINK = r"""[^A-Za-z0-9_][hH][rR][eE][fF][\t\n\f\r ]*=[\t\n\f\r ]*["']?[\t\n\f\r ]*((?:[hH][tT][tT][pP][sS]?:)?//[^"'\t\n\f\r <>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -95,15 +95,16 @@ def propagate(links: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE,
         along, hubs_along = moving(links, "source", "target", "along", damping, hub)
         back, hubs_back = moving(links, "target", "source", "back", damping, hub)
         ways, hubs = checkpointed(along.unionByName(back)), checkpointed(hubs_along.unionByName(hubs_back))
-        hubs, rounds = few(hubs, hubs.count()), 0
+        n = hubs.count()
+        placed = (lambda df: in_parts(df, few(hubs, n), ("host", "way"))) if n else (lambda df: df.withColumn("part", F.lit(0)))
         while True:
-            sent = ways.join(in_parts(added, hubs, ("host", "way")), ["host", "way", "part"]).select(F.col("to").alias("host"), "way", (F.col("share") * F.col("score")).alias("score"))
-            added = checkpointed(sent.groupBy("host", "way").agg(F.sum("score").alias("score")))
+            for _ in range(FOLD):
+                sent = ways.join(placed(added), ["host", "way", "part"]).select(F.col("to").alias("host"), "way", (F.col("share") * F.col("score")).alias("score"))
+                added = checkpointed(sent.groupBy("host", "way").agg(F.sum("score").alias("score")))
+                total = total.unionByName(added)
             if (added.agg(F.sum("score")).first()[0] or 0.0) < tolerance:
                 break
-            total, rounds = total.unionByName(added), rounds + 1
-            if rounds % FOLD == 0:
-                total = checkpointed(total.groupBy("host", "way").agg(F.sum("score").alias("score")))
+            total = checkpointed(total.groupBy("host", "way").agg(F.sum("score").alias("score")))
     score = lambda way: F.round(F.coalesce(F.sum(F.when(F.col("way") == way, F.col("score"))), F.lit(0.0)), DIGITS)
     return total.groupBy("host").agg(score("along").alias("trust"), score("back").alias("distrust"))
 

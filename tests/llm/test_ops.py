@@ -749,9 +749,9 @@ def test_hubs_are_divided_and_cycles_settle(spark):
     seeds = spark.createDataFrame([(h, int(h in trusted), int(h in blocked)) for h in sorted(trusted | blocked | {"h9"})], "host string, trusted int, blocked int")
     t, q = brute_scores(pairs, trusted, blocked)
     for hub in (url_filter.HUB, 7):
-        found = {x["host"]: (x["trust"], x["distrust"]) for x in url_filter.propagate(links, seeds, hub=hub).collect()}
+        found = {x["host"]: (x["trust"], x["distrust"]) for x in url_filter.propagate(links, seeds, tolerance=1e-4, hub=hub).collect()}
         assert set(found) == {h for h in t if t[h] or q[h]}
-        assert all(found[h] == (pytest.approx(t[h], abs=2e-6), pytest.approx(q[h], abs=2e-6)) for h in found)
+        assert all(found[h] == (pytest.approx(t[h], abs=1e-3), pytest.approx(q[h], abs=1e-3)) for h in found)
 
 
 # --- archives ---------------------------------------------------------------------------------------------------------------------------------------
