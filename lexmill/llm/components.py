@@ -38,9 +38,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def settled(parents: DataFrame) -> DataFrame:
     """Follow (vertex, component) until no component is itself a vertex with another component."""
+    parents = checkpointed(parents)
     while True:
-        parents = checkpointed(parents)
         up = parents.filter("vertex <> component").select(F.col("vertex").alias("component"), F.col("component").alias("next"))
-        if parents.join(up, "component", "left_semi").isEmpty():
+        followed = parents.join(up, "component", "left").select("vertex", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved"))
+        followed = checkpointed(followed)
+        parents = followed.drop("moved")
+        if followed.filter("moved").isEmpty():
             return parents
-        parents = parents.join(up, "component", "left").select("vertex", F.coalesce("next", "component").alias("component"))

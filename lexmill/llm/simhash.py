@@ -254,8 +254,9 @@ def keys_for(spec: Fingerprints, distinct: int) -> Keys | ScatteredKeys:
     return Keys(blocks, tuple(combinations(range(n), n - spec.radius)), cells, spec.radius)
 
 
-def joined_in_groups(keys: np.ndarray, holds, check=None) -> tuple[np.ndarray, np.ndarray]:
-    """The two ends of each edge of a spanning forest of the links inside each group; equal keys are adjacent.
+def joined_in_groups(keys: np.ndarray, holds, check=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two ends of each edge of a spanning forest of the links inside each group, and of each place the place that names its tree;
+    equal keys are adjacent.
 
     holds(i, j): which of the pairs (arrays of places) may be links; check(a, b), if given, decides on each pair that isn't joined yet.
     """
@@ -278,7 +279,7 @@ def joined_in_groups(keys: np.ndarray, holds, check=None) -> tuple[np.ndarray, n
                 part[part == y] = x
         k += 1
         active = active[end[active] - active >= k]
-    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), label
 
 
 def near_enough(points: np.ndarray, far: np.ndarray, radius: int):
@@ -321,7 +322,7 @@ def link_stream(words: int, radius: int):
             keys, vertices = (np.concatenate([b.column(c).to_numpy() for b in whole]) for c in (0, 1))
             points = words_in([p for b in whole for p in b.column(2).to_pylist()], words)
             far = np.frombuffer(b"".join([p for b in whole for p in b.column(3).to_pylist()]), dtype="<i2").reshape(len(keys), -1)
-            a, b = joined_in_groups(keys, near_enough(points, far, radius))
+            a, b, _ = joined_in_groups(keys, near_enough(points, far, radius))
             yield pa.RecordBatch.from_arrays([pa.array(vertices[a]), pa.array(vertices[b])], schema=EDGES)
 
     return run
@@ -395,8 +396,9 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
 
 
-def verify_stream(spec: Fingerprints):
-    """For mapInArrow over (group, vertex, shingles) sorted by group: a spanning forest of the links that hold."""
+def verify_stream(spec: Fingerprints, whole_clusters: bool):
+    """For mapInArrow over (group, vertex, shingles) sorted by group: pairs of a vertex that has links that hold and the vertex that names
+    its component, if groups are whole clusters; else the ends of a spanning forest of the links that hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in whole_groups(batches):
@@ -405,17 +407,18 @@ def verify_stream(spec: Fingerprints):
             size = np.array([len(x) for x in sets])
             points = np.stack([majority_bits(mixed(np.concatenate(sets), i), size) for i in range(SENT_WORDS)], axis=1)
             holds = near_enough(points, size_table(size, spec), spec.radius)
-            a, b = joined_in_groups(keys, holds, lambda i, j: similar(sets[i], sets[j], spec.similarity))  # noqa: B023
+            a, b, label = joined_in_groups(keys, holds, lambda i, j: similar(sets[i], sets[j], spec.similarity))  # noqa: B023
+            if whole_clusters:
+                a = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+                b = label[a]
             yield pa.RecordBatch.from_arrays([pa.array(vertices[a]), pa.array(vertices[b])], schema=EDGES)
 
     return run
 
 
 def verified(proposed: DataFrame, points: DataFrame, docs: DataFrame, spec: Fingerprints, group: int = GROUP, most: int = CLUSTER_BYTES) -> DataFrame:
-    """Edges (a, b) of the links that hold between whole shingle sets, inside each cluster of proposed links; points has vertex and text_key.
-
-    Only texts of clusters are read again.
-    """
+    """(vertex, component) by the links that hold between whole shingle sets, inside each cluster of proposed links; points has vertex and
+    text_key. Only texts of clusters are read again."""
     clusters = connected_components(proposed)
     wanted = checkpointed(points.select("vertex", "text_key").join(clusters.select("vertex", F.col("component").alias("group")), "vertex"))
     texts = docs.select(text_key().alias("text_key"), "text").join(few(wanted, wanted.count()), "text_key")
@@ -424,47 +427,56 @@ def verified(proposed: DataFrame, points: DataFrame, docs: DataFrame, spec: Fing
     parts = F.greatest(F.ceil(F.col("n") / F.lit(group // 2)), F.ceil(F.col("bytes") / F.lit(most // 2))).cast("int")
     hot = checkpointed(sizes.filter((F.col("n") > group) | (F.col("bytes") > most)).select("group", parts.alias("parts")))
     n = shuffle_partitions(docs.sparkSession)
-    found = lambda df: df.repartition(n, "group").sortWithinPartitions("group").mapInArrow(verify_stream(spec), "a long, b long")
+    found = lambda df, whole: df.repartition(n, "group").sortWithinPartitions("group").mapInArrow(verify_stream(spec, whole), "a long, b long")
     if not (m := hot.count()):
-        return found(sets)
-    return found(sets.join(few(hot.select("group"), m), "group", "left_anti")).unionByName(found(in_pairs_of_parts(sets, few(hot, m), "vertex")))
-
+        return found(sets, True).toDF("vertex", "component")
+    small = found(sets.join(few(hot.select("group"), m), "group", "left_anti"), True).toDF("vertex", "component")
+    return small.unionByName(connected_components(found(in_pairs_of_parts(sets, few(hot, m), "vertex"), False)))
 
-def components(docs: DataFrame, spec: Fingerprints = CONTRACT, id_column: str = "doc_id", group: int = GROUP, row_key=None) -> DataFrame:
-    """Return doc_id, point (the fingerprint's bytes), component, component_id, and row_key if given, for every row of docs.
 
-    component names the component even where it has no doc_id but null. If links are verified, point has the set's name and size behind it.
-    """
+def classes(docs: DataFrame, spec: Fingerprints, id_column: str, group: int, row_key=None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """rows (doc_id, point, and row_key if given); linked points (point, first, component), their components (component, first_of), and points
+    alone (vertex, point, first). A first is the least (none, doc_id, row_key); none is true for a row without doc_id."""
     extra = [] if row_key is None else [row_key.alias("row_key")]
     verify = spec.similarity is not None
     held = [text_key().alias("text_key")] if verify else []
     rows = checkpointed(docs.select(F.col(id_column).alias("doc_id"), fingerprint_column("text", spec).alias("point"), *held, *extra))
-    least_key = [F.min("text_key").alias("text_key")] if verify else []
-    points = checkpointed(rows.groupBy("point").agg(F.min("doc_id").alias("first"), *least_key).withColumn("vertex", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *(["row_key"] if extra else [])))
+    points = checkpointed(rows.groupBy("point").agg(first.alias("first"), *([F.min("text_key").alias("text_key")] if verify else [])).withColumn("vertex", F.monotonically_increasing_id()))
     tables = checkpointed(points.select("vertex", "point", distance_column("point", spec).alias("far")))
-    edges = links(tables, spec, tables.count(), group)
-    found = checkpointed(connected_components(verified(edges, points, docs, spec, group) if verify else edges))
+    proposed = links(tables, spec, tables.count(), group)
+    found = checkpointed(verified(proposed, points, docs, spec, group) if verify else connected_components(proposed))
     linked = points.join(found, "vertex").select("point", "first", "component")
     # its own table, so that the rows of a large component meet their minimum by a join that Spark can split or broadcast
-    least = checkpointed(linked.groupBy("component").agg(F.min("first").alias("component_id")))
-    alone = points.join(found, "vertex", "left_anti").select("point", F.col("vertex").alias("component"), F.col("first").alias("component_id"))
-    by_point = linked.join(few(least, least.count()), "component").select("point", "component", "component_id").unionByName(alone)
-    return rows.join(by_point, "point").select("doc_id", "point", "component", "component_id", *(["row_key"] if extra else []))
+    least = checkpointed(linked.groupBy("component").agg(F.min("first").alias("first_of")))
+    return rows, linked, least, points.join(found, "vertex", "left_anti").select("vertex", "point", "first")
+
+
+def components(docs: DataFrame, spec: Fingerprints = CONTRACT, id_column: str = "doc_id", group: int = GROUP) -> DataFrame:
+    """Return doc_id, point (the fingerprint's bytes), component and component_id for every row of docs.
+
+    component names the component even where it has no doc_id but null. If links are verified, point has the set's name and size behind it.
+    """
+    rows, linked, least, alone = classes(docs, spec, id_column, group)
+    named = linked.join(few(least, least.count()), "component").select("point", "component", F.col("first_of.doc_id").alias("component_id"))
+    by_point = named.unionByName(alone.select("point", F.col("vertex").alias("component"), F.col("first.doc_id").alias("component_id")))
+    return rows.join(by_point, "point").select("doc_id", "point", "component", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, spec: Fingerprints = WIDE, group: int = GROUP) -> DataFrame:
     """The row with the smallest doc_id of each component stays, one without doc_id only if all are (of rows equal in doc_id and text, one)."""
     # names a row by id and text
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))
-    found = checkpointed(components(docs, spec, group=group, row_key=key))
-    kept = checkpointed(found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("kept")).select("kept.row_key"))
-    dropped = checkpointed(found.join(kept, "row_key", "left_anti").select("row_key").distinct())
-    repeated = checkpointed(found.join(kept, "row_key", "left_semi").groupBy("row_key").count().filter("count > 1").select("row_key"))
-    rows = docs.select(F.struct("*").alias("row_"), key.alias("row_key")).join(few(dropped, dropped.count()), "row_key", "left_anti")
+    rows, _, least, alone = classes(docs, spec, "doc_id", group, key)
+    kept = least.select("first_of.row_key").unionByName(alone.select("first.row_key")).withColumn("kept", F.lit(True))
+    counted = rows.groupBy("row_key").count().join(kept, "row_key", "left")
+    marked = checkpointed(counted.filter("kept IS NULL OR count > 1").select("row_key", F.col("kept").isNotNull().alias("kept")))
+    dropped, repeated = marked.filter("NOT kept").select("row_key"), marked.filter("kept").select("row_key")
+    stay = docs.select(F.struct("*").alias("row_"), key.alias("row_key")).join(few(dropped, dropped.count()), "row_key", "left_anti")
     if n := repeated.count():
-        one = rows.join(few(repeated, n), "row_key", "left_semi").groupBy("row_key").agg(F.first("row_").alias("row_")).select("row_", "row_key")
-        rows = rows.join(few(repeated, n), "row_key", "left_anti").select("row_", "row_key").unionByName(one)
-    return rows.select(*[F.col(f"row_.{c}") for c in docs.columns])
+        one = stay.join(few(repeated, n), "row_key", "left_semi").groupBy("row_key").agg(F.first("row_").alias("row_")).select("row_", "row_key")
+        stay = stay.join(few(repeated, n), "row_key", "left_anti").select("row_", "row_key").unionByName(one)
+    return stay.select(*[F.col(f"row_.{c}") for c in docs.columns])
 
 
 def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
