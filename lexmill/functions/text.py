@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The 29 characters that count as white space.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Ends of lines, \r\n counting as one.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
@@ -30,11 +31,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(column(text), f"^{SPACE}+", ""), rf"{SPACE}+\z", "")
+    return F.btrim(column(text), F.lit(SPACES))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{SPACE}+\z", "")
+    return F.rtrim(text, F.lit(SPACES))
+
+
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with more columns, each worked out once for a row however often it is used below: Spark doesn't copy expressions across this."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def collapse_space(text: Column | str) -> Column:

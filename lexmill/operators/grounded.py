@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import REFUSAL, column, facts, grounding_prompt, let, prose, rstrip, strip, topic, truncate
+from ..functions.text import REFUSAL, column, computed, facts, grounding_prompt, let, prose, rstrip, strip, topic, truncate
 from ..session import checkpointed
 
 # Question templates; {} stands for the topic.
@@ -41,12 +41,11 @@ def first_content(messages: Column | str, role: str) -> Column:
     return strip(F.get(F.filter(column(messages), lambda m: (m["role"] == role) & m["content"].isNotNull()), F.lit(0))["content"])
 
 
-def prompt_part(prompt: Column, group: int) -> Column:
-    """Context (1) or question (2) of a prompt, split at its last question line; null if that part is empty."""
-    question = F.substring_index(prompt, QUESTION_MARK, -1)
-    context = lambda q: F.substring(prompt, F.lit(len(CONTEXT_MARK) + 1), F.length(prompt) - F.length(q) - len(QUESTION_MARK + CONTEXT_MARK))
-    part = strip(let(question, context) if group == 1 else question)
-    return F.when(F.startswith(prompt, F.lit(CONTEXT_MARK)) & F.contains(prompt, F.lit(QUESTION_MARK)) & (part != ""), part)
+def prompt_parts(prompt: Column) -> tuple[Column, Column]:
+    """Context and question of a prompt, split at its last question line; null if it isn't of that form."""
+    question = F.when(F.startswith(prompt, F.lit(CONTEXT_MARK)) & F.contains(prompt, F.lit(QUESTION_MARK)), F.substring_index(prompt, QUESTION_MARK, -1))
+    before = let(question, lambda q: F.substring(prompt, F.lit(len(CONTEXT_MARK) + 1), F.length(prompt) - F.length(q) - len(QUESTION_MARK + CONTEXT_MARK)))
+    return strip(before), strip(question)
 
 
 def evidence_window(context: Column, answer: Column, limit: int) -> Column:
@@ -66,21 +65,21 @@ def normalize_qa(rows: DataFrame, max_context_chars: int = 320, keep: Sequence[s
     parse are dropped."""
     if max_context_chars <= 0:
         raise ValueError("max_context_chars must be positive")
-    read = rows.select(*keep, "article_id", "qid", first_content("messages", "user").alias("prompt"), first_content("messages", "assistant").alias("response"))
+    read = computed(rows.select(*keep, "article_id", "qid", "messages"), prompt=first_content("messages", "user"), response=first_content("messages", "assistant")).drop("messages")
     target = F.try_parse_json("response")
     kind = lambda path: F.schema_of_variant(F.try_variant_get(target, path, "variant"))
-    parsed = read.select(
-        *keep,
-        "article_id",
-        "qid",
-        prompt_part(F.col("prompt"), 1).alias("context"),
-        prompt_part(F.col("prompt"), 2).alias("question"),
+    context, question = prompt_parts(F.col("prompt"))
+    parsed = computed(
+        read,
+        context=context,
+        question=question,
         # 0, 1 and "true" are no booleans, and numbers no strings
-        F.when(kind("$.answerable") == "BOOLEAN", F.try_variant_get(target, "$.answerable", "boolean")).alias("answerable"),
-        F.when(kind("$.answer") == "STRING", strip(F.try_variant_get(target, "$.answer", "string"))).alias("answer"),
-    ).dropna(subset=["context", "question", "answerable", "answer"])
-    context = evidence_window(F.col("context"), F.when(F.col("answerable"), F.col("answer")).otherwise(""), max_context_chars)
-    references = F.concat(F.lit("[1] 來源：DRCD/"), F.coalesce(F.col("article_id"), F.col("qid"), F.lit("drcd")), F.lit("\n"), context)
+        answerable=F.when(kind("$.answerable") == "BOOLEAN", F.try_variant_get(target, "$.answerable", "boolean")),
+        answer=F.when(kind("$.answer") == "STRING", strip(F.try_variant_get(target, "$.answer", "string"))),
+    )
+    parsed = parsed.filter("context <> '' AND question <> '' AND answerable IS NOT NULL AND answer IS NOT NULL")
+    evidence = evidence_window(F.col("context"), F.when(F.col("answerable"), F.col("answer")).otherwise(""), max_context_chars)
+    references = F.concat(F.lit("[1] 來源：DRCD/"), F.coalesce(F.col("article_id"), F.col("qid"), F.lit("drcd")), F.lit("\n"), evidence)
     completion = F.when(F.col("answerable") & (F.col("answer") != ""), F.concat("answer", F.lit(" [1]"))).otherwise(F.lit(REFUSAL))
     return parsed.select(
         F.array(message("system", grounding_prompt(references)), message("user", F.col("question")), message("assistant", completion)).alias("messages"),
