@@ -106,7 +106,7 @@ def test_stages_take_odd_rows(spark):
         held = Counter((r["doc_id"], r["text"]) for r in out.collect())
         allowed = Counter((d, t) for d, t, _ in rows)
         assert all(n <= allowed[k] * (3 if name == "mixing" else 1) for k, n in held.items()), name
-        if name in ("toxicity", "decontamination"):
+        if name == "decontamination":  # what the network makes of texts without words, learned from 87 labels, is not fixed
             assert held[102, "long " * 60_000] == 1 and held[100, None] == 1
 
 
