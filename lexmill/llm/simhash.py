@@ -18,8 +18,8 @@ and as long as the number of fingerprints asks for. At that radius distances to
 is that to the empty set, the number of shingles. Proposed links make clusters; inside a cluster the whole shingle sets are compared
 and a link holds if their Jaccard similarity is `similarity` or more. Each cluster's sets move once.
 
-A group or cluster sends out a spanning forest of its links, never all pairs. One of over GROUP members (or CLUSTER_BYTES) is split in
-parts; each pair of parts is a group of its own, so every pair is still compared, by many tasks.
+A group or cluster sends out a spanning forest of its links, never all pairs. A group of over GROUP members, or a cluster of over CLUSTER
+members or CLUSTER_BYTES, is split in parts; each pair of parts is a group of its own, so every pair is still compared, by many tasks.
 
 Results for odd input: null and empty texts have fingerprint zero and are linked like any other; null doc_ids never name a
 component unless it has no other; repeated rows are rows like any other; an empty table gives an empty result.
@@ -47,6 +47,8 @@ SEED = 42
 GROUP = 4096
 CLUSTER_BYTES = 1 << 25
 PIVOTS = 8
+#: Members from which on a cluster's sets are held as bits, if those take no more bytes; and members of a part of a large cluster.
+LARGE, BITS_BYTES, CLUSTER = 32, 1 << 26, 1024
 #: Width of a cell of a pivot's distance.
 CELL = 8
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -396,6 +398,55 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
 
 
+def shared_bits(sets: list[np.ndarray]) -> np.ndarray | None:
+    """A row of bits for each set, one for each element that two or more of them hold; None if that takes over BITS_BYTES."""
+    element, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    words = -(-int((times > 1).sum()) // 64)
+    if 8 * words * len(sets) > BITS_BYTES:
+        return None
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    held = times[place] > 1
+    bit = number[place[held]]
+    out = np.zeros((len(sets), max(1, words)), dtype=np.uint64)
+    np.bitwise_or.at(out, (row[held], bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out
+
+
+def similar_in_groups(keys: np.ndarray, sets: list[np.ndarray], spec: Fingerprints) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """joined_in_groups by the similarity of whole sets. What sets of a large group share is counted for many pairs at once."""
+    size = np.array([len(x) for x in sets])
+    points = np.stack([majority_bits(mixed(np.concatenate(sets), i), size) for i in range(SENT_WORDS)], axis=1)
+    far = size_table(size, spec)
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    large = [(a, b) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False) if b - a >= LARGE]
+    alone, left, right, label = np.ones(len(keys), dtype=bool), [], [], np.arange(len(keys))
+    for a, b in large:
+        if (bits := shared_bits(sets[a:b])) is None:
+            continue
+        own, near = size[a:b], near_enough(points[a:b], far[a:b], spec.radius)
+
+        def holds(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            kept = near(i, j)  # noqa: B023
+            x, y = i[kept], j[kept]
+            shared = np.concatenate([np.bitwise_count(bits[x[k : k + 4096]] & bits[y[k : k + 4096]]).sum(axis=1, dtype=np.int64) for k in range(0, len(x), 4096)] + [np.zeros(0, dtype=np.int64)])  # noqa: B023
+            kept[kept] = shared >= spec.similarity * (own[x] + own[y] - shared) - 1e-9  # noqa: B023
+            return kept
+
+        one, two, named = joined_in_groups(keys[a:b], holds)
+        left.append(one + a)
+        right.append(two + a)
+        label[a:b] = named + a
+        alone[a:b] = False
+    at = np.flatnonzero(alone)
+    if len(at):
+        one, two, named = joined_in_groups(keys[at], near_enough(points[at], far[at], spec.radius), lambda i, j: similar(sets[at[i]], sets[at[j]], spec.similarity))
+        left.append(at[one])
+        right.append(at[two])
+        label[at] = at[named]
+    return np.concatenate([*left, np.zeros(0, dtype=np.int64)]), np.concatenate([*right, np.zeros(0, dtype=np.int64)]), label
+
+
 def verify_stream(spec: Fingerprints, whole_clusters: bool):
     """For mapInArrow over (group, vertex, shingles) sorted by group: pairs of a vertex that has links that hold and the vertex that names
     its component, if groups are whole clusters; else the ends of a spanning forest of the links that hold."""
@@ -403,11 +454,7 @@ def verify_stream(spec: Fingerprints, whole_clusters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in whole_groups(batches):
             keys, vertices = (np.concatenate([b.column(c).to_numpy() for b in whole]) for c in (0, 1))
-            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for b in whole for x in b.column(2)]
-            size = np.array([len(x) for x in sets])
-            points = np.stack([majority_bits(mixed(np.concatenate(sets), i), size) for i in range(SENT_WORDS)], axis=1)
-            holds = near_enough(points, size_table(size, spec), spec.radius)
-            a, b, label = joined_in_groups(keys, holds, lambda i, j: similar(sets[i], sets[j], spec.similarity))  # noqa: B023
+            a, b, label = similar_in_groups(keys, [np.frombuffer(x.as_buffer(), dtype=np.uint64) for r in whole for x in r.column(2)], spec)
             if whole_clusters:
                 a = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
                 b = label[a]
@@ -424,6 +471,7 @@ def verified(proposed: DataFrame, points: DataFrame, docs: DataFrame, spec: Fing
     texts = docs.select(text_key().alias("text_key"), "text").join(few(wanted, wanted.count()), "text_key")
     sets = checkpointed(texts.groupBy("vertex", "group").agg(F.first("text").alias("text")).select("group", "vertex", shingle_set("text", spec).alias("shingles")))
     sizes = sets.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    group = min(group, CLUSTER)
     parts = F.greatest(F.ceil(F.col("n") / F.lit(group // 2)), F.ceil(F.col("bytes") / F.lit(most // 2))).cast("int")
     hot = checkpointed(sizes.filter((F.col("n") > group) | (F.col("bytes") > most)).select("group", parts.alias("parts")))
     n = shuffle_partitions(docs.sparkSession)

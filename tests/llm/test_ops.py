@@ -353,6 +353,33 @@ def test_near_duplicates_equal_brute_force(spark, odd, group):
     assert kept == Counter(min((d for d in c if d is not None), default=None) for c in classes.values())
 
 
+@pytest.mark.parametrize("most", [simhash.BITS_BYTES, 0])  # 0: pair by pair
+def test_sets_of_large_groups_equal_pair_by_pair(monkeypatch, most):
+    monkeypatch.setattr(simhash, "BITS_BYTES", most)
+    rng = np.random.default_rng(3)
+    base, sets, keys = rng.integers(1, 1 << 63, 200, dtype=np.uint64), [], []
+    for g, n in enumerate((60, 1, 5, 40, 33)):
+        for _ in range(n):
+            own = base[rng.random(200) > rng.choice([0.02, 0.1, 0.3])]
+            sets.append(np.unique(np.concatenate([own, rng.integers(1, 1 << 63, rng.integers(0, 30), dtype=np.uint64)])))
+            keys.append(g)
+    left, right, label = simhash.similar_in_groups(np.array(keys), sets, simhash.WIDE)
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if keys[i] == keys[j] and simhash.similar(sets[i], sets[j], 0.8):
+                parent[find(i)] = find(j)
+    expected = Counter(frozenset(j for j in range(len(sets)) if find(j) == find(i)) for i in range(len(sets)))
+    assert Counter(frozenset(np.flatnonzero(label == label[i]).tolist()) for i in range(len(sets))) == expected
+    assert len(left) == len(sets) - len({find(i) for i in range(len(sets))}) and (label[left] == label[right]).all()
+
+
 def test_near_copies_are_verified_on_shingle_sets(spark):
     r = random.Random(9)
     line = " ".join(f"often{i}" for i in range(12))
