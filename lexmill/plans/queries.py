@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.udfs import hash_bucket, message_fingerprint
-from ..operators import chat, clean, encode, grounded, quota, retrieval, sampling, schedule, verify
+from ..operators import chat, clean, encode, grounded, postings, quota, retrieval, sampling, schedule, verify
+from ..session import checkpoint_folder
 from ..sources import web
 from ..streaming.clean_stream import event_windows
 
@@ -267,18 +269,46 @@ def bm25_topk(spark, sf_dir):
     return retrieval.bm25(docs(spark, sf_dir), SEARCH, 10, ["doc_id"]).select("rank", "doc_id", "score")
 
 
-@query(f"""WITH d AS (SELECT doc_id, {sql_tokens('text')} AS toks FROM documents), s AS (SELECT count(*) AS n, avg(len(toks)) AS avg_len FROM d),
+SQL_BM25_BATCH = f"""WITH d AS (SELECT doc_id, {sql_tokens('text')} AS toks FROM documents), s AS (SELECT count(*) AS n, avg(len(toks)) AS avg_len FROM d),
 q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({sql_tokens('text')}) AS term FROM benchmark) GROUP BY ALL),
 tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(toks) AS len, unnest(toks) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 sc AS (SELECT query_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY ALL)
-SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 3""")
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 3"""
+
+
+@query(SQL_BM25_BATCH)
 def bm25_batch(spark, sf_dir):
     """A5 for every benchmark item as a query."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return retrieval.bm25_batch(docs(spark, sf_dir), queries, 3, ["doc_id"]).select("query_id", "doc_id", "score", "rank")
 
 
+def stored_index(spark, sf_dir) -> postings.Index:
+    """A stored index of the documents, in the folder that all machines share."""
+    return postings.write_index(docs(spark, sf_dir), f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}", ["doc_id"])
+
+
+@query(f"SELECT term, count(*) AS df, sum(n)::BIGINT AS occurrences FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+def index_terms(spark, sf_dir):
+    """A4, K6: what a stored index holds of each term."""
+    held = stored_index(spark, sf_dir).postings
+    return held.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda s, n: s + n)).alias("occurrences"))
+
+
+@query(f"WITH {sql_bm25(SEARCH, 10)} SELECT rank, doc_id, score FROM hits")
+def indexed_topk(spark, sf_dir):
+    """bm25_topk from a stored index."""
+    return postings.search_index(stored_index(spark, sf_dir), SEARCH, 10).select("rank", "doc_id", "score")
+
+
+@query(SQL_BM25_BATCH)
+def indexed_batch(spark, sf_dir):
+    """A5: bm25_batch from a stored index."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return postings.search_batch(stored_index(spark, sf_dir), queries, 3).select("query_id", "doc_id", "score", "rank")
+
+
 def _first_vector(spark, sf_dir) -> list[float]:
     return table(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").first()[0]
 
