@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,8 +46,13 @@ def train_tokenizer(docs: DataFrame, vocabulary: int = 8192, coverage: float = 0
     return model.getvalue()
 
 
+def public_tokenizer(path: str) -> bytes:
+    """A serialised SentencePiece model from a file of the driver's; a few MB, which encode_corpus hands to every worker."""
+    return Path(path).read_bytes()
+
+
 def encode_corpus(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """Adds tokens, the ids of the stripped text and END; texts without ids are dropped. One model is loaded in each worker."""
+    """Adds tokens, the ids of the stripped text and the model's end id; texts without ids are dropped. One model is loaded in each worker."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<int>")
@@ -54,9 +60,10 @@ def encode_corpus(docs: DataFrame, model: bytes, text: str = "text") -> DataFram
         import sentencepiece
 
         processor = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
+        end = processor.eos_id() if processor.eos_id() >= 0 else END
         for batch in batches:
-            ids = processor.encode([(t or "").strip() for t in batch], out_type=int)
-            yield pd.Series([[*x, END] if x else None for x in ids], dtype=object)
+            ids = processor.encode([(t or "").strip() for t in batch], out_type=int, num_threads=1)
+            yield pd.Series([[*x, end] if x else None for x in ids], dtype=object)
 
     return docs.withColumn("tokens", run(text)).filter(F.col("tokens").isNotNull())
 

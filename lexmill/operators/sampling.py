@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +57,55 @@ def epoch_batches(rows: DataFrame, batch: int, epoch: int, seed: int, key: str =
     return ranged.join(F.broadcast(counts), "range_").withColumn("batch", F.floor(place / batch)).drop("order_", "number_", "range_", "start_")
 
 
+def numbered(rows: DataFrame, order: Sequence[str], number: str = "row") -> DataFrame:
+    """rows with gapless numbers from 0 in an order; written once, so that epochs needn't sort."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number_", F.monotonically_increasing_id())
+    ranged = checkpointed(ranged.withColumn("range_", F.shiftright("number_", 33)))
+    counts = ranged.groupBy("range_").count().withColumn("start_", F.sum("count").over(Window.orderBy("range_")) - F.col("count")).drop("count")
+    placed = ranged.join(F.broadcast(counts), "range_")  # one row a range
+    return checkpointed(placed.withColumn(number, F.col("start_") + F.col("number_").bitwiseAND((1 << 33) - 1)).drop("number_", "range_", "start_"))
+
+
+#: Rounds of the keyed permutation.
+SHUFFLE_ROUNDS = 64
+
+
+def permuted(number: Column | str, n: int, epoch: int, seed: int, back: bool = False, rounds: int = SHUFFLE_ROUNDS) -> Column:
+    """The place of a number in a permutation of 0 to n - 1 that seed and epoch key; with back, the number at a place.
+
+    Swap-or-not shuffle (Hoang, Morris and Rogaway 2012): in each round a number and its partner, key - number modulo n, change places or not,
+    as a hash of the larger one says. Each round undoes itself, so the way back takes the rounds in reverse.
+    """
+    place = F.col(number) if isinstance(number, str) else number
+    if n <= 0:
+        return place
+    name = f"{seed}:{epoch}"
+    keys = [int(hashlib.md5(f"{name}:{i}".encode()).hexdigest()[:13], 16) % n for i in range(rounds)]
+    each = [F.struct(F.lit(k).cast("long").alias("key"), F.lit(f"{name}:{i}:").alias("name")) for i, k in enumerate(keys)]
+
+    def swapped(x: Column, r: Column) -> Column:
+        partner = F.pmod(r["key"] - x, F.lit(n).cast("long"))
+        return F.when(F.substring(F.md5(F.concat(r["name"], F.greatest(x, partner).cast("string"))), 1, 1) < "8", partner).otherwise(x)
+
+    return F.aggregate(F.array(*(each[::-1] if back else each)), place.cast("long"), swapped)
+
+
+def permuted_epoch(rows: DataFrame, n: int, batch: int, epoch: int, seed: int, number: str = "row") -> DataFrame:
+    """G8 for numbered rows: place and batch of each row in an epoch. Nothing is moved or sorted, and no state is kept between epochs."""
+    return rows.withColumn("place", permuted(number, n, epoch, seed)).withColumn("batch", F.floor(F.col("place") / batch))
+
+
+def epoch_batch(rows: DataFrame, n: int, batch: int, wanted: int, epoch: int, seed: int, number: str = "row") -> DataFrame:
+    """The rows of one batch of an epoch, with place: their numbers are worked out backwards and reach the scan as literals, so training can go on
+    anywhere in an epoch."""
+    places = range(wanted * batch, min((wanted + 1) * batch, n))
+    if not places:
+        return rows.limit(0).withColumn("place", F.lit(0).cast("long"))
+    spark = rows.sparkSession
+    numbers = {r["number"]: r["id"] for r in spark.range(places.start, places.stop).withColumn("number", permuted("id", n, epoch, seed, back=True)).collect()}
+    return rows.filter(F.col(number).isin(sorted(numbers))).withColumn("place", permuted(number, n, epoch, seed))
+
+
 def sampling_filter(rows: DataFrame, key: str = "vec_id", logits: str = "embedding", temperature: float = 1.0, top_k: int = 0, top_p: float = 1.0, history: Column | None = None, penalty: float = 1.0) -> DataFrame:
     """(key, token, p) of the tokens that stay: temperature, repetition penalty, top k with ties, nucleus. A row's logits are one group by nature."""
     if penalty < 1.0:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.udfs import hash_bucket, message_fingerprint
-from ..operators import chat, clean, encode, grounded, postings, quota, retrieval, sampling, schedule, verify
+from ..operators import chat, clean, encode, grounded, postings, quota, retrieval, sampling, schedule, vector_index, verify
 from ..session import checkpoint_folder
-from ..sources import web
+from ..sources import token_blocks, web
 from ..streaming.clean_stream import event_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -324,9 +324,12 @@ def dense_topk(spark, sf_dir):
     return retrieval.dense(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), DENSE_K).select("rank", "vec_id", "score")
 
 
-@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS qv FROM e WHERE vec_id % 20 = 0),
+SQL_DENSE_BATCH = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS qv FROM e WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id, round(list_inner_product(v, qv), 6) AS score FROM e, q)
-SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5""")
+SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5"""
+
+
+@query(SQL_DENSE_BATCH)
 def dense_batch(spark, sf_dir):
     """L4 for every vector whose id is divisible by 20 as a query, in blocks of bounded size, against all vectors."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -334,6 +337,15 @@ def dense_batch(spark, sf_dir):
     return retrieval.dense_all(vectors, queries, 5).select("query_id", "vec_id", "score", "rank")
 
 
+@query(SQL_DENSE_BATCH)
+def dense_indexed(spark, sf_dir):
+    """dense_batch from vectors stored by cluster, without the products that bounds rule out."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = vector_index.write_vector_index(vectors, f"{checkpoint_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector_index.search_vectors(index, queries, 5)
+
+
 @query(f"""WITH {sql_bm25(SEARCH, DENSE_K)}, {SQL_DENSE},
 u AS (SELECT doc_id AS id, rank, 0 AS list FROM hits UNION ALL SELECT vec_id, rank, 1 FROM nearest),
 f AS (SELECT id, round(sum(1.0 / (60 + rank)::DOUBLE), 12) AS score, min(list * 1000 + rank) AS first FROM u GROUP BY id)
@@ -607,6 +619,30 @@ def random_batches(spark, sf_dir):
     return sampling.weighted_choice(drawn, [0.5, 0.3, 0.2], 42, "key").select("doc_id", "draw", "start", "source_idx")
 
 
+@query(f"""WITH t AS (SELECT doc_id, list_append(list_transform({sql_tokens('text')}, lambda w: length(w)), 3) AS toks FROM documents),
+s AS (SELECT flatten(list(toks ORDER BY doc_id)) AS ids FROM t), d AS (SELECT doc_id, floor({sql_uniform("'42'", "doc_id")} * (len(ids) - 17))::BIGINT AS start, ids FROM t, s)
+SELECT doc_id, start, array_to_string(ids[start + 1 : start + 16], ' ') AS x, array_to_string(ids[start + 2 : start + 17], ' ') AS y FROM d""")
+def stream_windows(spark, sf_dir):
+    """A random window of the whole stored stream for each document, over the borders of documents."""
+    rows = docs(spark, sf_dir).select("doc_id", F.array_append(F.transform(t.tokens("text"), F.length), F.lit(3)).alias("tokens"))
+    stream = token_blocks.write_token_blocks(rows, f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}", ["doc_id"])
+    show = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), " ")
+    found = token_blocks.stream_windows(stream, docs(spark, sf_dir).select("doc_id"), 16, 42, "doc_id")
+    return found.select("doc_id", "start", show(F.col("x")).alias("x"), show(F.col("y")).alias("y"))
+
+
+SQL_PARTNER = "((('0x' || substr(md5('42:1:' || i), 1, 13))::BIGINT % n - x) % n + n) % n"
+
+
+@query(f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number, count(*) OVER () AS n FROM documents),
+p AS (SELECT doc_id, list_reduce(list_prepend(number, range({sampling.SHUFFLE_ROUNDS})), lambda x, i: CASE WHEN substr(md5('42:1:' || i || ':' || greatest(x, {SQL_PARTNER})), 1, 1) < '8' THEN {SQL_PARTNER} ELSE x END) AS place FROM r)
+SELECT doc_id, place::BIGINT AS place, (place // 32)::BIGINT AS batch FROM p""")
+def permuted_epoch(spark, sf_dir):
+    """An epoch over numbered rows by a keyed permutation."""
+    rows = sampling.numbered(docs(spark, sf_dir).select("doc_id"), ["doc_id"])
+    return sampling.permuted_epoch(rows, rows.count(), 32, 1, 42).drop("row")
+
+
 @query("SELECT doc_id, ((row_number() OVER (ORDER BY md5('42:0:' || doc_id), doc_id) - 1) // 32)::BIGINT AS batch FROM documents")
 def shuffled_epoch(spark, sf_dir):
     """Documents in batches of 32."""
@@ -622,11 +658,14 @@ def lr_schedule(spark, sf_dir):
     return rows.select("step", F.round(pre, 12).alias("pretrain"), F.round(schedule.tuning_rate("step", 1000, 30, 0.0005), 12).alias("tuning"), t.duration(F.col("step") * 7).alias("elapsed"))
 
 
+#: A public BPE model of 32 000 pieces.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 @query()
-def encode_corpus(spark, sf_dir):
-    """A tokenizer trained on the corpus, and the corpus encoded with it. No SQL can train one."""
-    d = docs(spark, sf_dir)
-    made = encode.encode_corpus(d, encode.train_tokenizer(d, 1000))
+def encode_corpus(spark, sf_dir, tokenizer: str = TOKENIZER):
+    """The corpus encoded with a public tokenizer, which SQL can't run. (Nothing is trained here.)"""
+    made = encode.encode_corpus(docs(spark, sf_dir), encode.public_tokenizer(tokenizer))
     return made.select("doc_id", F.size("tokens").alias("n_tokens"), F.xxhash64("tokens").alias("digest"))
 
 
