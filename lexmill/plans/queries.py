@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.udfs import hash_bucket, message_fingerprint
-from ..operators import chat, clean, encode, grounded, postings, quota, retrieval, sampling, schedule, vector_index, verify
+from ..operators import chat, clean, encode, grounded, key_store, postings, quota, retrieval, sampling, schedule, vector_index, verify
 from ..session import checkpoint_folder
 from ..sources import token_blocks, web
 from ..streaming.clean_stream import event_windows
@@ -164,6 +164,15 @@ def exact_first(spark, sf_dir):
     return clean.first_of_equal(d, "digest", ["doc_id"]).select("doc_id")
 
 
+@query("SELECT doc_id, doc_id % 2 AS run FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id % 2, doc_id) AS n FROM documents WHERE text IS NOT NULL) WHERE n = 1")
+def incremental_dedup(spark, sf_dir):
+    """The documents in two runs, the second without what the first kept."""
+    d = docs(spark, sf_dir).filter("text IS NOT NULL").withColumn("run", F.pmod("doc_id", F.lit(2)))
+    store = key_store.KeyStore(spark, f"{checkpoint_folder(spark)}/keys-{uuid.uuid4().hex}")
+    first, second = (store.keep_new(d.filter(F.col("run") == i), key_store.digest("text"), ["doc_id"], f"r{i}") for i in (0, 1))
+    return first.unionByName(second).select("doc_id", "run")
+
+
 @query("""WITH w AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source),
 s AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i, n / sum(n) OVER () AS share, 500 * (n / sum(n) OVER ()) AS raw FROM w),
 l AS (SELECT *, floor(raw) + CASE WHEN row_number() OVER (ORDER BY raw - floor(raw) DESC, i) <= 500 - sum(floor(raw)) OVER () THEN 1 ELSE 0 END AS quota FROM s)

@@ -10,7 +10,7 @@ from lexmill.functions.udfs import message_fingerprint
 from lexmill.operators import chat, clean, encode, grounded, quota, sampling, schedule
 from lexmill.operators.retrieval import build_chunks
 from lexmill.plans.queries import word_lengths
-from lexmill.plans.workflows import counters, run_chat, run_corpus, run_grounded
+from lexmill.plans.workflows import Workflow, content_digest, counters, run_chat, run_corpus, run_grounded
 from lexmill.operators.clean import CleanOptions
 from lexmill.sources import manifests, readers, sinks, web
 
@@ -264,8 +264,12 @@ def test_workflows(spark, tmp_path):
     made = run_corpus(spark, docs, str(tmp_path / "corpus"), CleanOptions(min_cjk_ratio=0.0), 0.2, 600)
     assert {r["split"] for r in made.select("split").distinct().collect()} == {"train", "valid"}
     assert made.filter("element_at(tokens, -1) <> 3").count() == 0
-    again = run_corpus(spark, docs.limit(0), str(tmp_path / "corpus"), CleanOptions(min_cjk_ratio=0.0), 0.2, 600)
-    assert again.count() == made.count()  # resumed
+    flow = Workflow(spark, str(tmp_path / "corpus"))
+    again = run_corpus(spark, docs.orderBy(F.desc("doc_id")), flow.folder, CleanOptions(min_cjk_ratio=0.0), 0.2, 600, flow=flow)
+    assert again.count() == made.count() and flow.ran == []  # resumed: the same rows in another order
+    flow = Workflow(spark, flow.folder)
+    assert run_corpus(spark, docs.limit(90), flow.folder, CleanOptions(min_cjk_ratio=0.0), 0.2, 600, flow=flow).count() < made.count()
+    assert flow.ran == ["clean", "split", "tokenizer", "tokens"]
     with pytest.raises(ValueError):
         run_corpus(spark, docs, str(tmp_path / "other"))  # no CJK text passes the default rule
     model = encode.train_tokenizer(docs, 600)
@@ -350,3 +354,31 @@ def test_a_cluster_needs_a_shared_checkpoint_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
     assert checkpoint_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: "hdfs://x"))) == "hdfs://x"
+
+
+def test_content_digests(spark):
+    rows = [(1, "a", None, [None, "x"], {"k": 1}), (2, None, "a", ["x", None], None), (2, None, "a", ["x", None], None)]
+    schema = "n int, s string, t string, xs array<string>, m map<string,int>"
+    frame = spark.createDataFrame(rows, schema)
+    same = content_digest(frame)
+    assert content_digest(spark.createDataFrame(rows[::-1], schema).repartition(3)) == same
+    for other in (rows[:2], rows[:1] + [(2, "a", None, ["x", None], None)] * 2, [(1, "a", None, ["x", None], {"k": 1}), *rows[1:]], [(1, "a", None, [None, "x"], {"k": 2}), *rows[1:]]):
+        assert content_digest(spark.createDataFrame(other, schema)) != same
+    assert content_digest(frame.withColumnRenamed("n", "n2")) != same
+    assert content_digest(frame.limit(0)) != same
+
+
+def test_stages_rerun_what_depends_on_a_change(spark, tmp_path):
+    def go(a, b, add):
+        flow = Workflow(spark, str(tmp_path / "flow"))
+        flow.given("a", spark.range(a))
+        flow.given("b", spark.range(b))
+        x = flow.stage("x", lambda: spark.range(a), needs=["a"])
+        y = flow.stage("y", lambda: spark.range(b).withColumn("v", F.lit(add)), add, needs=["b"])
+        return flow.stage("z", lambda: x.crossJoin(F.broadcast(y.select("v"))), needs=["x", "y"]).count(), flow.ran
+
+    assert go(3, 2, 1) == (6, ["x", "y", "z"])
+    assert go(3, 2, 1) == (6, [])
+    assert go(3, 4, 1) == (12, ["y", "z"])
+    assert go(3, 4, 5) == (12, ["y", "z"])
+    assert go(3, 2, 1) == (6, [])  # the first tables are still there
