@@ -1,10 +1,15 @@
-"""Converters for udfs.converted (P7): functions from text to text that workers can load."""
+"""Converters (P7): functions from text to text that workers can load, for udfs.converted, and chains of dictionaries as a column."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import cache
 
+import pandas as pd
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
 
 @cache
 def _opencc(config: str):
@@ -38,3 +43,80 @@ def phrase_converter(table: Mapping[str, str]) -> Callable[[str], str]:
         return "".join(out)
 
     return convert
+
+
+class Automaton:
+    """Aho-Corasick automaton of a dictionary's phrases: every phrase at every place in one pass over a text."""
+
+    def __init__(self, phrases: Iterable[str]) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.fail: list[int] = [0]
+        #: Lengths of the phrases that end in a state, the longest first.
+        self.ends: list[tuple[int, ...]] = [()]
+        for phrase in phrases:
+            if not phrase:
+                raise ValueError("an empty phrase can't be converted")
+            state = 0
+            for c in phrase:
+                if c not in self.next[state]:
+                    self.next[state][c] = len(self.next)
+                    self.next.append({})
+                    self.fail.append(0)
+                    self.ends.append(())
+                state = self.next[state][c]
+            self.ends[state] = (len(phrase),)
+        level = deque(self.next[0].values())
+        while level:
+            state = level.popleft()
+            for c, to in self.next[state].items():
+                level.append(to)
+                back = self.fail[state]
+                while back and c not in self.next[back]:
+                    back = self.fail[back]
+                self.fail[to] = self.next[back].get(c, 0)
+                self.ends[to] += self.ends[self.fail[to]]
+
+    def longest_from(self, text: str) -> dict[int, int]:
+        """Where phrases begin in a text, and the length of the longest one from there."""
+        state, found = 0, {}
+        for end, c in enumerate(text, 1):
+            while state and c not in self.next[state]:
+                state = self.fail[state]
+            state = self.next[state].get(c, 0)
+            for n in self.ends[state]:
+                found[end - n] = n  # ends come in order, so a longer one replaces a shorter
+        return found
+
+    def convert(self, text: str, table: Mapping[str, str]) -> str:
+        """Each longest phrase, from left to right, becomes what the table says; all else stays."""
+        out, at = [], 0
+        for begin, n in sorted(self.longest_from(text).items()):
+            if begin >= at:
+                out += [text[at:begin], table[text[begin : begin + n]]]
+                at = begin + n
+        return "".join([*out, text[at:]])
+
+
+def phrases_converted(text: Column | str, *tables: Mapping[str, str]) -> Column:
+    """The text after each of a chain of dictionaries, whose phrases may have any length; longest phrases first, from left to right.
+
+    The dictionaries are sent to each machine once, and each worker builds an automaton of each. A text is read once for each dictionary.
+    """
+    for table in tables:
+        if "" in table:
+            raise ValueError("an empty phrase can't be converted")
+    shared = SparkSession.active().sparkContext.broadcast([dict(t) for t in tables])
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        chain = [(Automaton(t), t) for t in shared.value]
+
+        def whole(value: str) -> str:
+            for automaton, table in chain:
+                value = automaton.convert(value, table)
+            return value
+
+        for batch in batches:
+            yield batch.map(whole, na_action="ignore")
+
+    return run(F.col(text) if isinstance(text, str) else text)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -101,7 +102,7 @@ def bm25_batch(chunks: DataFrame, queries: DataFrame, top_k: int = 3, order: Seq
     terms = asked.select("term").distinct().unionByName(chunks.sparkSession.range(1).select(F.lit("").alias("term")))
     hint = F.broadcast if asked.count() <= BLOCK_TERMS else (lambda df: df)
     numbered = chunks.select(*order, tokens("text").alias("tokens")).withColumn("length", F.size("tokens"))
-    held = numbered.select(*order, "length", F.explode(F.array_append("tokens", F.lit(""))).alias("term")).join(hint(terms), "term", "left_semi")
+    held = numbered.select(*order, "length", F.explode(F.array_append(F.coalesce("tokens", F.array().cast("array<string>")), F.lit(""))).alias("term")).join(hint(terms), "term", "left_semi")
     tf = checkpointed(held.groupBy(*order, "length", "term").agg(F.count(F.lit(1)).alias("tf")))
     n, average = tf.filter("term = ''").agg(F.count(F.lit(1)), F.avg("length")).first()
     tf = tf.filter("term <> ''")
@@ -220,3 +221,55 @@ def search(chunks: DataFrame, query: str, mode: str = "bm25", top_k: int = 3, ca
     if scorer is not None:
         hits = rerank(hits, query, scorer)
     return hits.filter(F.col("rank") <= top_k).select("rank", "source", "text", "score").withColumn("scorer", F.lit("rerank" if scorer else mode))
+
+
+def fuse_many(rankings: Sequence[DataFrame], top_k: int, constant: int = 60, key: Sequence[str] = ("source", "text")) -> DataFrame:
+    """A6, L5 for many queries: fuse() of each query_id's rankings (query_id, key columns and rank)."""
+    parts = [r.select("query_id", *key, "rank", F.lit(i).alias("list_id")) for i, r in enumerate(rankings)]
+    fused = reduce(DataFrame.unionByName, parts).groupBy("query_id", *key).agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 12).alias("score"), F.min(F.struct("list_id", "rank")).alias("first_"))
+    return ranked_many(fused, top_k, ["first_"]).drop("first_")
+
+
+def ranked_many(scored: DataFrame, top_k: int, order: Sequence[str]) -> DataFrame:
+    """The best top_k rows of each query_id with their rank; the bound on the rank is applied before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *order))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= top_k)
+
+
+def rerank_many(hits: DataFrame, queries: DataFrame, score: Callable[[list[tuple[str, str]]], list[float]], top_k: int) -> DataFrame:
+    """L6 for many queries: each query's hits by the scores that an injected model gives to (query, text); equal scores keep their order."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for asked, texts in batches:
+            yield pd.Series([float(x) for x in score(list(zip(asked, texts, strict=True)))])
+
+    said = queries.select("query_id", F.col("text").alias("asked_"))
+    scored = hits.drop("score").withColumnRenamed("rank", "rank_").join(said, "query_id").withColumn("score", run("asked_", "text"))
+    return ranked_many(scored.drop("asked_"), top_k, ["rank_"]).drop("rank_")
+
+
+def search_many(chunks: DataFrame, queries: DataFrame, mode: str = "bm25", top_k: int = 3, candidates: int = 20, vectors: DataFrame | None = None, scorer: Callable | None = None, least: float = 1.0, key: Sequence[str] = ("source", "text"), order: Sequence[str] = ("doc_id", "chunk_idx"), lexical: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """search() of a whole table of queries (query_id, text and, but for mode bm25, embedding) in one plan.
+
+    query_id, rank, key columns, score and scorer; a query without evidence enough has no rows. key names what chunks and vectors have in
+    common. lexical(queries, k) stands in for the scan that finds lexical candidates, such as a stored index's search.
+    """
+    if mode not in ("bm25", "vector", "hybrid"):
+        raise ValueError(f"unknown mode {mode}")
+    if mode != "bm25" and (vectors is None or "embedding" not in queries.columns):
+        raise ValueError(f"mode {mode} needs vectors and a vector of each query")
+    if top_k <= 0:
+        raise ValueError("top_k must be positive")
+    wide = max(top_k, candidates)
+    found = checkpointed((lexical(queries, wide) if lexical else bm25_batch(chunks, queries, wide, order)).select("query_id", *key, "score", "rank"))
+    enough = queries.select("query_id").distinct() if least <= 0 else found.groupBy("query_id").agg(F.max("score").alias("best")).filter(F.col("best") >= least).select("query_id")
+    hits = found
+    if mode != "bm25":
+        named = vectors.select(F.struct(*key).alias("key_"), "embedding")
+        near = dense_all(named, queries.join(enough, "query_id", "left_semi"), wide, "key_").select("query_id", *[F.col("key_")[c].alias(c) for c in key], "score", "rank")
+        hits = near if mode == "vector" else fuse_many([found, near], wide, key=key)
+    hits = hits.join(enough, "query_id", "left_semi")
+    if scorer is not None:
+        hits = rerank_many(hits, queries, scorer, top_k)
+    return hits.filter(F.col("rank") <= top_k).select("query_id", "rank", *key, "score", F.lit("rerank" if scorer else mode).alias("scorer"))

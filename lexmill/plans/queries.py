@@ -360,10 +360,12 @@ u AS (SELECT doc_id AS id, rank, 0 AS list FROM hits UNION ALL SELECT vec_id, ra
 f AS (SELECT id, round(sum(1.0 / (60 + rank)::DOUBLE), 12) AS score, min(list * 1000 + rank) AS first FROM u GROUP BY id)
 SELECT row_number() OVER (ORDER BY score DESC, first) AS rank, id, score FROM f QUALIFY row_number() OVER (ORDER BY score DESC, first) <= 10""")
 def hybrid_rrf(spark, sf_dir):
-    """Lexical and dense ranking fused; document ids stand for vector ids."""
-    lexical = retrieval.bm25(docs(spark, sf_dir), SEARCH, DENSE_K, ["doc_id"]).select(F.col("doc_id").alias("id"), "rank")
-    near = dense_topk(spark, sf_dir).select(F.col("vec_id").alias("id"), "rank")
-    return retrieval.fuse([lexical, near], 10, key=["id"]).select("rank", "id", "score")
+    """Lexical and dense candidates of a table of queries (here one), gated and fused; document ids stand for vector ids."""
+    chunks = docs(spark, sf_dir).withColumnRenamed("doc_id", "id")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = spark.range(1).select(F.col("id").alias("query_id"), F.lit(SEARCH).alias("text"), F.array(*map(F.lit, _first_vector(spark, sf_dir))).alias("embedding"))
+    found = retrieval.search_many(chunks, asked, "hybrid", 10, DENSE_K, vectors, key=["id"], order=["id"])
+    return found.select("rank", "id", "score")
 
 
 # --- verification and rendering --------------------------------------------------------------------------------------------------------
@@ -410,6 +412,17 @@ def verify_sentences(spark, sf_dir):
     return found.select("answer_id", "sentence", F.array_join(F.transform("citations", lambda c: c.cast("string")), ",").alias("citations"))
 
 
+@query(f"""WITH a AS (SELECT item_id, {sql_sentences('text')} AS ss FROM benchmark), st AS (SELECT item_id, idx - 1 AS pos, s.sentence, {sql_terms('s.sentence')} AS terms FROM a, unnest(ss) WITH ORDINALITY AS s(sentence, idx)),
+w AS (SELECT item_id, pos, sentence, len(terms) AS n, unnest(terms) AS term FROM st), h AS (SELECT doc_id, unnest({sql_terms('text')}) AS term FROM documents),
+c AS (SELECT item_id, pos, sentence, doc_id FROM w JOIN h USING (term) GROUP BY item_id, pos, sentence, n, doc_id HAVING count(*) / n >= 0.8)
+SELECT item_id AS answer_id, pos::INT AS "at", sentence, array_to_string(list_sort(list(doc_id)), ',') AS citations FROM c GROUP BY ALL""")
+def supported_sentences(spark, sf_dir):
+    """The sentences of all benchmark items, and the documents that cover each by 0.8."""
+    answers = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("answer_id"), F.col("text").alias("answer"))
+    found = verify.supported_sentences(answers, docs(spark, sf_dir).select(F.col("doc_id").alias("rank"), "text"), 0.8)
+    return found.select("answer_id", "at", "sentence", F.array_join(F.transform("citations", lambda c: c.cast("string")), ",").alias("citations"))
+
+
 @query(f"""WITH {sql_bm25(SEARCH, 10)}, {SQL_VERIFIED},
 p AS (SELECT answer_id, string_agg(sentence || ' ' || array_to_string(list_transform(cites, lambda c: '[' || c || ']'), ' '), '' ORDER BY idx) AS v FROM ok GROUP BY answer_id),
 e AS (SELECT coalesce(bool_or(len(list_intersect({sql_terms(repr(SEARCH))}, ht)) >= 2), false) AS direct FROM ht)
