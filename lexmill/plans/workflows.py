@@ -93,9 +93,8 @@ def run_corpus(spark: SparkSession, docs: DataFrame, folder: str, options: Clean
     return flow.stage("tokens", lambda: encode_corpus(split, bytes(made)).select("doc_id", "split", "tokens"), needs=["split", "tokenizer"])
 
 
-def run_chat(spark: SparkSession, sources: Sequence[tuple[ChatSource, DataFrame]], folder: str, model: bytes, limit: int = 40000, max_length: int = 512, resume: bool = True) -> DataFrame:
-    """Collect conversations, encode (with a tokenizer's model) and pad them. Returns messages, source, input_ids and labels."""
-    flow = Workflow(spark, folder, resume)
+def collected(sources: Sequence[tuple[ChatSource, DataFrame]], limit: int) -> DataFrame:
+    """The first `limit` valid conversations of sources in turn, without repeats: row_idx, messages, source, digest, source_idx."""
 
     def normal(source: ChatSource, rows: DataFrame) -> DataFrame:
         numbered = rows.withColumn("row_idx", F.monotonically_increasing_id())
@@ -105,11 +104,16 @@ def run_chat(spark: SparkSession, sources: Sequence[tuple[ChatSource, DataFrame]
             read = normalize_alpaca(numbered, source.instruction_column, source.input_column, source.output_column)
         return read.select("row_idx", "messages", F.lit(source.dataset).alias("source"), message_fingerprint("messages").alias("digest"))
 
-    sources_named = [s for s, _ in sources]
+    return collect_conversations([(normal(s, df), s.limit) for s, df in sources], limit, "digest", "row_idx")
+
+
+def run_chat(spark: SparkSession, sources: Sequence[tuple[ChatSource, DataFrame]], folder: str, model: bytes, limit: int = 40000, max_length: int = 512, resume: bool = True) -> DataFrame:
+    """Collect conversations, encode (with a tokenizer's model) and pad them. Returns messages, source, input_ids and labels."""
+    flow = Workflow(spark, folder, resume)
     given = [f"source {i}" for i in range(len(sources))]
     for name, (_, rows) in zip(given, sources, strict=True):
         flow.given(name, rows)
-    rows = flow.stage("records", lambda: collect_conversations([(normal(s, df), s.limit) for s, df in sources], limit, "digest", "row_idx"), limit, sources_named, needs=given)
+    rows = flow.stage("records", lambda: collected(sources, limit), limit, [s for s, _ in sources], needs=given)
     return not_empty(flow.stage("examples", lambda: encoded(rows, max_length, model), max_length, hashlib.sha256(model).hexdigest(), needs=["records"]), "conversation fits the length")
 
 

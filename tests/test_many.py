@@ -26,10 +26,10 @@ def test_search_many_equals_search(spark, tmp_path, mode, scorer, least):
     chunks = corpus(spark)
     rng = np.random.default_rng(5)
     scorer = scorer and (lambda pairs: [float(len(set(q.split()) & set((t or "").split()))) for q, t in pairs])
-    asked = [(i, text, rng.standard_normal(6).tolist()) for i, text in enumerate(["w0 w1", "w25 w3 w3", "w0", "none", "w7 w29"])]
+    asked = [(i, text, rng.standard_normal(6).tolist()) for i, text in enumerate(["w0 w1", "w25 w3 w3", "none"])]
     queries = spark.createDataFrame(asked, "query_id int, text string, embedding array<double>")
     vectors = chunks.filter("embedding IS NOT NULL")
-    index = postings.write_index(chunks, f"file://{tmp_path}/i")
+    index = postings.write_index(chunks, f"file://{tmp_path}/i") if scorer else None
     options = {"mode": mode, "top_k": 3, "candidates": 8, "scorer": scorer, "least": least}
     expected = []
     for q, text, vector in asked:
@@ -37,7 +37,7 @@ def test_search_many_equals_search(spark, tmp_path, mode, scorer, least):
             expected += [(q, x["rank"], x["source"], x["text"], round(x["score"], 6), x["scorer"]) for x in retrieval.search(chunks, text, vectors=vectors, query_vector=vector, **options).collect()]
         except ValueError:
             assert least > 0
-    for lexical in (None, lambda table, k: postings.search_batch(index, table, k)):
+    for lexical in (None, *([lambda table, k: postings.search_batch(index, table, k)] if scorer else [])):
         found = retrieval.search_many(chunks, queries, vectors=vectors, lexical=lexical, **options)
         assert sorted((x["query_id"], x["rank"], x["source"], x["text"], round(x["score"], 6), x["scorer"]) for x in found.collect()) == sorted(expected)
 
@@ -50,7 +50,7 @@ def test_search_many_refuses(spark):
     assert retrieval.search_many(chunks, queries.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("least", [0.3, 0.5, 0.8, 1.0])
+@pytest.mark.parametrize("least", [0.3, 0.8, 1.0])
 def test_supported_sentences_equal_verified_ones(spark, least):
     r = random.Random(int(least * 10))
     say = lambda n: " ".join(r.choices(WORDS, [1 / (j + 1) for j in range(30)], k=n))

@@ -328,6 +328,41 @@ def test_converters_and_command_line(spark, tmp_path, capsys):
     assert readers.read_token_stream(spark, str(tmp_path / "stream")).count() == json.loads(capsys.readouterr().out.splitlines()[-1])["accepted"]
 
 
+def test_more_commands(spark, tmp_path, capsys):
+    from lexmill import __main__ as cli
+
+    said = lambda *args: (cli.main([str(a) for a in args]), capsys.readouterr().out.strip())[1]
+    rows = [(0, 0, "a.md", "The state mixer uses a recurrent state. Nothing else is here."), (1, 0, "b.md", "Bread needs flour and water."), (2, 0, "b.md", "Bread needs flour and water.")]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_idx int, source string, text string")
+    chunks.write.parquet(str(tmp_path / "chunks"))
+    assert said("postings", tmp_path / "chunks", tmp_path / "index") == "3 chunks"
+    query = "recurrent state mixer"
+    plain = said("ask", tmp_path / "chunks", query, "--least", 0)
+    assert said("ask", tmp_path / "index", query, "--index", "--least", 0) == plain and "[1] 來源：a.md" in plain
+    shown = said("ask", tmp_path / "index", query, "--index", "--least", 0, "--show-sources", "--output", tmp_path / "said.txt")
+    assert shown.startswith("[1] a.md (") and (tmp_path / "said.txt").read_text().startswith(f"{query}\n[1]")
+    answer = "The state mixer uses a recurrent state. Cheese is made of moonlight."
+    verified = said("ask", tmp_path / "chunks", query, "--least", 0, "--mode", "verified", "--answer", answer)
+    assert verified == "The state mixer uses a recurrent state. [1]"
+    assert said("ask", tmp_path / "chunks", query, "--least", 0, "--mode", "reliable", "--answer", "不知道") == plain
+    assert said("ask", tmp_path / "chunks", query, "--least", 0, "--mode", "generate", "--answer", answer) == answer
+    for bad in (["--mode", "verified"], ["--least", 99]):
+        with pytest.raises(ValueError):
+            cli.main(["ask", str(tmp_path / "index"), query, "--index", *map(str, bad)])
+    assert said("dedup", tmp_path / "chunks", tmp_path / "new", tmp_path / "store", "one") == "2 documents"
+    assert said("dedup", tmp_path / "chunks", tmp_path / "newer", tmp_path / "store", "two") == "0 documents"
+    (tmp_path / "d.json").write_text(json.dumps({"flour": "meal"}))
+    assert said("convert", tmp_path / "chunks", tmp_path / "converted", tmp_path / "d.json") == "3 documents"
+    assert spark.read.parquet(str(tmp_path / "converted")).filter("text LIKE '%meal%'").count() == 2
+    assert said("vectors", "/root/testdata/sf0.001/embeddings.parquet", tmp_path / "v", "--clusters", 5) == "500 vectors in 5 clusters"
+    chat.conversations(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")).write.parquet(str(tmp_path / "talks.parquet"))
+    (tmp_path / "m.json").write_text(json.dumps([{"dataset": str(tmp_path / "talks.parquet"), "format": "conversations", "messages_column": "messages", "limit": 5}]))
+    assert said("chat", tmp_path / "m.json", tmp_path / "records") == "5 conversations"
+    qa(spark, "文章：a\n問題：b", '{"answer": "a", "answerable": true}').write.parquet(str(tmp_path / "qa"))
+    said("qa", tmp_path / "qa", tmp_path / "grounded")
+    assert spark.read.json(str(tmp_path / "grounded")).first()["kind"] == "drcd_answerable"
+
+
 def test_search_web_and_answers(spark, tmp_path):
     asked = []
 
