@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from ..functions.text import SPACE
 PAD, UNKNOWN, BEGIN, END = 0, 1, 2, 3
 #: Ids are stored in two bytes.
 MAX_VOCABULARY = 65535
+#: Texts that are encoded at once.
+SLICE = 200
 #: Most distinct words that a tokenizer is trained from, the most frequent first; their counts are those of all documents.
 WORDS = 1_000_000
 
@@ -62,8 +65,11 @@ def encode_corpus(docs: DataFrame, model: bytes, text: str = "text") -> DataFram
         processor = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
         end = processor.eos_id() if processor.eos_id() >= 0 else END
         for batch in batches:
-            ids = processor.encode([(t or "").strip() for t in batch], out_type=int, num_threads=1)
-            yield pd.Series([[*x, end] if x else None for x in ids], dtype=object)
+            out: list[np.ndarray | None] = []
+            for i in range(0, len(batch), SLICE):  # Python's numbers take many times the room of an array's
+                ids = processor.encode([(t or "").strip() for t in batch.iloc[i : i + SLICE]], out_type=int, num_threads=1)
+                out += [np.array([*x, end], dtype=np.int32) if x else None for x in ids]
+            yield pd.Series(out, dtype=object)
 
     return docs.withColumn("tokens", run(text)).filter(F.col("tokens").isNotNull())
 
