@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokens
 from ..session import checkpointed
-from ..sources.sinks import replace
+from ..sources.sinks import remove, replace
 from .retrieval import DIGITS, K1, B, weight
 
 #: Documents in a range; a power of two.
@@ -87,18 +87,19 @@ def write_index(chunks: DataFrame, path: str, order: Sequence[str] = ("doc_id",
         numbered.write.parquet(f"{to}/documents")
         held = spark.read.parquet(f"{to}/documents").select("doc", "text", F.shiftright("doc", shift).alias("range"))
         # rows meet by range once: both groupings below hold the range, so neither moves anything
-        words = held.repartition("range").select("range", "doc", F.explode(tokens("text")).alias("term"))
-        counted = words.groupBy("range", "doc", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        lengths = Window.partitionBy("range", "doc")
-        placed = counted.withColumn("length", F.sum("tf").over(lengths).cast("int")).withColumn("low", F.col("doc").bitwiseAND(block - 1).cast("int"))
-        blocks = placed.groupBy("range", "term").agg(F.sort_array(F.collect_list(F.struct("low", "tf", "length"))).alias("held"))
-        blocks = checkpointed(blocks)
+        said = held.repartition("range").select("range", "doc", tokens("text").alias("words"))
+        words = said.select("range", F.col("doc").bitwiseAND(block - 1).cast("int").alias("low"), F.size("words").alias("length"), F.explode("words").alias("term"))
+        counted = words.groupBy("range", "low", "length", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        grouped = counted.groupBy("range", "term").agg(F.sort_array(F.collect_list(F.struct("low", "tf", "length"))).alias("held"))
+        grouped.select("term", "range", F.col("held.low").alias("docs"), F.col("held.tf").alias("tfs"), F.col("held.length").alias("lengths")).write.parquet(f"{to}/unsorted")
+        blocks = spark.read.parquet(f"{to}/unsorted")
         n, with_text = held.agg(F.count(F.lit(1)), F.count("text")).first()
-        total = blocks.agg(F.sum(F.aggregate("held", F.lit(0).cast("long"), lambda s, h: s + h["tf"]))).first()[0] or 0
+        total = blocks.agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda s, tf: s + tf))).first()[0] or 0
         average = total / with_text if total else 1.0
-        best = F.array_max(F.transform("held", lambda h: weight(h["tf"], h["length"], F.lit(1.0), F.lit(average))))
-        stored = blocks.select("term", "range", F.size("held").alias("n"), best.alias("best"), F.col("held.low").alias("docs"), F.col("held.tf").alias("tfs"), F.col("held.length").alias("lengths"), bucket_of(F.col("term"), buckets).alias("bucket"))
+        best = F.array_max(F.zip_with("tfs", "lengths", lambda tf, length: weight(tf, length, F.lit(1.0), F.lit(average))))
+        stored = blocks.select("term", "range", F.size("docs").alias("n"), best.alias("best"), "docs", "tfs", "lengths", bucket_of(F.col("term"), buckets).alias("bucket"))
         stored.repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{to}/postings")
+        remove(spark, f"{to}/unsorted")
         stats = spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(average).cast("double").alias("average"), F.array(*map(F.lit, order)).alias("order"), F.lit(block).alias("block"), F.lit(buckets).alias("buckets"))
         stats.write.parquet(f"{to}/stats")
 
@@ -188,7 +189,7 @@ def scored(index: Index, asked: Asked, ranges: DataFrame, top_k: int, floors: di
 
 
 def best_documents(terms: Sequence[tuple[float, np.ndarray, np.ndarray]], floor: float, top_k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and scores of the best top_k, ties with the last included, among those that reach the floor.
+    """Documents and scores, best first, of the best top_k and of others that rounding may tie with them, among those that reach the floor.
 
     terms: weight, documents in order, and each one's share. Terms that together stay under the floor bring no document in.
     """
@@ -208,8 +209,13 @@ def best_documents(terms: Sequence[tuple[float, np.ndarray, np.ndarray]], floor:
         at = np.minimum(np.searchsorted(held, docs), len(held) - 1)
         score += np.where(held[at] == docs, w * share[at], 0.0)
     least = max(floor - SLACK, np.partition(score, len(score) - top_k)[len(score) - top_k] - SLACK if len(score) > top_k else -1.0)
-    keep = score >= least
-    return docs[keep], score[keep]
+    docs, score = docs[score >= least], score[score >= least]
+    # copies of a text have one score to the last bit: the first top_k of them are enough
+    order = np.lexsort((docs, -score))
+    change = np.concatenate([[0], np.flatnonzero(np.diff(score[order])) + 1]) if len(docs) else np.zeros(0, dtype=np.int64)
+    copy = np.arange(len(docs)) - np.repeat(change, np.diff(np.append(change, len(docs))))
+    kept = order[copy < top_k]
+    return docs[kept], score[kept]
 
 
 def best_of(found: DataFrame, top_k: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,13 @@ def replace(rows: DataFrame, path: str, write: Callable[[DataFrame, str], None])
         raise OSError(f"{beside} couldn't be renamed")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that was written on the way to another."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(conf).delete(gone, True)
+
+
 def write_text(rows: DataFrame, path: str, text: str = "text") -> None:
     """K1: a document for each line."""
     replace(rows.select(F.regexp_replace(text, r"[\r\n]+", " ").alias("value")), path, lambda df, p: df.write.text(p))
