@@ -14,6 +14,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +123,31 @@ def dense(vectors: DataFrame, query: Sequence[float], top_k: int, order: Sequenc
     return ranked(vectors.select(*[c for c in vectors.columns if c != "embedding"], F.round(product, DIGITS).alias("score")), top_k, order)
 
 
+def keys_of(column: pa.Array) -> pa.Array:
+    """A column that sorts as keys do: a struct by its fields in turn."""
+    if not pa.types.is_struct(column.type):
+        return column
+    fields = pa.table(column.flatten(), names=[str(i) for i in range(column.type.num_fields)])
+    order = pc.sort_indices(fields, sort_keys=[(n, "ascending") for n in fields.column_names], null_placement="at_start")
+    place = np.empty(len(column), dtype=np.int64)
+    place[np.asarray(order)] = np.arange(len(column))
+    return pa.array(place)
+
+
+def best_rows(scores: np.ndarray, keys: pa.Array, top_k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the best top_k scores of each column, ties by key, nulls first; scores of minus infinity never."""
+    many = len(scores) > top_k
+    least = np.partition(scores, len(scores) - top_k, axis=0)[len(scores) - top_k] if many else np.full(scores.shape[1], -np.inf)
+    at, column = np.nonzero((scores >= least) & (scores > -np.inf))
+    place = np.empty(len(keys), dtype=np.int64)
+    place[np.asarray(pc.sort_indices(keys, null_placement="at_start"))] = np.arange(len(keys))
+    order = np.lexsort((place[at], -scores[at, column], column))
+    at, column = at[order], column[order]
+    first = np.concatenate([[0], np.flatnonzero(np.diff(column)) + 1]) if len(column) else np.zeros(0, dtype=np.int64)
+    number = np.arange(len(column)) - np.repeat(first, np.diff(np.append(first, len(column))))
+    return at[number < top_k], column[number < top_k]
+
+
 def dense_batch(vectors: DataFrame, queries: np.ndarray, top_k: int, key: str = "vec_id") -> DataFrame:
     """L4 for a block of queries (one for each row of a matrix that the caller bounds): query_id, key, score and rank."""
     shared = vectors.sparkSession.sparkContext.broadcast(np.asarray(queries, dtype=np.float64))
@@ -130,10 +156,7 @@ def dense_batch(vectors: DataFrame, queries: np.ndarray, top_k: int, key: str =
         for batch in batches:
             points = np.stack(batch.column(1).to_pylist()).astype(np.float64)
             scores = np.round(points @ shared.value.T, DIGITS)
-            keep = min(top_k, len(points))
-            rows = np.argpartition(-scores, keep - 1, axis=0)[:keep]
-            # ties with the last kept score stay, so that the order decides among them below
-            at, query = np.nonzero(scores >= np.take_along_axis(scores, rows, axis=0).min(axis=0))
+            at, query = best_rows(scores, keys_of(batch.column(0)), top_k)
             yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), batch.column(0).take(pa.array(at)), pa.array(scores[at, query])], names=["query_id", key, "score"])
 
     kind = dict(vectors.dtypes)[key]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from ..sources.sinks import replace
 from .postings import local
-from .retrieval import BLOCK_QUERIES, DIGITS
+from .retrieval import BLOCK_QUERIES, DIGITS, best_rows, keys_of
 
 SAMPLE = 20_000
 CLUSTERS = 32
@@ -118,7 +118,7 @@ def open_vector_index(spark: SparkSession, path: str, key: str = "vec_id") -> Ve
 
 
 def products(index: VectorIndex, queries: np.ndarray, wanted: dict[int, list[int]], floors: np.ndarray, top_k: int, counted: Accumulator | None = None) -> DataFrame:
-    """(query, key, score) of the best top_k (with ties) of each query in each batch of the clusters that it wants, none under its floor.
+    """(query, key, score) of the best top_k of each query in each batch of the clusters that it wants, none under its floor.
 
     queries: a row for each; wanted: numbers of queries by cluster. `counted` adds up the products that were worked out.
     """
@@ -135,6 +135,7 @@ def products(index: VectorIndex, queries: np.ndarray, wanted: dict[int, list[int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, own, far = shared.value
         for batch in batches:
+            keys = keys_of(batch.column(0))
             points, away, cluster = matrix(batch.column(1)), np.asarray(batch.column(2)), np.asarray(batch.column(3))
             for c in np.unique(cluster):
                 rows = np.flatnonzero(cluster == c)
@@ -146,8 +147,8 @@ def products(index: VectorIndex, queries: np.ndarray, wanted: dict[int, list[int
                     scores = np.round(points[rows[:n]] @ asked[some].T, DIGITS)
                     if counted is not None:
                         counted.add(int(scores.size))
-                    floor = np.partition(scores, n - top_k, axis=0)[n - top_k] if n > top_k else np.full(len(some), -np.inf)
-                    at, query = np.nonzero(scores >= floor)
+                    scores[scores < floors[some] - SLACK] = -np.inf
+                    at, query = best_rows(scores, keys.take(pa.array(rows[:n])), top_k)
                     yield pa.RecordBatch.from_arrays([pa.array(some[query], pa.int64()), batch.column(0).take(pa.array(rows[at])), pa.array(scores[at, query])], names=["query", key, "score"])
 
     return chosen.select(key, "embedding", "away", "cluster").mapInArrow(run, f"query long, {key} {dict(index.vectors.dtypes)[key]}, score double")

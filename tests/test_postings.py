@@ -79,8 +79,10 @@ def test_bounds_hold_and_leave_ranges_closed(spark, held):
 def test_terms_under_the_floor_bring_no_document_in():
     terms = [(1.0, np.array([1, 2, 3, 4]), np.array([0.2, 0.2, 0.2, 0.2])), (3.0, np.array([2, 9]), np.array([0.5, 0.9]))]
     docs, score = p.best_documents(terms, 1.0, 5)
-    assert docs.tolist() == [2, 9] and score.tolist() == pytest.approx([1.7, 2.7])
-    assert p.best_documents(terms, 0.0, 5)[0].tolist() == [1, 2, 3, 4, 9]
+    assert docs.tolist() == [9, 2] and score.tolist() == pytest.approx([2.7, 1.7])
+    copies = [(1.0, np.arange(1000), np.full(1000, 0.5))]
+    assert p.best_documents(copies, 0.0, 3)[0].tolist() == [0, 1, 2]
+    assert sorted(p.best_documents(terms, 0.0, 5)[0].tolist()) == [1, 2, 3, 4, 9]
     assert p.best_documents(terms, 0.0, 1)[0].tolist() == [9]
     assert p.best_documents(terms, 9.0, 1)[0].tolist() == []
 

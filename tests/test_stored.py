@@ -53,6 +53,26 @@ def test_vectors_near_their_centre_are_not_multiplied(spark, tmp_path):
     assert got == {97, 98, 99} and counted.value < 12
 
 
+def test_copies_of_a_vector_make_few_rows(spark, tmp_path):
+    rows = [(i, [1.0, 0.0]) for i in range(500, 0, -1)] + [(900, [0.0, 1.0])]
+    frame = vectors(spark, rows).coalesce(1)
+    queries = np.array([[1.0, 0.0], [0.5, 0.1]])
+    scan = retrieval.dense_batch(frame, queries, 3)
+    assert sorted(tuple(r) for r in scan.select("query_id", "vec_id", "rank").collect()) == [(q, i, i) for q in (0, 1) for i in (1, 2, 3)]
+    index = vi.write_vector_index(frame, f"file://{tmp_path}/v", clusters=2)
+    found = vi.products(index, queries, {c: [0, 1] for c in index.clusters}, np.full(2, -np.inf), 3)
+    assert found.count() <= 4 * 2 * 3 and vi.search_block(index, queries, 3).filter("query = 0").orderBy("rank").first()["vec_id"] == 1
+
+
+def test_best_rows_by_key():
+    import pyarrow as pa
+
+    scores = np.array([[1.0, 2.0], [1.0, 0.0], [1.0, 2.0], [0.0, 2.0]])
+    for keys, expected in ((pa.array([5, 4, 3, 9]), {(2, 0), (1, 0), (2, 1), (0, 1)}), (pa.array(["b", None, "a", "c"]), {(1, 0), (2, 0), (2, 1), (0, 1)}), (pa.array([{"s": "x", "t": "b"}, {"s": "w", "t": "z"}, {"s": "x", "t": "a"}, {"s": "y", "t": ""}]), {(1, 0), (2, 0), (2, 1), (0, 1)})):
+        at, column = retrieval.best_rows(scores, retrieval.keys_of(keys), 2)
+        assert set(zip(at.tolist(), column.tolist(), strict=True)) == expected
+
+
 def test_vector_index_of_odd_tables(spark, tmp_path):
     queries = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "query_id int, embedding array<float>")
     for i, rows in enumerate(([], [(1, None)], [(1, [1.0, 2.0])] * 4)):
