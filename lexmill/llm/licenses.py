@@ -1,16 +1,16 @@
 """License scans by an exact set-similarity join of text blocks with license templates (operator 9, DataFrame functions only).
 
-A block is a line of a text; its tokens are its distinct words. A template is found in a block that holds at least THRESHOLD of
-the template's distinct words. Tokens are ordered by the number of blocks of all texts that hold them, rarest first. A block
-that holds `needed` of a template's words holds one of the template's size - needed + 1 rarest (its prefix); it also has at
-least `needed` words of the templates' vocabulary (length filter); and where the first shared word stands in both orders bounds
-what they can share (positional filter). What passes is verified by counting. Words that no template has can't be shared, so
-blocks are cut to the templates' vocabulary as they are read and nothing but counts and candidate blocks is shuffled.
-
-The query takes windows as blocks (scan_windows): a template is looked for in every run of SLACK times as many words as it has, with
-line ends as separators, so that a notice may wrap and scattered words of a long line are none. Each place of a word of the prefix in
-a text is a candidate; the template's distinct words near it (length filter) and how far apart they stand (positional filter) bound
-what a window around it can hold; what passes is verified by counting in each window. `scan` takes lines as blocks.
+Blocks are overlapping windows of a text, SLACK times as many words as the template has, with line ends as separators, so that a notice
+may wrap and scattered words of a long line are none. A template is found in a window that holds at least THRESHOLD of its distinct
+words, and all of its own words (OWN), without which a notice is another license's: those of two licenses may share all words but one.
+
+Tokens are ordered by the number of texts that hold them, rarest first. A window that holds `needed` of a template's words holds one of
+the template's size - needed + 1 rarest (its prefix), and the rarest one that it holds comes before all others in the order. So each place
+of a prefix word in a text is a candidate, of which only words that come later in the order and stand near enough count:
+* length filter: texts that don't hold `needed` words of any template are left out before any place is looked at;
+* positional filter: the prefix word itself and the words after it, in the order and within the window's width, must be `needed` or more.
+What passes is verified by counting in each window. Words that no template has can't be shared, so texts are cut to the templates'
+vocabulary as they are read and nothing but counts and candidates is shuffled.
 
 Beside the method's labels, places of the base phrases are counted word by word. Results for odd input: null text counts as
 empty (no words, no labels); null or repeated ids and rows are rows like any other; an empty table gives an empty result.
@@ -50,6 +50,8 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
+# Words without which a notice isn't the label's. A template needs those that it has itself.
+OWN = {"mit": ("mit",), "apache": ("apache",), "gpl": ("gnu",), "lgpl": ("lesser",), "cc-by-nc": ("nc",), "cc-by-sa": ("sa",), "cc-by": ("creative", "commons"), "mpl": ("mozilla",)}
 
 
 def template_tokens(text: str) -> list[str]:
@@ -60,10 +62,8 @@ def needed(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
-def blocks_of(text: Column, vocabulary: Sequence[str]) -> Column:
-    """The vocabulary's words in each line of a text, as an array of arrays."""
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    return F.transform(F.split(lower_ascii(text), "\n"), lambda line: F.array_intersect(F.split(line, SEPARATOR), known))
+def own_words(label: str, text: str) -> list[str]:
+    return [w for w in OWN.get(label, ()) if w in template_tokens(text)]
 
 
 def phrase_places(spaced: Column, phrase: str) -> tuple[Column, Column, Column, Column]:
@@ -89,51 +89,6 @@ def base_scan(text: Column) -> Column:
     return F.when(text.rlike("(?i)license"), found).otherwise(none)
 
 
-def block_counts(docs: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
-    """Of all blocks of all texts, how many hold each word of the vocabulary."""
-    held = docs.select(F.explode(F.flatten(blocks_of(F.col("text"), vocabulary))).alias("token")).groupBy("token").count()
-    return {r["token"]: r["count"] for r in held.collect()}  # at most as many rows as the templates have words
-
-
-def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_column: str = "doc_id") -> DataFrame:
-    """Return doc_id, n_words, n_base, first_word, last_word, base_labels, labels (arrays) and score for every row of docs."""
-    spark = docs.sparkSession
-    sets = [template_tokens(t) for _, t in templates]
-    vocabulary = sorted(set().union(*sets))
-    counts = block_counts(docs, vocabulary)
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    ordered = [sorted(s, key=rank.__getitem__) for s in sets]
-    need = [needed(len(s), threshold) for s in sets]
-    prefixes = [o[: len(o) - n + 1] for o, n in zip(ordered, need, strict=True)]
-    entry = [(t, label, w, at, o, n) for t, ((label, _), o, n, p) in enumerate(zip(templates, ordered, need, prefixes, strict=True)) for at, w in enumerate(p)]
-    prefix_table = spark.createDataFrame(entry, "template int, label string, token string, at int, template_tokens array<string>, needed int")
-    in_prefix = F.array(*[F.lit(w) for w in sorted({w for p in prefixes for w in p})])
-    text = text_or_empty("text")
-    slim = checkpointed(
-        docs.select(
-            F.monotonically_increasing_id().alias("row"),
-            F.col(id_column).alias("doc_id"),
-            F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"),
-            base_scan(text).alias("base"),
-            F.filter(blocks_of(text, vocabulary), lambda b: (F.size(b) >= min(need)) & F.arrays_overlap(b, in_prefix)).alias("blocks"),
-        )
-    )
-    place = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
-    blocks = slim.filter(F.size("blocks") > 0).select("row", F.posexplode("blocks").alias("block", "tokens"))
-    sorted_blocks = blocks.select("row", "block", F.transform(F.array_sort(F.transform("tokens", lambda w: F.struct(place[w].alias("rank"), w.alias("token")))), lambda s: s["token"]).alias("tokens"))
-    tokens = sorted_blocks.select("row", "block", "tokens", F.posexplode("tokens").alias("block_at", "token")).filter(F.array_contains(in_prefix, F.col("token")))
-    left = lambda tokens, at: F.size(tokens) - F.col(at)  # noqa: E731  words from this one on
-    candidates = (
-        tokens.join(F.broadcast(prefix_table), "token")  # the templates' size is fixed
-        .filter(F.size("tokens") >= F.col("needed"))
-        # words before this one in the template's order may be shared too: at most `at` of them
-        .filter(F.least(left("tokens", "block_at"), left("template_tokens", "at")) + F.least("at", "block_at") >= F.col("needed"))
-    )
-    shared = F.size(F.array_intersect("tokens", "template_tokens"))
-    hits = candidates.filter(shared >= F.col("needed")).groupBy("row").agg(F.collect_set("label").alias("found"), F.max(shared / F.size("template_tokens")).alias("contained"))
-    return labelled(slim, hits)
-
-
 def labelled(slim: DataFrame, hits: DataFrame) -> DataFrame:
     """The rows of slim (row, doc_id, n_words, base) with the labels of hits (row, found, contained)."""
     joined = slim.select("row", "doc_id", "n_words", "base").join(hits, "row", "left")
@@ -148,14 +103,16 @@ def window_words(text: str) -> int:
 
 
 def scan_windows(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_column: str = "doc_id") -> DataFrame:
-    """As scan, with overlapping windows of words over the whole text as blocks."""
+    """Return doc_id, n_words, n_base, first_word, last_word, base_labels, labels (arrays) and score for every row of docs."""
     spark = docs.sparkSession
     sets = [template_tokens(t) for _, t in templates]
     vocabulary = sorted(set().union(*sets))
     known = F.array(*[F.lit(w) for w in vocabulary])
     text = text_or_empty("text")
     split = lambda t: F.split(lower_ascii(t), SEPARATOR)  # noqa: E731  may begin with an empty word, which moves all places alike
-    enough = lambda words: reduce(lambda a, b: a | b, [F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in s]))) >= needed(len(s), threshold) for s in sets])
+    own = [own_words(label, t) for label, t in templates]
+    has = lambda words, all_of: reduce(lambda a, b: a & b, [F.array_contains(words, w) for w in all_of], F.lit(True))
+    enough = lambda words: reduce(lambda a, b: a | b, [has(words, o) & (F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in s]))) >= needed(len(s), threshold)) for s, o in zip(sets, own, strict=True)])
     # a text may begin or end with a separator, which makes an empty word there
     counted = lambda parts: F.size(parts) - (F.get(parts, F.lit(0)) == "").cast("int") - ((F.size(parts) > 1) & (F.get(parts, F.size(parts) - 1) == "")).cast("int")
     read = F.get(F.transform(F.array(split(text)), lambda parts: F.struct(counted(parts).cast("long").alias("n_words"), F.array_intersect(parts, known).alias("held"))), F.lit(0))
@@ -178,10 +135,10 @@ def scan_windows(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
     counts = {r["token"]: r["count"] for r in slim.select(F.explode("held").alias("token")).groupBy("token").count().collect()}
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     entry, widest = [], max(window_words(t) for _, t in templates)
-    for (label, t), s in zip(templates, sets, strict=True):
-        n = needed(len(s), threshold)
-        entry += [(label, w, s, n, window_words(t)) for w in sorted(s, key=rank.__getitem__)[: len(s) - n + 1]]
-    prefix_table = spark.createDataFrame(entry, "label string, token string, template_tokens array<string>, needed int, width int")
+    for (label, t), s, o in zip(templates, sets, own, strict=True):
+        n, ordered = needed(len(s), threshold), sorted(s, key=rank.__getitem__)
+        entry += [(label, w, len(s), ordered[at:], o, n, window_words(t)) for at, w in enumerate(ordered[: len(s) - n + 1])]
+    prefix_table = spark.createDataFrame(entry, "label string, token string, size int, from_here array<string>, own array<string>, needed int, width int")
     in_prefix = F.array(*[F.lit(w) for w in sorted({e[1] for e in entry})])
     # places of prefix words, each with the words that a window can hold together with it
     near = F.transform(
@@ -189,15 +146,18 @@ def scan_windows(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
         lambda i: F.struct(F.get("words", i)["at"].alias("at"), F.get("words", i)["token"].alias("token"), F.slice("words", F.greatest(i - widest + 2, F.lit(1)), widest + F.least(i + 1, F.lit(widest)) - 1).alias("span")),
     )
     places = slim.filter(F.size("words") > 0).select("row", F.explode(near).alias("place")).select("row", "place.*")
-    inside = lambda s: F.array_contains(F.col("template_tokens"), s["token"]) & (F.abs(s["at"] - F.col("at")) < F.col("width"))
+    # a window's rarest word is before its others in the order: only words from this one on count, at the template's width
+    inside = lambda s: F.array_contains(F.col("from_here"), s["token"]) & (F.abs(s["at"] - F.col("at")) < F.col("width"))
+    tokens = lambda span: F.array_distinct(F.transform(span, lambda s: s["token"]))
     candidates = (
         places.join(F.broadcast(prefix_table), "token")  # the templates' size is fixed
         .withColumn("span", F.filter("span", inside))
-        .filter(F.size("span") >= F.col("needed"))
+        .filter(F.size(tokens("span")) >= F.col("needed"))
     )
-    held_from = lambda s: F.size(F.array_distinct(F.transform(F.filter("span", lambda x: (x["at"] >= s["at"]) & (x["at"] < s["at"] + F.col("width"))), lambda x: x["token"])))
-    shared = candidates.filter(F.size(F.array_distinct(F.transform("span", lambda s: s["token"]))) >= F.col("needed")).withColumn("shared", F.array_max(F.transform("span", held_from)))
-    hits = shared.filter("shared >= needed").groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.size("template_tokens")).alias("contained"))
+    in_window = lambda s: tokens(F.filter("span", lambda x: (x["at"] >= s["at"]) & (x["at"] < s["at"] + F.col("width"))))
+    windows = F.filter(F.transform("span", in_window), lambda w: F.size(F.array_except(F.col("own"), w)) == 0)
+    shared = candidates.withColumn("shared", F.array_max(F.transform(windows, lambda w: F.size(w))))
+    hits = shared.filter("shared >= needed").groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.col("size")).alias("contained"))
     return labelled(slim, hits)
 
 
@@ -208,17 +168,17 @@ def op9_prefix_join_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle_op9(templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
     """Brute force: every window of words of every text against every template, and phrase places by word lists."""
-    rows = ", ".join(f"({i}, '{label}', {template_tokens(t)!r}, {needed(len(template_tokens(t)), threshold)}, {window_words(t)})" for i, (label, t) in enumerate(templates))
+    rows = ", ".join(f"({i}, '{label}', {template_tokens(t)!r}, {own_words(label, t)!r}::VARCHAR[], {needed(len(template_tokens(t)), threshold)}, {window_words(t)})" for i, (label, t) in enumerate(templates))
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES)
     return rf"""
-WITH t(id, label, toks, need, width) AS (VALUES {rows}),
+WITH t(id, label, toks, own, need, width) AS (VALUES {rows}),
 p(ws, label) AS (VALUES {phrases}),
 d AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
 w AS (SELECT row, doc_id, low, list_filter(regexp_split_to_array(low, '{SEPARATOR}'), lambda x: x <> '') AS ws FROM d),
 places AS (SELECT row, p.label, i - 1 AS start FROM w, unnest(range(1, len(w.ws) + 1)) u(i), p WHERE w.low LIKE '%license%' AND w.ws[i : i + len(p.ws) - 1] = p.ws),
 base AS (SELECT row, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_sort(list_distinct(list(label))) AS bl FROM places GROUP BY row),
-able AS (SELECT row, ws, id, t.label, toks, need, width FROM w, t WHERE len(list_intersect(ws, toks)) >= need),
-m AS (SELECT row, label, need, len(toks) AS size, max(len(list_intersect(ws[i : i + width - 1], toks))) AS shared FROM able, unnest(range(1, len(ws) + 1)) u(i) GROUP BY row, id, label, need, len(toks)),
+able AS (SELECT row, ws, id, t.label, toks, own, need, width FROM w, t WHERE len(list_intersect(ws, toks)) >= need),
+m AS (SELECT row, label, need, len(toks) AS size, max(len(list_intersect(ws[i : i + width - 1], toks))) AS shared FROM able, unnest(range(1, len(ws) + 1)) u(i) WHERE list_has_all(ws[i : i + width - 1], own) GROUP BY row, id, label, need, len(toks)),
 hits AS (SELECT row, list_distinct(list(label)) AS found, max(shared / size::DOUBLE) AS c FROM m WHERE shared >= need GROUP BY row)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(bl, ','), '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(bl, []), coalesce(found, [])))), ',') AS labels,
