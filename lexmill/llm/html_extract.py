@@ -154,7 +154,7 @@ def bucket(x: float, edges: tuple[float, ...]) -> int:
 
 def features_of(blocks: list[Block]) -> list[list[str]]:
     """Feature sets of a page's blocks."""
-    out = []
+    out, before = [], frozenset[str]()
     for b in blocks:
         words = b.text.count(" ") + 1
         # all words of the block, however long it is
@@ -162,6 +162,9 @@ def features_of(blocks: list[Block]) -> list[list[str]]:
         out.append(
             [
                 *b.ancestors,
+                # what has been opened and what is left since the block before
+                *(f"opened:{f}" for f in b.ancestors if f not in before and f.startswith(("tag:", "name:"))),
+                *(f"left:{f}" for f in before.difference(b.ancestors) if f.startswith(("tag:", "name:"))),
                 f"words:{bucket(words, (2, 4, 8, 16, 40, 100))}",
                 f"linked:{bucket(b.linked / len(b.text), (0.01, 0.3, 0.8))}",
                 f"end:{b.text[-1] if b.text[-1] in '.!?:' else 'a'}",
@@ -171,6 +174,7 @@ def features_of(blocks: list[Block]) -> list[list[str]]:
                 *(["sign:©"] if "©" in b.text else []),
             ]
         )
+        before = frozenset(b.ancestors)
     return out
 
 

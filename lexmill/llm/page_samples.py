@@ -11,12 +11,13 @@ import random
 # Words that layouts are named by, and that notices, forms and footers are written in.
 ARTICLE_NAMES = ("content", "post", "entry", "article", "body", "story", "text", "main", "page")
 SIDE_NAMES = ("sidebar", "side", "widget", "related", "aside", "promo", "recommended", "rail")
-AD_NAMES = ("ad", "ads", "advert", "banner", "sponsor", "sponsored", "promo")
+AD_NAMES = ("ad", "ads", "advert", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo")
 MENU_NAMES = ("nav", "menu", "navbar", "breadcrumb", "breadcrumbs", "links", "topbar", "pagination", "tags", "share", "social")
 NOTICE_NAMES = ("cookie", "notice", "consent", "popup", "modal", "newsletter", "subscribe", "alert", "banner", "gdpr", "overlay", "paywall")
-COMMENT_NAMES = ("comment", "comments", "reply", "replies", "discussion", "disqus", "respond", "responses")
+COMMENT_NAMES = ("comment", "comments", "reply", "replies", "discussion", "disqus", "respond", "response", "responses")
 HEADER_NAMES = ("header", "masthead", "top", "logo", "branding")
 FOOTER_NAMES = ("footer", "copyright", "bottom", "legal", "colophon")
+OTHER_NAMES = ("user", "reader", "thread", "slot", "posts", "signup", "articles", "block", "section", "container", "item", "site", "top", "left", "right")
 SUFFIXES = ("", "", "", "-box", "-list", "-main", "_inner", "-wrapper", "1", "Area")
 NOTICES = ("We use cookies to improve your experience.", "By continuing you accept our privacy policy.", "Subscribe to our newsletter.", "Sign up to read more.", "Please enable JavaScript.")
 COMMON = ("rights", "terms", "share", "comment", "comments", "reply", "login", "privacy", "copyright", "newsletter", "subscribe", "cookies")
@@ -45,6 +46,9 @@ class Pages:
 
     def named(self, names: tuple[str, ...], tag: str = "div") -> tuple[str, str]:
         name = self.r.choice(names) + self.r.choice(SUFFIXES)
+        if self.r.random() < 0.25:
+            other = self.r.choice([*OTHER_NAMES, self.r.choice(self.vocabulary)])
+            name = self.r.choice([f"{other}-{name}", f"{name}-{other}", f"{name}_{other}"])
         how = self.r.random()
         attribute = f' class="{name}"' if how < 0.6 else f' id="{name}"' if how < 0.85 else f' class="{self.r.choice(self.vocabulary)} {name}"'
         return f"<{tag}{attribute}>", f"</{tag}>"
@@ -56,8 +60,14 @@ class Pages:
         items = [(f'<li><a href="/{w}">{w}</a></li>', 0) for w in (" ".join(self.words(1, 3)) for _ in range(self.r.randint(3, 9)))]
         return [("<ul>", None), *items, ("</ul>", None)]
 
+    def plain(self) -> list:
+        """Text like an article's: only what it stands in tells what it is."""
+        return [(f"<p>{self.sentences(1, self.r.choice([1, 3]))}</p>", 0) for _ in range(self.r.randint(1, 2))]
+
     def menu(self) -> list:
         kind = self.r.random()
+        if kind < 0.24:
+            return self.inside(("<nav>", "</nav>") if kind < 0.12 else self.named(MENU_NAMES), self.plain())
         return self.inside(("<nav>", "</nav>") if kind < 0.6 else self.named(MENU_NAMES), self.links())
 
     def header(self) -> list:
@@ -75,10 +85,14 @@ class Pages:
         return self.inside(self.named(AD_NAMES, self.r.choice(["div", "div", "section", "aside"])), [(text if self.r.random() < 0.6 else f"<p>{text}</p>", 0)])
 
     def side(self) -> list:
+        if self.r.random() < 0.4:
+            return self.inside(("<aside>", "</aside>") if self.r.random() < 0.5 else self.named(SIDE_NAMES), self.plain())
         pieces = [(f"<h3>{' '.join(self.words(1, 4))}</h3>", 0), *(self.links() if self.r.random() < 0.5 else [(f"<p>{self.sentences(1, 4)}</p>", 0)])]
         return self.inside(("<aside>", "</aside>") if self.r.random() < 0.6 else self.named(SIDE_NAMES), pieces)
 
     def notice(self) -> list:
+        if self.r.random() < 0.25:
+            return self.inside(self.named(NOTICE_NAMES, self.r.choice(["div", "div", "section"])), self.plain())
         text = f"{self.r.choice(NOTICES)} {self.sentences(0, 2)}"
         if self.r.random() < 0.15:  # a long one that says what it is only at its end
             text = f"{self.sentences(5, 15)} {self.r.choice(NOTICES)}"
@@ -90,6 +104,8 @@ class Pages:
 
     def comments(self) -> list:
         each = []
+        if self.r.random() < 0.3:  # no more than the text of one or two
+            return self.inside(self.named(COMMENT_NAMES, self.r.choice(["div", "div", "section", "ol"])), self.plain())
         for _ in range(self.r.randint(1, 4)):
             body = [(f"<h4>{' '.join(self.words(1, 2))}</h4>", 0)] * (self.r.random() < 0.5) + [(f"<p>{self.sentences(1, 5) if self.r.random() < 0.85 else self.sentences(8, 25)}</p>", 0)]
             each += self.inside(self.named(COMMENT_NAMES, self.r.choice(["div", "li", "div", "li", "div", "article"])), body)
@@ -120,12 +136,16 @@ class Pages:
                 pieces += [("<figure>", None), ("<img>", None), (f"<figcaption>{text}</figcaption>", 1), ("</figure>", None)]
             else:
                 pieces.append((f"<pre>{text}</pre>", 1))
-        for extra in (self.advert, self.side, self.comments, self.form):  # what isn't the article stands inside it too
-            if self.r.random() < 0.22:
-                at = self.r.randint(0, len(pieces)) if extra is self.advert else len(pieces)
-                depth = sum(x[0].count("<ul>") + x[0].count("<table>") + x[0].count("<blockquote>") + x[0].count("<figure>") - x[0].count("</ul>") - x[0].count("</table>") - x[0].count("</blockquote>") - x[0].count("</figure>") for x in pieces[:at] if x[1] is None)
-                if not depth:
-                    pieces[at:at] = extra()
+        for extra in (self.advert, self.side, self.comments, self.form, self.notice, self.menu):  # what isn't the article stands inside it too, at any place
+            if self.r.random() < 0.2:
+                places, depth = [], 0
+                for i, (tag, label) in enumerate([*pieces, ("", 1)]):
+                    if not depth:
+                        places.append(i)
+                    if label is None:
+                        depth += sum(tag.count(f"<{t}>") - tag.count(f"</{t}>") for t in ("ul", "table", "blockquote", "figure"))
+                at = self.r.choice(places)
+                pieces[at:at] = extra()
         kind = self.r.random()
         if kind < 0.45:
             return self.inside(("<article>", "</article>"), pieces)
