@@ -36,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, checkpointed, few, shuffle_partitions, table
@@ -49,6 +49,8 @@ CLUSTER_BYTES = 1 << 25
 PIVOTS = 8
 #: Members from which on a cluster's sets are held as bits, if those take no more bytes; and members of a part of a large cluster.
 LARGE, BITS_BYTES, CLUSTER = 32, 1 << 26, 1024
+#: Members of a large cluster that every part of it is compared with.
+REPRESENTATIVES = 8
 #: Width of a cell of a pivot's distance.
 CELL = 8
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -256,18 +258,19 @@ def keys_for(spec: Fingerprints, distinct: int) -> Keys | ScatteredKeys:
     return Keys(blocks, tuple(combinations(range(n), n - spec.radius)), cells, spec.radius)
 
 
-def joined_in_groups(keys: np.ndarray, holds, check=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def joined_in_groups(keys: np.ndarray, holds, check=None, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The two ends of each edge of a spanning forest of the links inside each group, and of each place the place that names its tree;
     equal keys are adjacent.
 
     holds(i, j): which of the pairs (arrays of places) may be links; check(a, b), if given, decides on each pair that isn't joined yet.
+    joined: of each place a place of its group that names the tree it is in from the start.
     """
     n = len(keys)
     last = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]])) if n else np.zeros(0, dtype=np.int64)
     group = np.searchsorted(last, np.arange(n))
     end = last[group] if n else last
     first = np.concatenate([[0], last[:-1] + 1])[group] if n else last
-    label = np.arange(n)
+    label = np.arange(n) if joined is None else joined.copy()
     left, right = [], []
     active, k = np.flatnonzero(end > np.arange(n)), 1
     while len(active):
@@ -413,14 +416,20 @@ def shared_bits(sets: list[np.ndarray]) -> np.ndarray | None:
     return out
 
 
-def similar_in_groups(keys: np.ndarray, sets: list[np.ndarray], spec: Fingerprints) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """joined_in_groups by the similarity of whole sets. What sets of a large group share is counted for many pairs at once."""
+def similar_in_groups(keys: np.ndarray, sets: list[np.ndarray], spec: Fingerprints, trees: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """joined_in_groups by the similarity of whole sets. What sets of a large group share is counted for many pairs at once.
+
+    trees: a name for each place; places of a group with the same name are joined already."""
+    start = np.arange(len(keys))
+    if trees is not None and len(keys):
+        _, one, place = np.unique(np.stack([keys, trees], axis=1), axis=0, return_index=True, return_inverse=True)
+        start = one[place.ravel()]
     size = np.array([len(x) for x in sets])
     points = np.stack([majority_bits(mixed(np.concatenate(sets), i), size) for i in range(SENT_WORDS)], axis=1)
     far = size_table(size, spec)
     edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
     large = [(a, b) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False) if b - a >= LARGE]
-    alone, left, right, label = np.ones(len(keys), dtype=bool), [], [], np.arange(len(keys))
+    alone, left, right, label = np.ones(len(keys), dtype=bool), [], [], start.copy()
     for a, b in large:
         if (bits := shared_bits(sets[a:b])) is None:
             continue
@@ -433,14 +442,14 @@ def similar_in_groups(keys: np.ndarray, sets: list[np.ndarray], spec: Fingerprin
             kept[kept] = shared >= spec.similarity * (own[x] + own[y] - shared) - 1e-9  # noqa: B023
             return kept
 
-        one, two, named = joined_in_groups(keys[a:b], holds)
+        one, two, named = joined_in_groups(keys[a:b], holds, joined=start[a:b] - a)
         left.append(one + a)
         right.append(two + a)
         label[a:b] = named + a
         alone[a:b] = False
     at = np.flatnonzero(alone)
     if len(at):
-        one, two, named = joined_in_groups(keys[at], near_enough(points[at], far[at], spec.radius), lambda i, j: similar(sets[at[i]], sets[at[j]], spec.similarity))
+        one, two, named = joined_in_groups(keys[at], near_enough(points[at], far[at], spec.radius), lambda i, j: similar(sets[at[i]], sets[at[j]], spec.similarity), np.searchsorted(at, start[at]))
         left.append(at[one])
         right.append(at[two])
         label[at] = at[named]
@@ -448,13 +457,14 @@ def similar_in_groups(keys: np.ndarray, sets: list[np.ndarray], spec: Fingerprin
 
 
 def verify_stream(spec: Fingerprints, whole_clusters: bool):
-    """For mapInArrow over (group, vertex, shingles) sorted by group: pairs of a vertex that has links that hold and the vertex that names
+    """For mapInArrow over (group, vertex, shingles, and tree if some are joined already) sorted by group: pairs of a vertex that has links that hold and the vertex that names
     its component, if groups are whole clusters; else the ends of a spanning forest of the links that hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in whole_groups(batches):
             keys, vertices = (np.concatenate([b.column(c).to_numpy() for b in whole]) for c in (0, 1))
-            a, b, label = similar_in_groups(keys, [np.frombuffer(x.as_buffer(), dtype=np.uint64) for r in whole for x in r.column(2)], spec)
+            trees = np.concatenate([b.column(3).to_numpy() for b in whole]) if whole[0].num_columns > 3 else None
+            a, b, label = similar_in_groups(keys, [np.frombuffer(x.as_buffer(), dtype=np.uint64) for r in whole for x in r.column(2)], spec, trees)
             if whole_clusters:
                 a = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
                 b = label[a]
@@ -463,6 +473,40 @@ def verify_stream(spec: Fingerprints, whole_clusters: bool):
     return run
 
 
+def linked_in_parts(sets: DataFrame, hot: DataFrame, found, group: int, most: int) -> DataFrame:
+    """Edges that connect what the links that hold connect, for the clusters in hot (group, parts); sets has group, vertex, shingles, bytes.
+
+    First each part of a cluster is compared with itself and with the cluster's representatives, which go to all parts: the work is the
+    number of members times a part's size. A cluster that this makes one tree, as near copies of one text are, is done. Of any other one,
+    the members outside its largest tree, in parts of their own, meet every part of the cluster, so no link between two trees is lost.
+    """
+    mine = F.pmod(F.xxhash64("vertex"), F.col("parts")).cast("int")
+    held = sets.join(hot, "group").withColumn("mine", mine)
+    # Spark cuts each partition to its first rows by rank before the shuffle
+    drawn = held.select("group", "vertex", "parts", "mine", "bytes", F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64("vertex", F.lit(1)), "vertex")).alias("rank")).filter(F.col("rank") <= REPRESENTATIVES)
+    total = F.sum("bytes").over(Window.partitionBy("group").orderBy("rank"))
+    chosen = drawn.withColumn("total", total).filter((F.col("rank") == 1) | (F.col("total") <= most // 2))
+    other = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: i != F.col("mine"))
+    shown = chosen.select("group", "vertex", F.explode(other).alias("mine")).join(sets.select("vertex", "shingles"), "vertex")
+    columns = (F.xxhash64("group", "mine").alias("group"), "vertex", "shingles")
+    edges = checkpointed(found(held.select(*columns).unionByName(shown.select(*columns))))
+    named = held.select("group", "vertex", "parts", "mine", "bytes").join(connected_components(edges), "vertex", "left")
+    named = checkpointed(named.withColumn("tree", F.coalesce("component", "vertex")).drop("component"))
+    trees = named.groupBy("group", "tree").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    largest = trees.groupBy("group").agg(F.count(F.lit(1)).alias("trees"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "tree", "bytes")).alias("most"))
+    rest_parts = F.greatest(F.ceil((F.col("n") - F.col("most.n")) / F.lit(group // 2)), F.ceil((F.col("bytes") - F.col("most.bytes")) / F.lit(most // 2)), F.lit(1)).cast("int")
+    open_ = checkpointed(largest.filter("trees > 1").select("group", F.col("most.tree").alias("largest"), rest_parts.alias("rest_parts")))
+    if not (m := open_.count()):
+        return edges
+    members = named.join(few(open_, m), "group")
+    whole = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest_parts") - 1)))
+    outside = members.filter("tree <> largest").withColumn("other", F.pmod(F.xxhash64("vertex", F.lit(2)), F.col("rest_parts")).cast("int"))
+    met = outside.withColumn("mine", F.explode(other))  # in its own part it is already
+    columns = (F.xxhash64("group", "mine", "other").alias("group"), "vertex", "tree")
+    blocks = whole.select(*columns).unionByName(met.select(*columns)).join(sets.select("vertex", "shingles"), "vertex")
+    return edges.unionByName(found(blocks.select("group", "vertex", "shingles", "tree")))
+
+
 def verified(proposed: DataFrame, points: DataFrame, docs: DataFrame, spec: Fingerprints, group: int = GROUP, most: int = CLUSTER_BYTES) -> DataFrame:
     """(vertex, component) by the links that hold between whole shingle sets, inside each cluster of proposed links; points has vertex and
     text_key. Only texts of clusters are read again."""
@@ -479,7 +523,8 @@ def verified(proposed: DataFrame, points: DataFrame, docs: DataFrame, spec: Fing
     if not (m := hot.count()):
         return found(sets, True).toDF("vertex", "component")
     small = found(sets.join(few(hot.select("group"), m), "group", "left_anti"), True).toDF("vertex", "component")
-    return small.unionByName(connected_components(found(in_pairs_of_parts(sets, few(hot, m), "vertex"), False)))
+    linked = linked_in_parts(sets.withColumn("bytes", F.length("shingles")), few(hot, m), lambda df: found(df, False), group, most)
+    return small.unionByName(connected_components(linked))
 
 
 def classes(docs: DataFrame, spec: Fingerprints, id_column: str, group: int, row_key=None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

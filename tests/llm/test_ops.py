@@ -353,6 +353,18 @@ def test_near_duplicates_equal_brute_force(spark, odd, group):
     assert kept == Counter(min((d for d in c if d is not None), default=None) for c in classes.values())
 
 
+def test_clusters_in_parts_lose_no_link(spark):
+    r = random.Random(3)
+    rows = []
+    for c in range(3):  # chains, in which only neighbours are similar enough, and a star of near copies
+        words = [f"c{c}w{i}" for i in range(300)]
+        rows += [(100 * c + i, " ".join(words[4 * i : 4 * i + 60]), "n") for i in range(40)]
+    rows += [(500 + i, " ".join([*(f"s{k}" for k in range(80)), f"y{i}"]), "n") for i in range(50)]
+    r.shuffle(rows)
+    kept = {x["doc_id"] for x in simhash.without_near_duplicates(documents(spark, rows), group=6).collect()}
+    assert kept == {0, 100, 200, 500}
+
+
 @pytest.mark.parametrize("most", [simhash.BITS_BYTES, 0])  # 0: pair by pair
 def test_sets_of_large_groups_equal_pair_by_pair(monkeypatch, most):
     monkeypatch.setattr(simhash, "BITS_BYTES", most)
@@ -653,6 +665,53 @@ def test_held_out_pages():
     assert right / total > 0.98
 
 
+# Pages that the generator of training pages hasn't made, labelled by hand.
+def paragraphs(*texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+LINKS = "<ul><li><a href='/a'>News</a></li><li><a href='/b'>Sport</a></li></ul>"
+T1, T2, T3 = "The bridge was closed on Monday after cracks were found.","Engineers say that repairs will take two months.","Drivers must use the ferry until then."
+HAND = [
+    (f"<body><div id='topbar'>{LINKS}</div><div id='content'><h1>Bridge closed</h1>{paragraphs(T1, T2)}<div class='share'><a href='#'>Tweet</a> <a href='#'>Mail</a></div>{paragraphs(T3)}</div><div id='sidebar'><h3>Most read</h3>{LINKS}</div></body>", f"Bridge closed {T1} {T2} {T3}"),
+    (f"<body><header><h1>Daily Post</h1><nav>{LINKS}</nav></header><main><h2>Bridge closed</h2>{paragraphs(T1)}<figure><img src=x><figcaption>The bridge in May</figcaption></figure>{paragraphs(T2)}<form><label>Mail</label><input><button>Send</button></form>{paragraphs(T3)}</main><footer><p>Contact us</p></footer></body>", f"Bridge closed {T1} The bridge in May {T2} {T3}"),
+    (f"<body><article class='post'><h1>Bridge closed</h1>{paragraphs(T1, T2, T3)}<section id='comments'><h3>3 comments</h3><div class='comment'><p>At last! I told you so.</p></div><div class='comment'><p>What about cyclists?</p></div></section></article></body>", f"Bridge closed {T1} {T2} {T3}"),
+    (f"<body><div class='cookie-banner'><p>We use cookies.</p><button>Accept</button></div><article>{paragraphs(T1, T2)}<blockquote><p>It was time.</p></blockquote>{paragraphs(T3)}</article></body>", f"{T1} {T2} It was time. {T3}"),
+    (f"<body><article><h1>Bridge closed</h1>{paragraphs(T1)}<div class='advertisement'><p>Buy new boots. Half price this week.</p></div>{paragraphs(T2)}<aside><h4>Background</h4><p>The bridge was built in 1931.</p></aside>{paragraphs(T3)}</article></body>", f"Bridge closed {T1} {T2} {T3}"),
+    (f"<body><div class='breadcrumbs'><a href='/'>Home</a> &gt; <a href='/n'>News</a></div><div class='entry-content'><h1>Bridge closed</h1>{paragraphs(T1)}<ul><li>Trucks: route 4.</li><li>Cars: ferry.</li></ul>{paragraphs(T2)}</div><div class='related'><h3>Related</h3>{LINKS}</div></body>", f"Bridge closed {T1} Trucks: route 4. Cars: ferry. {T2}"),
+    (f"<body><main><article>{paragraphs(T1, T2)}</article><div class='paywall'><p>Log in to read on. The first month is free.</p></div></main><footer>{LINKS}</footer></body>", f"{T1} {T2}"),
+    (f"<body><article><h1>Bridge closed</h1>{paragraphs(T1, T2)}</article><div class='comments-area'><ol class='comment-list'><li class='comment'><article><p>Why so late? It was known for years.</p></article></li></ol></div></body>", f"Bridge closed {T1} {T2}"),
+    (f"<body><div class='wrapper'><div class='story-body'>{paragraphs(T1)}<div class='newsletter-box'><h4>Our letter</h4><p>All news, each morning.</p></div>{paragraphs(T2, T3)}</div></div></body>", f"{T1} {T2} {T3}"),
+    (f"<body><article>{paragraphs(T1)}<h2>Who is affected</h2>{paragraphs(T2)}<table><tr><td>Cars</td><td>2000</td></tr></table>{paragraphs(T3)}</article><nav class='pagination'><a href='/2'>Next</a></nav></body>", f"{T1} Who is affected {T2} Cars 2000 {T3}"),
+]
+
+
+CELLAR = ("<p>Cellars need air. Open the vents in spring, when nights are dry.</p>", "<p>In summer the air outside is warmer than the walls, so keep them shut.</p>")
+CELLAR_TEXT = "Keeping a cellar dry Cellars need air. Open the vents in spring, when nights are dry. In summer the air outside is warmer than the walls, so keep them shut."
+
+
+def test_hand_labelled_pages():
+    chain = html_extract.extractor()
+    for page, text in HAND:
+        assert html_extract.main_text(page, chain) == text
+
+
+@pytest.mark.parametrize("opened", ["aside", "nav", *[f'div class="{c}"' for c in ("sidebar", "related-posts", "newsletter-signup", "ad-slot", "promo-box", "cookie-notice", "menu")], 'section class="newsletter"'])
+def test_what_stands_inside_an_article_goes(opened):
+    end = opened.split(" ")[0]
+    for extra in ("Read also: ten tips for dry cellars", "Ten tips for dry cellars are in our spring issue. Get it now."):
+        page = f"<html><body><header><a href='/'>Home</a></header><article><h1>Keeping a cellar dry</h1>{CELLAR[0]}<{opened}><p>{extra}</p></{end}>{CELLAR[1]}</article><footer>&copy; 2023 House Paper</footer></body></html>"
+        assert html_extract.main_text(page, html_extract.extractor()) == CELLAR_TEXT
+
+
+@pytest.mark.parametrize("name", ["comments", "user-comments", "comment-list", "reader-responses", "disqus_thread"])
+def test_reader_comments_go(name):
+    for opened, closed in (('<div class="x"><article>', "</article></div>"), ("<main>", "</main>"), ("<article>", "</article>"), ('<div class="x">', "</div>")):
+        for before, after in ((f'<div class="{name}">', "</div>"), (f'<section class="{name}"><div class="comment">', "</div></section>")):
+            page = f"<html><body><nav><a href='/'>Home</a></nav>{opened}<h1>Keeping a cellar dry</h1>{''.join(CELLAR)}{closed}{before}<p>Thanks, this worked for me. My walls are dry now.</p>{after}<footer>&copy; 2023 House Paper</footer></body></html>"
+            assert html_extract.main_text(page, html_extract.extractor()) == CELLAR_TEXT
+
+
 def test_viterbi_is_the_best_path():
     chain = crf.Chain({}, ((0.4, -0.9), (-1.1, 0.7)), 0.2, 0.0)
     rng = np.random.default_rng(3)
