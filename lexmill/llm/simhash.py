@@ -458,23 +458,22 @@ def similar_in_groups(keys: np.ndarray, sets: list[np.ndarray], spec: Fingerprin
 
 def verify_stream(spec: Fingerprints, whole_clusters: bool):
     """For mapInArrow over (group, vertex, shingles, and tree if some are joined already) sorted by group: pairs of a vertex that has links that hold and the vertex that names
-    its component, if groups are whole clusters; else the ends of a spanning forest of the links that hold."""
+    its component, of all vertices with links if groups are whole clusters, else of all that others name: stars, which are joined in few rounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in whole_groups(batches):
             keys, vertices = (np.concatenate([b.column(c).to_numpy() for b in whole]) for c in (0, 1))
             trees = np.concatenate([b.column(3).to_numpy() for b in whole]) if whole[0].num_columns > 3 else None
-            a, b, label = similar_in_groups(keys, [np.frombuffer(x.as_buffer(), dtype=np.uint64) for r in whole for x in r.column(2)], spec, trees)
-            if whole_clusters:
-                a = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
-                b = label[a]
+            _, _, label = similar_in_groups(keys, [np.frombuffer(x.as_buffer(), dtype=np.uint64) for r in whole for x in r.column(2)], spec, trees)
+            a = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1 if whole_clusters else label != np.arange(len(label)))
+            b = label[a]
             yield pa.RecordBatch.from_arrays([pa.array(vertices[a]), pa.array(vertices[b])], schema=EDGES)
 
     return run
 
 
 def linked_in_parts(sets: DataFrame, hot: DataFrame, found, group: int, most: int) -> DataFrame:
-    """Edges that connect what the links that hold connect, for the clusters in hot (group, parts); sets has group, vertex, shingles, bytes.
+    """(vertex, component) by the links that hold, for the clusters in hot (group, parts); sets has group, vertex, shingles, bytes.
 
     First each part of a cluster is compared with itself and with the cluster's representatives, which go to all parts: the work is the
     number of members times a part's size. A cluster that this makes one tree, as near copies of one text are, is done. Of any other one,
@@ -491,20 +490,20 @@ def linked_in_parts(sets: DataFrame, hot: DataFrame, found, group: int, most: in
     columns = (F.xxhash64("group", "mine").alias("group"), "vertex", "shingles")
     edges = checkpointed(found(held.select(*columns).unionByName(shown.select(*columns))))
     named = held.select("group", "vertex", "parts", "mine", "bytes").join(connected_components(edges), "vertex", "left")
-    named = checkpointed(named.withColumn("tree", F.coalesce("component", "vertex")).drop("component"))
+    named = checkpointed(named.withColumn("tree", F.coalesce("component", "vertex")))
     trees = named.groupBy("group", "tree").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
     largest = trees.groupBy("group").agg(F.count(F.lit(1)).alias("trees"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "tree", "bytes")).alias("most"))
     rest_parts = F.greatest(F.ceil((F.col("n") - F.col("most.n")) / F.lit(group // 2)), F.ceil((F.col("bytes") - F.col("most.bytes")) / F.lit(most // 2)), F.lit(1)).cast("int")
     open_ = checkpointed(largest.filter("trees > 1").select("group", F.col("most.tree").alias("largest"), rest_parts.alias("rest_parts")))
     if not (m := open_.count()):
-        return edges
+        return named.filter("component IS NOT NULL").select("vertex", "component")
     members = named.join(few(open_, m), "group")
     whole = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest_parts") - 1)))
     outside = members.filter("tree <> largest").withColumn("other", F.pmod(F.xxhash64("vertex", F.lit(2)), F.col("rest_parts")).cast("int"))
     met = outside.withColumn("mine", F.explode(other))  # in its own part it is already
     columns = (F.xxhash64("group", "mine", "other").alias("group"), "vertex", "tree")
     blocks = whole.select(*columns).unionByName(met.select(*columns)).join(sets.select("vertex", "shingles"), "vertex")
-    return edges.unionByName(found(blocks.select("group", "vertex", "shingles", "tree")))
+    return connected_components(edges.unionByName(found(blocks.select("group", "vertex", "shingles", "tree"))))
 
 
 def verified(proposed: DataFrame, points: DataFrame, docs: DataFrame, spec: Fingerprints, group: int = GROUP, most: int = CLUSTER_BYTES) -> DataFrame:
@@ -524,7 +523,7 @@ def verified(proposed: DataFrame, points: DataFrame, docs: DataFrame, spec: Fing
         return found(sets, True).toDF("vertex", "component")
     small = found(sets.join(few(hot.select("group"), m), "group", "left_anti"), True).toDF("vertex", "component")
     linked = linked_in_parts(sets.withColumn("bytes", F.length("shingles")), few(hot, m), lambda df: found(df, False), group, most)
-    return small.unionByName(connected_components(linked))
+    return small.unionByName(linked)
 
 
 def classes(docs: DataFrame, spec: Fingerprints, id_column: str, group: int, row_key=None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
