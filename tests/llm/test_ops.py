@@ -353,18 +353,6 @@ def test_near_duplicates_equal_brute_force(spark, odd, group):
     assert kept == Counter(min((d for d in c if d is not None), default=None) for c in classes.values())
 
 
-def test_clusters_in_parts_lose_no_link(spark):
-    r = random.Random(3)
-    rows = []
-    for c in range(2):  # chains, in which only neighbours are similar enough, and a star of near copies
-        words = [f"c{c}w{i}" for i in range(150)]
-        rows += [(100 * c + i, " ".join(words[4 * i : 4 * i + 60]), "n") for i in range(18)]
-    rows += [(500 + i, " ".join([*(f"s{k}" for k in range(80)), f"y{i}"]), "n") for i in range(30)]
-    r.shuffle(rows)
-    kept = {x["doc_id"] for x in simhash.without_near_duplicates(documents(spark, rows), group=6).collect()}
-    assert kept == {0, 100, 500}
-
-
 @pytest.mark.parametrize("most", [simhash.BITS_BYTES, 0])  # 0: pair by pair
 def test_sets_of_large_groups_equal_pair_by_pair(monkeypatch, most):
     monkeypatch.setattr(simhash, "BITS_BYTES", most)
