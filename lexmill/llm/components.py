@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     vertex in one round of as many doublings as the logarithm of its length. The neighbours of a vertex are never gathered:
     their minimum is summed up before the shuffle.
     """
-    edges = checkpointed(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     steps: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         at_a = step.select(F.col("old").alias("a"), F.col("new").alias("new_a"))
         at_b = step.select(F.col("old").alias("b"), F.col("new").alias("new_b"))
         moved = edges.join(at_a, "a").join(at_b, "b").filter("new_a <> new_b")
-        edges = checkpointed(moved.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).distinct())
+        edges = written(moved.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).distinct())
     if not steps:
         return edges.select(F.col("a").alias("vertex"), F.col("a").alias("component"))
     found = steps[0].select(F.col("old").alias("vertex"), F.col("new").alias("component"))
@@ -38,11 +38,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def settled(parents: DataFrame) -> DataFrame:
     """Follow (vertex, component) until no component is itself a vertex with another component."""
-    parents = checkpointed(parents)
+    parents = written(parents)
     while True:
         up = parents.filter("vertex <> component").select(F.col("vertex").alias("component"), F.col("component").alias("next"))
         followed = parents.join(up, "component", "left").select("vertex", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved"))
-        followed = checkpointed(followed)
+        followed = written(followed)
         parents = followed.drop("moved")
         if followed.filter("moved").isEmpty():
             return parents
