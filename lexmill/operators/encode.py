@@ -8,17 +8,18 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE
+from ..functions.udfs import slices
 
 PAD, UNKNOWN, BEGIN, END = 0, 1, 2, 3
 #: Ids are stored in two bytes.
 MAX_VOCABULARY = 65535
-#: Texts that are encoded at once.
-SLICE = 200
+#: Texts that are encoded at once, and their bytes unless it is one text.
+SLICE, SLICE_BYTES = 200, 1 << 20
 #: Most distinct words that a tokenizer is trained from, the most frequent first; their counts are those of all documents.
 WORDS = 1_000_000
 
@@ -58,20 +59,19 @@ def encode_corpus(docs: DataFrame, model: bytes, text: str = "text") -> DataFram
     """Adds tokens, the ids of the stripped text and the model's end id; texts without ids are dropped. One model is loaded in each worker."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import sentencepiece
 
         processor = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
         end = processor.eos_id() if processor.eos_id() >= 0 else END
         for batch in batches:
-            out: list[np.ndarray | None] = []
-            for i in range(0, len(batch), SLICE):  # Python's numbers take many times the room of an array's
-                ids = processor.encode([(t or "").strip() for t in batch.iloc[i : i + SLICE]], out_type=int, num_threads=1)
-                out += [np.array([*x, end], dtype=np.int32) if x else None for x in ids]
-            yield pd.Series(out, dtype=object)
+            for part in slices(batch, SLICE, SLICE_BYTES):  # Python's numbers take many times the room of an array's
+                ids = processor.encode([(t or "").strip() for t in part.to_pylist()], out_type=int, num_threads=1)
+                yield pa.array([np.array([*x, end], dtype=np.int32) if x else None for x in ids], pa.list_(pa.int32()))
 
-    return docs.withColumn("tokens", run(text)).filter(F.col("tokens").isNotNull())
+    # else the filter would be pushed down and run the encoder a second time, in a second worker of each task
+    return docs.withColumn("tokens", run.asNondeterministic()(text)).filter(F.col("tokens").isNotNull())
 
 
 def conversation_encoder(model: bytes):
