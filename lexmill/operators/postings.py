@@ -12,7 +12,8 @@ all scores in it. The ranges with the largest bounds are scored first; the k-th
 opened. Inside a range documents are scored one at a time: terms whose bounds add up to less than the floor can't bring a document in by
 themselves and are only looked up for documents that other terms hold.
 
-A term that a third of all documents hold is one block for each range, so no group is larger than a range.
+A term that a third of all documents hold is one block for each range (two, if the range was read in two tasks), so no group is larger than
+a range.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -85,20 +87,17 @@ def write_index(chunks: DataFrame, path: str, order: Sequence[str] = ("doc_id",
         spark = rows.sparkSession
         numbered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("doc", F.monotonically_increasing_id())
         numbered.write.parquet(f"{to}/documents")
-        held = spark.read.parquet(f"{to}/documents").select("doc", "text", F.shiftright("doc", shift).alias("range"))
-        # rows meet by range once: both groupings below hold the range, so neither moves anything
-        said = held.repartition("range").select("range", "doc", tokens("text").alias("words"))
-        words = said.select("range", F.col("doc").bitwiseAND(block - 1).cast("int").alias("low"), F.size("words").alias("length"), F.explode("words").alias("term"))
-        counted = words.groupBy("range", "low", "length", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        grouped = counted.groupBy("range", "term").agg(F.sort_array(F.collect_list(F.struct("low", "tf", "length"))).alias("held"))
-        grouped.select("term", "range", F.col("held.low").alias("docs"), F.col("held.tf").alias("tfs"), F.col("held.length").alias("lengths")).write.parquet(f"{to}/unsorted")
-        blocks = spark.read.parquet(f"{to}/unsorted")
-        n, with_text = held.agg(F.count(F.lit(1)), F.count("text")).first()
-        total = blocks.agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda s, tf: s + tf))).first()[0] or 0
+        documents = spark.read.parquet(f"{to}/documents")
+        made = documents.select("doc", tokens("text").alias("words")).mapInArrow(partial(term_blocks, block=block), "term string, range long, docs array<int>, tfs array<int>, lengths array<int>")
+        made.write.parquet(f"{to}/unsorted")
+        unsorted = spark.read.parquet(f"{to}/unsorted")
+        n = documents.count()
+        with_text, total = (x or 0 for x in unsorted.filter("term IS NULL").agg(F.sum(F.size("lengths")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x))).first())
         average = total / with_text if total else 1.0
         best = F.array_max(F.zip_with("tfs", "lengths", lambda tf, length: weight(tf, length, F.lit(1.0), F.lit(average))))
-        stored = blocks.select("term", "range", F.size("docs").alias("n"), best.alias("best"), "docs", "tfs", "lengths", bucket_of(F.col("term"), buckets).alias("bucket"))
-        stored.repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{to}/postings")
+        # the bounds of the ranges are drawn from a first run of what stands before the exchange, so weights are worked out after it
+        stored = unsorted.filter("term IS NOT NULL").withColumn("bucket", bucket_of(F.col("term"), buckets)).repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range")
+        stored.select("term", "range", F.size("docs").alias("n"), best.alias("best"), "docs", "tfs", "lengths", "bucket").write.partitionBy("bucket").parquet(f"{to}/postings")
         remove(spark, f"{to}/unsorted")
         stats = spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(average).cast("double").alias("average"), F.array(*map(F.lit, order)).alias("order"), F.lit(block).alias("block"), F.lit(buckets).alias("buckets"))
         stats.write.parquet(f"{to}/stats")
@@ -107,6 +106,54 @@ def write_index(chunks: DataFrame, path: str, order: Sequence[str] = ("doc_id",
     return open_index(chunks.sparkSession, path)
 
 
+def term_blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Blocks (term, range, docs, tfs, lengths) of documents (doc, words) that come in order, and for each range a row without a term that holds
+    the lengths of its texts. What is held at once is the counts of one range; a range that is read in two tasks gives two blocks of a term."""
+    shift, place, last, held = block.bit_length() - 1, -1, -1, []
+    for batch in batches:
+        doc, words = np.asarray(batch.column(0)), batch.column(1)
+        if not len(doc):
+            continue
+        cuts = np.flatnonzero((np.diff(doc >> shift) != 0) | (np.diff(doc) < 0)) + 1
+        for at, end in zip([0, *cuts], [*cuts, len(doc)], strict=True):
+            if held and (doc[at] >> shift != place or doc[at] < last):
+                yield range_blocks(place, held)
+                held = []
+            place, last = int(doc[at] >> shift), doc[end - 1]
+            held.append(counted((doc[at:end] & (block - 1)).astype(np.int32), words.slice(at, end - at)))
+    if held:
+        yield range_blocks(place, held)
+
+
+def counted(low: np.ndarray, words: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms; number, length, place among the terms and count of what each document holds; the lengths of texts that aren't null."""
+    said, length = words.flatten().dictionary_encode(), pc.list_value_length(words)
+    size = np.asarray(pc.fill_null(length, 0)).astype(np.int64)
+    many = max(len(said.dictionary), 1)
+    pair, tf = np.unique(np.repeat(np.arange(len(size)), size) * many + np.asarray(said.indices), return_counts=True)
+    row = pair // many
+    return said.dictionary, low[row], size[row].astype(np.int32), pair % many, tf.astype(np.int32), np.asarray(length.drop_null()).astype(np.int32)
+
+
+def range_blocks(place: int, held: Sequence[tuple]) -> pa.RecordBatch:
+    """The blocks of a range from what its documents hold, in their order."""
+    terms = pa.concat_arrays([h[0] for h in held]).dictionary_encode()
+    start = np.cumsum([0, *(len(h[0]) for h in held)])
+    code = np.concatenate([np.asarray(terms.indices)[start[i] + h[3]] for i, h in enumerate(held)])
+    order = np.argsort(code, kind="stable")  # documents stay in order
+    ends = np.cumsum(np.bincount(code, minlength=len(terms.dictionary)))
+    texts = np.concatenate([h[5] for h in held])
+
+    def lists(at: int, more: np.ndarray) -> pa.Array:
+        values = np.concatenate([np.concatenate([h[at] for h in held])[order], more])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends, [len(values)]]), pa.int32()), pa.array(values, pa.int32()))
+
+    none = np.zeros(0, dtype=np.int32)
+    every = pa.concat_arrays([terms.dictionary, pa.nulls(1, terms.dictionary.type)])
+    columns = [every.cast(pa.string()), pa.array(np.full(len(every), place), pa.int64()), lists(1, none), lists(4, none), lists(2, texts)]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "range", "docs", "tfs", "lengths"])
+
+
 def open_index(spark: SparkSession, path: str) -> Index:
     stats = spark.read.parquet(f"{path}/stats").first()
     return Index(spark, path, tuple(stats["order"]), stats["n"], stats["average"], stats["block"], stats["buckets"])
@@ -173,7 +220,12 @@ def scored(index: Index, asked: Asked, ranges: DataFrame, top_k: int, floors: di
                 held = {}
                 for b in own.values:
                     tf, length = (np.asarray(b[c].values, dtype=np.float64) for c in ("tfs", "lengths"))
-                    held[b["term"].as_py()] = (np.asarray(b["docs"].values), tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average)))
+                    term, doc, share = b["term"].as_py(), np.asarray(b["docs"].values), tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+                    if term in held:  # the range was read in more than one task
+                        doc, share = (np.concatenate(x) for x in zip(held[term], (doc, share), strict=True))
+                        order = np.argsort(doc)
+                        doc, share = doc[order], share[order]
+                    held[term] = (doc, share)
                 ids, docs, scores = [], [], []
                 for q in queries if only is None else only[place]:
                     if but is not None and q in but.get(place, ()):

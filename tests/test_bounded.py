@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lexmill.functions.udfs import normalize, normalized, slices
-from lexmill.operators import encode
+from lexmill.operators import encode, postings, retrieval
 
 
 def test_slices_are_bounded_and_whole():
@@ -34,3 +35,43 @@ def test_normalize_takes_slices(spark, monkeypatch):
     texts = ["ﬁne  text", None, "plain", "", "é​ x", "長 文", "２", None]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).select("i", normalize("t").alias("t")).collect()
     assert [r["t"] for r in sorted(got)] == [None if t is None else normalized(t) for t in texts]
+
+
+def test_blocks_are_made_range_by_range():
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=["doc", "words"])
+
+    first = [(0, ["a", "b", "a"]), (1, None), (2, [])]
+    rest = [(3, ["b"]), (4, ["b", "c"]), (9, ["a"]), (8, ["c"])]
+    asked = []
+
+    def batches():
+        for rows in (first, [], rest):
+            asked.append(len(rows))
+            yield batch(rows)
+
+    made = [b.to_pylist() for b in postings.term_blocks(batches(), 4)]
+    found = [sorted((x["term"] or "", x["range"], tuple(x["docs"]), tuple(x["tfs"]), tuple(x["lengths"])) for x in b) for b in made]
+    assert found == [
+        [("", 0, (), (), (3, 0, 1)), ("a", 0, (0,), (2,), (3,)), ("b", 0, (0, 3), (1, 1), (3, 1))],
+        [("", 1, (), (), (2,)), ("b", 1, (0,), (1,), (2,)), ("c", 1, (0,), (1,), (2,))],
+        [("", 2, (), (), (1,)), ("a", 2, (1,), (1,), (1,))],
+        [("", 2, (), (), (1,)), ("c", 2, (0,), (1,), (1,))],
+    ]
+
+
+def test_index_moves_no_text_by_range(spark, tmp_path, monkeypatch):
+    """Texts were shuffled by range and counted by hash tables over all ranges of a task, whose number Spark chose by bytes."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % (i + 2)}" for j in range(i % 9))) for i in range(70)] + [(70, None)], "doc_id long, text string")
+    seen, kind = [], type(docs)
+    run = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: (seen.append(self._jdf.queryExecution().executedPlan().toString()), run(self, *a, **b))[1])
+    index = postings.write_index(docs, f"file://{tmp_path}/i", ["doc_id"], block=8, buckets=2)
+    assert len(seen) == 1 and "Exchange" not in seen[0] and "Aggregate" not in seen[0]
+    expected = {tuple(x) for x in retrieval.term_statistics(docs)[0].collect()}
+    assert {tuple(x) for x in postings.term_frequencies(index).collect()} == expected
+    # blocks of a range in two parts are searched as one
+    twice = index.postings.filter("n > 1").select("term", "range", F.explode(F.arrays_zip("docs", "tfs", "lengths")).alias("x"), "best", "bucket")
+    index.__dict__["postings"] = twice.select("term", "range", F.lit(1).alias("n"), "best", *[F.array(f"x.{c}").alias(c) for c in ("docs", "tfs", "lengths")], "bucket").unionByName(index.postings.filter("n = 1"))
+    got = [(x["rank"], x["doc_id"], x["score"]) for x in postings.search_index(index, "w0 w1 w5", 6).orderBy("rank").collect()]
+    assert got == [(x["rank"], x["doc_id"], x["score"]) for x in retrieval.bm25(docs, "w0 w1 w5", 6, ["doc_id"]).orderBy("rank").collect()]
