@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_folder, checkpointed
+from ..session import checkpoint_folder, checkpointed, written
 
 __all__ = ["checkpoint_folder", "checkpointed", "few", "lower_ascii", "shuffle_partitions", "table", "text_or_empty", "word_count", "written"]
 
@@ -21,18 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Run `df` once and read it back from a table in the folder that all machines share.
-
-    For loops whose rounds join a table with itself: a checkpoint keeps the size that Spark estimates for its plan, which such a join
-    squares, so that after a dozen rounds the estimate is a number of millions of digits and planning doesn't end. A written table has
-    the size of its files.
-    """
-    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,17 +17,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import content_terms, tokens
 from ..functions.udfs import chunk, embedded
-from ..session import checkpointed
+from ..session import checkpointed, written
 
 K1 = 1.2
 B = 0.75
 #: Scores are rounded so that the order of additions can't change a ranking.
 DIGITS = 6
-#: Query terms in one broadcast.
-BLOCK_TERMS = 200_000
+#: Query terms in one broadcast, and in one matrix of a task.
+BLOCK_TERMS, PART_TERMS = 200_000, 8192
+#: Rows scored at once, and cells of their matrix unless it is one row.
+SCORED_ROWS, SCORED_CELLS = 1024, 1 << 22
 #: Query vectors in one broadcast.
 BLOCK_QUERIES = 256
 
@@ -92,28 +95,130 @@ def ranked(scored: DataFrame, top_k: int | None, order: Sequence[str]) -> DataFr
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*by)))
 
 
+def held_terms(rows: DataFrame, key: Sequence[str], words: Column, vocabulary: Sequence[str]) -> DataFrame:
+    """(key, length, ids, tfs): for each row the number of its words (null for none) and places in a bounded vocabulary with their counts, by place.
+    Nothing is moved: a row's words are counted where it is read, and what is left of them is written."""
+    shared = rows.sparkSession.sparkContext.broadcast(pa.array(vocabulary, pa.string()))
+    chosen = rows.select(F.struct(*key).alias("key"), words.alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said, length = batch.column(1), pc.list_value_length(batch.column(1))
+            size = np.asarray(pc.fill_null(length, 0)).astype(np.int64)
+            ids = np.asarray(pc.fill_null(pc.index_in(said.flatten(), value_set=shared.value), -1)).astype(np.int64)
+            many = max(len(shared.value), 1)
+            pair, tf = np.unique((np.repeat(np.arange(len(size)), size) * many + ids)[ids >= 0], return_counts=True)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(pair // many, minlength=len(size)))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (pair % many, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), length.cast(pa.int32()), *lists], names=["key", "length", "ids", "tfs"])
+
+    return written(chosen.mapInArrow(run, f"key {chosen.schema['key'].dataType.simpleString()}, length int, ids array<int>, tfs array<int>"))
+
+
+def frequencies(held: DataFrame, n: int) -> np.ndarray:
+    """In how many rows of held_terms() each of the n words of its vocabulary stands."""
+    df = np.zeros(n, dtype=np.int64)
+    for r in held.select(F.explode("ids").alias("id")).groupBy("id").count().collect():
+        df[r["id"]] = r["count"]
+    return df
+
+
+def term_blocks(each: DataFrame, size: int) -> Iterator[list[tuple[object, list]]]:
+    """(id, terms) of a table in blocks of at most `size` terms, or one row."""
+    block, n = [], 0
+    for key, terms in each.toLocalIterator():
+        if block and n + len(terms) > size:
+            yield block
+            block, n = [], 0
+        block.append((key, terms))
+        n += len(terms)
+    if block:
+        yield block
+
+
 def bm25_batch(chunks: DataFrame, queries: DataFrame, top_k: int = 3, order: Sequence[str] = ("doc_id", "chunk_idx")) -> DataFrame:
     """BM25 of every query (query_id, text) against all chunks: query_id, the chunk's columns, score and rank.
 
-    Chunks are tokenised once, and what they hold of the queries' terms is written; an empty term in each carries its length. A query's best rows are found by a window whose rank bound Spark
-    applies before the shuffle, so a query that a third of all chunks match sends top_k rows from each task.
+    Queries are taken in blocks of bounded size. For a block chunks are tokenised once; what they hold of its terms is written, scored where
+    it is read, and a task passes on a query's best top_k rows only, so neither words nor pairs of query and chunk are moved.
     """
     asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = checkpointed(asked)
-    terms = asked.select("term").distinct().unionByName(chunks.sparkSession.range(1).select(F.lit("").alias("term")))
-    hint = F.broadcast if asked.count() <= BLOCK_TERMS else (lambda df: df)
-    numbered = chunks.select(*order, tokens("text").alias("tokens")).withColumn("length", F.size("tokens"))
-    held = numbered.select(*order, "length", F.explode(F.array_append(F.coalesce("tokens", F.array().cast("array<string>")), F.lit(""))).alias("term")).join(hint(terms), "term", "left_semi")
-    tf = checkpointed(held.groupBy(*order, "length", "term").agg(F.count(F.lit(1)).alias("tf")))
-    n, average = tf.filter("term = ''").agg(F.count(F.lit(1)), F.avg("length")).first()
-    tf = tf.filter("term <> ''")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    known = asked.join(df, "term").withColumn("idf", F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("times") * weight(F.col("tf"), F.col("length"), F.col("idf"), F.lit(average or 1.0))
-    scores = tf.join(hint(known), "term").groupBy("query_id", *order).agg(F.round(F.sum(part), DIGITS).alias("score")).filter("score > 0")
+    each = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "times")).alias("terms"))
+    found = None
+    for block in term_blocks(each, BLOCK_TERMS):
+        part = best_scores(chunks, block, to_arrow_type(queries.schema["query_id"].dataType), queries.schema["query_id"].dataType.simpleString(), top_k, order)
+        # written before the next block is read, so that one block at a time is held
+        found = checkpointed(part) if found is None else found.unionByName(checkpointed(part))
+    if found is None:
+        found = queries.select("query_id").crossJoin(chunks.select(*order)).withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(0)).limit(0)
+    return found.join(chunks, list(order))
+
+
+def best_scores(chunks: DataFrame, block: Sequence[tuple[object, list]], kind: pa.DataType, name: str, top_k: int, order: Sequence[str]) -> DataFrame:
+    """(query_id, order, score, rank) of the best top_k chunks of each query of a block."""
+    vocabulary = sorted({t["term"] for _, terms in block for t in terms})
+    at = {t: i for i, t in enumerate(vocabulary)}
+    held = held_terms(chunks, order, tokens("text"), vocabulary)
+    n, average = held.agg(F.count(F.lit(1)), F.avg("length")).first()
+    df = frequencies(held, len(vocabulary))
+    idf = np.where(df > 0, np.log1p((n - df + 0.5) / (df + 0.5)), 0.0)
+    asked = [(q, np.array([at[t["term"]] for t in terms]), np.array([t["times"] for t in terms], dtype=np.float64)) for q, terms in block]
+    shared = chunks.sparkSession.sparkContext.broadcast([(q, ids, times * idf[ids]) for q, ids, times in asked])
+    words = len(vocabulary)
+    average = average or 1.0
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = query_parts(shared.value, words)
+        floors = [np.full(len(part[0]), -np.inf) for part in parts]
+        for batch in batches:
+            size = np.asarray(pc.list_value_length(batch.column(2))).astype(np.int64)
+            start = np.concatenate([[0], np.cumsum(size)])
+            ids, tf = (np.asarray(batch.column(i).flatten()) for i in (2, 3))
+            length = np.repeat(np.asarray(pc.fill_null(batch.column(1), 0)), size)
+            share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+            for (queries_, place, weights), floor in zip(parts, floors, strict=True):
+                step = max(1, min(SCORED_ROWS, SCORED_CELLS // max(len(weights), 1)))
+                for a in range(0, len(size), step):
+                    b = min(a + step, len(size))
+                    column, own = place[ids[start[a] : start[b]]], share[start[a] : start[b]]
+                    row = np.repeat(np.arange(b - a), size[a:b])
+                    table = np.zeros((b - a, len(weights)))
+                    table[row[column >= 0], column[column >= 0]] = own[column >= 0]
+                    scores = np.round(table @ weights, DIGITS)
+                    # a row under the k-th best score that the task has seen isn't among the best
+                    scores[(scores <= 0) | (scores < floor)] = -np.inf
+                    keys = batch.column(0).slice(a, b - a)
+                    r, q = best_rows(scores, keys_of(keys), top_k)
+                    if not len(r):
+                        continue
+                    full = np.bincount(q, minlength=len(floor)) == top_k
+                    least = np.full(len(floor), np.inf)
+                    np.minimum.at(least, q, scores[r, q])
+                    floor[full] = least[full]
+                    yield pa.RecordBatch.from_arrays([pa.array([queries_[i] for i in q], kind), keys.take(pa.array(r)), pa.array(scores[r, q])], names=["query_id", "key", "score"])
+
+    found = held.mapInArrow(best, f"query_id {name}, key {held.schema['key'].dataType.simpleString()}, score double").select("query_id", *[F.col("key")[c].alias(c) for c in order], "score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *order))
-    best = scores.withColumn("rank", rank).filter(F.col("rank") <= top_k)
-    return best.join(chunks, list(order))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= top_k)
+
+
+def query_parts(asked: Sequence[tuple[object, np.ndarray, np.ndarray]], words: int) -> list[tuple[list, np.ndarray, np.ndarray]]:
+    """Queries in parts of bounded size: ids, each word's row in the part's matrix (or -1) and the matrix of weights, a column for each query."""
+    parts, held, n = [], [], 0
+    for q in [*asked, None]:
+        if held and (q is None or len(held) == BLOCK_QUERIES or n + len(q[1]) > PART_TERMS):
+            used = np.unique(np.concatenate([ids for _, ids, _ in held]))
+            place = np.full(words, -1)
+            place[used] = np.arange(len(used))
+            weights = np.zeros((len(used), len(held)))
+            for i, (_, ids, w) in enumerate(held):
+                weights[place[ids], i] = w
+            parts.append(([key for key, _, _ in held], place, weights))
+            held, n = [], 0
+        if q is not None:
+            held.append(q)
+            n += len(q[1])
+    return parts
 
 
 def dense(vectors: DataFrame, query: Sequence[float], top_k: int, order: Sequence[str] = ("vec_id",)) -> DataFrame:

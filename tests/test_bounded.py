@@ -75,3 +75,21 @@ def test_index_moves_no_text_by_range(spark, tmp_path, monkeypatch):
     index.__dict__["postings"] = twice.select("term", "range", F.lit(1).alias("n"), "best", *[F.array(f"x.{c}").alias(c) for c in ("docs", "tfs", "lengths")], "bucket").unionByName(index.postings.filter("n = 1"))
     got = [(x["rank"], x["doc_id"], x["score"]) for x in postings.search_index(index, "w0 w1 w5", 6).orderBy("rank").collect()]
     assert got == [(x["rank"], x["doc_id"], x["score"]) for x in retrieval.bm25(docs, "w0 w1 w5", 6, ["doc_id"]).orderBy("rank").collect()]
+
+
+def test_batch_moves_the_best_rows_only(spark, monkeypatch):
+    """Each pair of a query and a chunk that share a word was a row of a shuffle."""
+    rows = [(i, " ".join(f"w{j % (i % 5 + 2)}" for j in range(i % 9))) for i in range(70)] + [(70, None), (71, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = [(0, "w0 w1 w1"), (1, "w5 w2 zzz"), (2, "zzz"), (3, None), (4, "w3")]
+    queries = spark.createDataFrame(asked, "query_id int, text string")
+    expected = sorted((q, x["rank"], x["doc_id"], x["score"]) for q, t in asked if t for x in retrieval.bm25(docs, t, 6, ["doc_id"]).collect())
+    for terms, part, scored in [(200_000, 8192, 1024), (2, 1, 4), (200_000, 2, 1)]:
+        for name, value in {"BLOCK_TERMS": terms, "PART_TERMS": part, "SCORED_ROWS": scored}.items():
+            monkeypatch.setattr(retrieval, name, value)
+        assert sorted((x["query_id"], x["rank"], x["doc_id"], x["score"]) for x in retrieval.bm25_batch(docs, queries, 6, ["doc_id"]).collect()) == expected
+    assert retrieval.bm25_batch(docs, queries.limit(0), 6, ["doc_id"]).collect() == []
+    best = retrieval.best_scores(docs.coalesce(1), [(0, [{"term": "w0", "times": 1}])], pa.int32(), "int", 2, ["doc_id"])
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan and "WindowGroupLimit" in plan
+    assert best.count() == 2
