@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokens
+from ..functions.udfs import cuts
 from ..session import checkpointed
 from ..sources.sinks import remove, replace
-from .retrieval import DIGITS, K1, B, weight
+from .retrieval import DIGITS, K1, SLICE, SLICE_WORDS, B, weight
 
 #: Documents in a range; a power of two.
 BLOCK = 8192
@@ -114,8 +115,10 @@ def term_blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Re
         doc, words = np.asarray(batch.column(0)), batch.column(1)
         if not len(doc):
             continue
-        cuts = np.flatnonzero((np.diff(doc >> shift) != 0) | (np.diff(doc) < 0)) + 1
-        for at, end in zip([0, *cuts], [*cuts, len(doc)], strict=True):
+        size = np.asarray(pc.fill_null(pc.list_value_length(words), 0))
+        borders = np.flatnonzero((np.diff(doc >> shift) != 0) | (np.diff(doc) < 0)) + 1
+        runs = zip([0, *borders], [*borders, len(doc)], strict=True)
+        for at, end in ((a + x, a + y) for a, b in runs for x, y in cuts(size[a:b], SLICE, SLICE_WORDS)):
             if held and (doc[at] >> shift != place or doc[at] < last):
                 yield range_blocks(place, held)
                 held = []

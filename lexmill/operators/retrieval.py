@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import content_terms, tokens
-from ..functions.udfs import chunk, embedded
+from ..functions.udfs import chunk, cuts, embedded
 from ..session import checkpointed, written
 
 K1 = 1.2
@@ -29,6 +29,8 @@ B = 0.75
 DIGITS = 6
 #: Query terms in one broadcast, and in one matrix of a task.
 BLOCK_TERMS, PART_TERMS = 200_000, 8192
+#: Rows whose words are counted at once, and their words unless it is one row.
+SLICE, SLICE_WORDS = 2048, 1 << 19
 #: Rows scored at once, and cells of their matrix unless it is one row.
 SCORED_ROWS, SCORED_CELLS = 1024, 1 << 22
 #: Query vectors in one broadcast.
@@ -102,7 +104,7 @@ def held_terms(rows: DataFrame, key: Sequence[str], words: Column, vocabulary: S
     chosen = rows.select(F.struct(*key).alias("key"), words.alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, end - at) for b in batches for at, end in cuts(np.asarray(pc.fill_null(pc.list_value_length(b.column(1)), 0)), SLICE, SLICE_WORDS)):
             said, length = batch.column(1), pc.list_value_length(batch.column(1))
             size = np.asarray(pc.fill_null(length, 0)).astype(np.int64)
             ids = np.asarray(pc.fill_null(pc.index_in(said.flatten(), value_set=shared.value), -1)).astype(np.int64)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions.udfs import normalize, normalized, slices
@@ -39,7 +40,9 @@ def test_normalize_takes_slices(spark, monkeypatch):
     assert [r["t"] for r in sorted(got)] == [None if t is None else normalized(t) for t in texts]
 
 
-def test_blocks_are_made_range_by_range():
+@pytest.mark.parametrize("words", [1 << 19, 2])
+def test_blocks_are_made_range_by_range(monkeypatch, words):
+    monkeypatch.setattr(postings, "SLICE_WORDS", words)
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=["doc", "words"])
 
@@ -87,7 +90,7 @@ def test_batch_moves_the_best_rows_only(spark, monkeypatch):
     queries = spark.createDataFrame(asked, "query_id int, text string")
     expected = sorted((q, x["rank"], x["doc_id"], x["score"]) for q, t in asked if t for x in retrieval.bm25(docs, t, 6, ["doc_id"]).collect())
     for terms, part, scored in [(200_000, 8192, 1024), (2, 1, 4), (200_000, 2, 1)]:
-        for name, value in {"BLOCK_TERMS": terms, "PART_TERMS": part, "SCORED_ROWS": scored}.items():
+        for name, value in {"BLOCK_TERMS": terms, "PART_TERMS": part, "SCORED_ROWS": scored, "SLICE_WORDS": scored}.items():
             monkeypatch.setattr(retrieval, name, value)
         assert sorted((x["query_id"], x["rank"], x["doc_id"], x["score"]) for x in retrieval.bm25_batch(docs, queries, 6, ["doc_id"]).collect()) == expected
     assert retrieval.bm25_batch(docs, queries.limit(0), 6, ["doc_id"]).collect() == []
