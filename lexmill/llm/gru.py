@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 
@@ -20,8 +21,9 @@ HIDDEN = 8
 ATTEND = 8
 WINDOW = 32
 STRIDE = 16
-#: Words whose inputs a worker keeps; beyond that it starts anew.
+#: Words whose inputs a worker keeps; beyond that it starts anew. Words and windows that are worked on at once.
 CACHE = 150_000
+WORDS_AT_ONCE, WINDOWS_AT_ONCE = 4096, 1024
 _SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _FOLD = _SPACE.lower()
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -116,10 +118,11 @@ class Network:
         return np.concatenate([self.word[bucket], sums * norm], axis=1), (bucket, gram, n, norm)
 
     def projected(self, words: Sequence[bytes]) -> np.ndarray:
-        return np.concatenate([self.vectors(words[i : i + 20_000])[0] @ self.inputs + self.bias for i in range(0, len(words), 20_000)] + [np.zeros((0, 6 * HIDDEN), dtype=np.float32)])
+        return np.concatenate([self.vectors(words[i : i + WORDS_AT_ONCE])[0] @ self.inputs + self.bias for i in range(0, len(words), WORDS_AT_ONCE)] + [np.zeros((0, 6 * HIDDEN), dtype=np.float32)])
 
     def run(self, table: np.ndarray, ids: np.ndarray, size: np.ndarray, keep: bool = False):
-        """Logits of windows: ids (windows, WINDOW) are rows of table, only the first `size` of each count."""
+        """Logits of windows: ids (windows, WINDOW) are rows of table, only the first `size` of each count. table has the inputs of both
+        directions beside each other, or is a table for each direction."""
         b, H = len(ids), HIDDEN
         length = max(1, int(size.max()) if b else 1)
         states = np.zeros((length, b, 2 * H), dtype=np.float32)
@@ -127,7 +130,7 @@ class Network:
         for way in (0, 1):
             h, u = np.zeros((b, H), dtype=np.float32), self.state[way]
             at = slice(3 * H * way, 3 * H * (way + 1))
-            rows = np.ascontiguousarray(table[:, at])
+            rows = table[way] if table.ndim == 3 else np.ascontiguousarray(table[:, at])
             for t in range(length) if way == 0 else range(length - 1, -1, -1):
                 x, s = rows[ids[:, t]], h @ u
                 gates = sigmoid(x[:, : 2 * H] + s[:, : 2 * H])
@@ -228,7 +231,7 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.ids, self.table, self.filled = Scorer._Ids(), np.zeros((1024, 6 * HIDDEN), dtype=np.float32), 0
+        self.ids, self.table, self.filled = Scorer._Ids(), np.zeros((2, 1024, 3 * HIDDEN), dtype=np.float32), 0
 
     def window_logits(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Logits of all windows of all texts, and the text of each."""
@@ -238,16 +241,21 @@ class Scorer:
         sizes = [len(x) for x in lists]
         flat = np.concatenate([np.fromiter(map(self.ids.__getitem__, x), dtype=np.int64, count=len(x)) for x in lists] + [np.zeros(WINDOW, dtype=np.int64)])
         if len(self.ids) > self.filled:
-            fresh = list(self.ids)[self.filled :] if self.filled else list(self.ids)
-            if len(self.ids) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((max(len(self.ids), len(self.table)), 6 * HIDDEN), dtype=np.float32)])
-            self.table[self.filled : len(self.ids)] = self.network.projected(fresh)
+            fresh = list(islice(self.ids, self.filled, None))
+            if len(self.ids) > self.table.shape[1]:
+                grown = np.zeros((2, len(self.ids) * 5 // 4, 3 * HIDDEN), dtype=np.float32)
+                grown[:, : self.filled] = self.table[:, : self.filled]
+                self.table = grown
+            for i in range(0, len(fresh), WORDS_AT_ONCE):
+                part = self.network.projected(fresh[i : i + WORDS_AT_ONCE])
+                for way in (0, 1):
+                    self.table[way, self.filled + i : self.filled + i + len(part)] = part[:, 3 * HIDDEN * way : 3 * HIDDEN * (way + 1)]
             self.filled = len(self.ids)
         begin, size, text = windows_of(sizes)
         logits = np.zeros(len(begin), dtype=np.float32)
-        for i in range(0, len(begin), 4096):
-            here = begin[i : i + 4096, None] + np.arange(WINDOW)
-            logits[i : i + 4096] = self.network.run(self.table, flat[np.minimum(here, len(flat) - 1)], size[i : i + 4096])
+        for i in range(0, len(begin), WINDOWS_AT_ONCE):
+            here = begin[i : i + WINDOWS_AT_ONCE, None] + np.arange(WINDOW)
+            logits[i : i + WINDOWS_AT_ONCE] = self.network.run(self.table, flat[np.minimum(here, len(flat) - 1)], size[i : i + WINDOWS_AT_ONCE])
         return logits, text
 
     def scores(self, texts: Sequence[str | None]) -> np.ndarray:

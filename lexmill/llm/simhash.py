@@ -49,6 +49,8 @@ CLUSTER_BYTES = 1 << 25
 PIVOTS = 8
 #: Members from which on a cluster's sets are held as bits, if those take no more bytes; and members of a part of a large cluster.
 LARGE, BITS_BYTES, CLUSTER = 32, 1 << 26, 1024
+#: Bytes of such bits of the pairs that are counted at once.
+PAIRS_BYTES = 1 << 22
 #: Members of a large cluster that every part of it is compared with.
 REPRESENTATIVES = 8
 #: Width of a cell of a pivot's distance.
@@ -416,6 +418,13 @@ def shared_bits(sets: list[np.ndarray]) -> np.ndarray | None:
     return out
 
 
+def shared_counts(bits: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bits the rows x and y of bits share, pair by pair; rows are copied for PAIRS_BYTES of pairs at a time."""
+    step = max(1, PAIRS_BYTES // (8 * bits.shape[1]))
+    parts = [np.bitwise_count(bits[x[k : k + step]] & bits[y[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(x), step)]
+    return np.concatenate([*parts, np.zeros(0, dtype=np.int64)])
+
+
 def similar_in_groups(keys: np.ndarray, sets: list[np.ndarray], spec: Fingerprints, trees: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """joined_in_groups by the similarity of whole sets. What sets of a large group share is counted for many pairs at once.
 
@@ -438,7 +447,7 @@ def similar_in_groups(keys: np.ndarray, sets: list[np.ndarray], spec: Fingerprin
         def holds(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             kept = near(i, j)  # noqa: B023
             x, y = i[kept], j[kept]
-            shared = np.concatenate([np.bitwise_count(bits[x[k : k + 4096]] & bits[y[k : k + 4096]]).sum(axis=1, dtype=np.int64) for k in range(0, len(x), 4096)] + [np.zeros(0, dtype=np.int64)])  # noqa: B023
+            shared = shared_counts(bits, x, y)  # noqa: B023
             kept[kept] = shared >= spec.similarity * (own[x] + own[y] - shared) - 1e-9  # noqa: B023
             return kept
 

@@ -12,8 +12,26 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of rows that Spark hands to a Python worker at once.
+BATCH_BYTES = 1 << 22
+#: What Spark gives for its own bound.
+SPARKS_BATCH_BYTES = "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches that go to Python have BATCH_BYTES (or one row), unless the session sets a bound of its own.
+
+    Spark's bounds are 10 000 rows and 64 MB; a batch is held by the executor's JVM outside its heap, by the Python worker as it comes,
+    and again there as strings.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, SPARKS_BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Spark's file server hand this package to every executor, once for each application."""
+    """Let Spark's file server hand this package to every executor, once for each application; bound what goes to Python at once."""
+    bound_batches(spark)
     context = spark.sparkContext
     if getattr(context, "_lexmill_shipped", False):
         return
